@@ -18,6 +18,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tonearm.llm.packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), keep_ids=False)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tonearm.llm.sharding import shard_by_bytes
 
@@ -25,6 +33,18 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tonearm.llm.factorisation import quality_scores
+
+    return quality_scores(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tonearm.llm.ordinal import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tonearm.llm.quality_rules import quality_rules
 
@@ -49,7 +69,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op3_sharding, op7_quality_rules, op8_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_quality_classifier, op5_toxicity, op7_quality_rules, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
