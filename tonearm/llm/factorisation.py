@@ -61,6 +61,11 @@ def fit(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, siz
     return w, v
 
 
+def fit_labels(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, max_train: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    starts, idx, val, y = labelled_sample(docs, labels, label, id_col, text_col, folds, max_train, bits, True, True)
+    return fit(starts, idx, val, y, width(bits))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_train: int = 12_000, keep_at: float = 0.3, bits: int = BITS) -> DataFrame:
     """One row per row of ``docs``: id, held_out, score (0 to 1, higher: label 1 is likelier), predicted (1 if ``score >= keep_at``).
 
@@ -68,7 +73,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", i
     texts are scored by their statistics alone; null ids are scored and not held out; repeated rows get equal scores; an empty
     table gives no rows; without labels every score is the prior; other columns are not read.
     """
-    starts, idx, val, y = labelled_sample(docs, labels, label, id_col, text_col, folds, max_train, bits, True, True)
-    model = fit(starts, idx, val, y, width(bits))
+    model = fit_labels(docs, labels, label, id_col, text_col, folds, max_train, bits)
     out = score_all(docs, [id_col], text_col, model, lambda m, *x: [sigmoid(raw(m, *x))], ["score"], bits, True, True)
     return out.select(id_col, held_out(id_col, folds).alias("held_out"), "score", (F.col("score") >= keep_at).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, max_train: int = 12_000, keep_at: float = 0.3, bits: int = BITS) -> DataFrame:
+    """The rows of ``docs`` that score at least ``keep_at``, in one pass without a shuffle."""
+    model = fit_labels(docs, labels, label, id_col, text_col, folds, max_train, bits)
+    plain = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)])
+    scored = score_all(plain, plain.columns, f"c{docs.columns.index(text_col)}", model, lambda m, *x: [sigmoid(raw(m, *x))], ["quality_score"], bits, True, True)
+    return scored.where(F.col("quality_score") >= keep_at).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

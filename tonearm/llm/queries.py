@@ -45,6 +45,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tonearm.llm.pii import personal_data
+
+    return personal_data(_read(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tonearm.llm.quality_rules import quality_rules
 
@@ -57,6 +63,18 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tonearm.llm.lm_scoring import language_scores
+
+    return language_scores(_read(spark, sf_dir, "documents"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tonearm.llm.tiling import contaminated
+
+    return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -69,7 +87,7 @@ FROM f
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_quality_classifier, op5_toxicity, op7_quality_rules, op8_warc)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_quality_classifier, op5_toxicity, op6_personal_data, op7_quality_rules, op8_warc, op9_language_model, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -102,7 +102,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: that with the smallest id (of rows with that same id, one)."""
-    found = near_duplicates(docs, id_col, text_col, **how)
-    first = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__id")).distinct()
-    return docs.dropDuplicates([id_col]).join(first, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
+    """``docs`` with one row of each group of near-duplicates: that with the smallest id (null ids last, rows with one id by place)."""
+    rows = materialize(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("rid")), "simhash-docs")
+    place, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
+    keyed = rows.select(F.struct(F.col(place).isNull().alias("none"), F.col(place).alias("id"), "rid").alias("key"), F.col(text).alias("text"))
+    found = near_duplicates(keyed, "key", "text", **how)
+    gone = found.where(F.col("key") != F.col("component_id")).select(F.col("key.rid").alias("rid"))
+    return rows.join(gone, "rid", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
