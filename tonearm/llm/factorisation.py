@@ -30,8 +30,8 @@ def raw(model: tuple[np.ndarray, np.ndarray], starts: np.ndarray, idx: np.ndarra
     return np.add.reduceat(w[idx] * val, starts) + 0.5 * (total * total - squares).sum(axis=1)
 
 
-def fit(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, factors: int = 8, epochs: int = 8, batch: int = 128, rate: float = 0.15, decay: float = 2e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """AdaGrad on the log loss, in an order fixed by ``seed``. Without labels of both kinds the model is the constant prior."""
+def fit(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, factors: int = 8, updates: int = 1500, batch: int = 128, rate: float = 0.3, decay: float = 2e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+    """AdaGrad on the log loss: at least ``updates`` small batches, in an order fixed by ``seed``. Without labels of both kinds the model is the constant prior."""
     rng = np.random.default_rng(seed)
     w = np.zeros(size, np.float32)
     v = rng.normal(0, 0.02, (size, factors)).astype(np.float32)
@@ -40,8 +40,9 @@ def fit(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, siz
     if len(np.unique(y)) < 2:
         return w, np.zeros_like(v)
     gw, gv = np.full(size, 1e-3, np.float32), np.full((size, factors), 1e-3, np.float32)
-    for _ in range(epochs):
-        for at in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+    batches = max(1, len(y) // batch)
+    for _ in range(-(-updates // batches)):
+        for at in np.array_split(rng.permutation(len(y)), batches):
             entries, begin = rows_of(starts, len(idx), at)
             i, x = idx[entries], val[entries]
             vi = v[i]
