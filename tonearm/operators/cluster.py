@@ -189,19 +189,43 @@ def centre_out(rows: DataFrame, key: str) -> DataFrame:
     return far.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("distance", "id"))).drop("centroid")
 
 
-def playlist_tree(rows: DataFrame, target: int = 24, least: int = 8, most_children: int = 4, max_depth: int = 3, seed: int = 7, method: str = "ward") -> DataFrame:
+def _split_large(level: DataFrame, max_local: int, children: int, seed: int) -> DataFrame:
+    """Open clusters of more than ``max_local`` rows, split by distributed k-means; there are at most n / max_local of them."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    large = [r.path for r in level.where("open").groupBy("path").count().where(F.col("count") > max_local).select("path").collect()]
+    for path in large:
+        own = level.where(F.col("path") == path).withColumn("features", array_to_vector("vector"))
+        found = KMeans(k=children, seed=seed).fit(own).transform(own)
+        moved = found.select("id", "vector", F.concat("path", F.lit("-"), (F.col("prediction") + 1).cast("string")).alias("path"), (F.col("depth") + 1).alias("depth"), F.lit(True).alias("open"))
+        level = level.where(F.col("path") != path).unionByName(moved)
+    return level.checkpoint() if large else level
+
+
+def playlist_tree(rows: DataFrame, target: int = 24, least: int = 8, most_children: int = 4, max_depth: int = 3, seed: int = 7, method: str = "ward", max_local: int = 4000) -> DataFrame:
     """(id, path, depth): the leaf of each row of (id, vector); ``path`` names the branch at each level.
 
-    A cluster over ``target`` and at least twice ``least`` is split while the tree is shallower than ``max_depth``; levels are checkpointed.
+    A cluster over ``target`` and at least twice ``least`` is split while the tree is shallower than ``max_depth``; levels are checkpointed. Clusters of up
+    to ``max_local`` rows are split side by side, each in one task; larger ones by distributed k-means in levels of their own on top, which
+    do not count against ``max_depth``, so no task ever holds more than ``max_local`` rows or a distance matrix of them.
     """
+    from tonearm.storage import shared_dir
+
+    shared_dir(rows.sparkSession)
     schema = "id long, vector array<double>, path string, depth int, open boolean"
     level = rows.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.lit("root").alias("path"), F.lit(0).alias("depth"), F.lit(True).alias("open"))
+    while True:
+        parts = level.select("path").distinct().count()
+        level = _split_large(level, max_local, most_children, seed)
+        if level.select("path").distinct().count() == parts:
+            break
 
     def split(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         m = np.stack(pdf["vector"].to_numpy())
         labels = None
-        if len(pdf) > target and len(pdf) >= 2 * least:
+        if target < len(pdf) <= max_local and len(pdf) >= 2 * least:
             if method == "ward":
                 labels = best_split(m, target, least, most_children)
             else:

@@ -76,10 +76,8 @@ def kmeans_clusters(t: Tables) -> DataFrame:
 
 @query()
 def playlist_tree(t: Tables) -> DataFrame:
-    """A tree per label: the label is the first level, so no task holds more than one label's rows."""
-    rows = t.features.select("id", "vector", "tag")
-    tree = C.playlist_tree(rows, target=24, least=8, most_children=4, max_depth=3)
-    return tree.select("id", "path", "depth")
+    """Recursive Ward splits of all features."""
+    return C.playlist_tree(t.features.select("id", "vector"), target=24, least=8, most_children=4, max_depth=3)
 
 
 @query()
