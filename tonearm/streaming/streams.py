@@ -18,7 +18,7 @@ def event_files(spark: SparkSession, path: str, schema: StructType, per_trigger:
 
 def arriving_audio(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("mp3", "flac", "wav", "aiff", "aif")) -> DataFrame:
     """(path, length, modificationTime) of audio files as they arrive, hidden ones left out."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     return files.where(F.lower(name).rlike(rf"\.({'|'.join(suffixes)})$") & ~name.startswith("."))
 
