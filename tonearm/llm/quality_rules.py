@@ -20,7 +20,7 @@ NOT_SYMBOL = "[^#*$%&|<>]+"
 RULES = {
     "symbols": (lambda: F.col("n_symbols") / F.col("n_words"), "high", 0.1),
     "dup_lines": (lambda: F.col("n_dup_lines") / F.col("n_words"), "high", 0.1),
-    "repeats": (lambda: F.col("n_repeat_words") / F.col("n_words"), "high", 0.35),
+    "repeats": (lambda: F.col("n_repeat_words") / F.col("n_words"), "high", 0.45),
     "word_length": (lambda: F.col("word_chars") / F.col("n_words"), "high", 12.0),
     "short_words": (lambda: F.col("word_chars") / F.col("n_words"), "low", 2.0),
 }
