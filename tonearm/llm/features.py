@@ -7,6 +7,8 @@ from collections import Counter
 
 import numpy as np
 
+#: Bytes of the word beginnings that bare words also count under: families of words share a stem.
+STEM = 4
 #: Buckets of one statistic.
 BUCKETS = 12
 UPPER = bytes(range(65, 91))
@@ -49,7 +51,8 @@ def structure(text: bytes, words: list[bytes], tf: Counter) -> list[int]:
 def hashed(texts: list[bytes | None], bits: int, with_structure: bool = True, normal: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """CSR ``(starts, indices, values)``: 2**bits word slots, then the statistics' buckets.
 
-    Word values are square roots of counts, scaled to length one if ``normal``. Without ``with_structure`` words are bare of ASCII punctuation. Every row has at least one entry: a constant slot at the end.
+    Word values are square roots of counts, scaled to length one if ``normal``. Without ``with_structure`` words are bare of ASCII punctuation and
+    longer ones also count under their first STEM bytes. Every row has at least one entry: a constant slot at the end.
     """
     mask, base = (1 << bits) - 1, 1 << bits
     last = base + len(STATISTICS) * BUCKETS * with_structure
@@ -60,6 +63,13 @@ def hashed(texts: list[bytes | None], bits: int, with_structure: bool = True, no
         words = (text if with_structure else text.translate(BARE)).lower().split()
         tf = Counter(words)
         idx = [zlib.crc32(w) & mask for w in tf]
+        if not with_structure:
+            stems: Counter = Counter()
+            for w, n in tf.items():
+                if len(w) > STEM:
+                    stems[w[:STEM]] += n
+            idx += [zlib.crc32(w, STEM) & mask for w in stems]
+            tf = Counter(dict(enumerate([*tf.values(), *stems.values()])))
         val = np.sqrt(np.fromiter(tf.values(), np.float32, len(tf)))
         if normal and len(val):
             val /= np.sqrt((val * val).sum())

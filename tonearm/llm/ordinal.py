@@ -1,7 +1,7 @@
 """Toxicity by cumulative-link ordinal regression.
 
 ``P(grade <= k) = sigmoid(theta_k - f(x))`` with one weight vector shared by all ordered thresholds ``theta``; the expected severity is
-``sum_k P(grade > k)``. Inputs are hashed word counts; a screen on the training rows keeps the word slots whose presence
+``sum_k P(grade > k)``. Inputs are hashed counts of words and of their stems; a screen on the training rows keeps the word slots whose presence
 goes with the grade well past chance, so the many neutral words of a long text add no noise.
 """
 
