@@ -98,6 +98,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n"))
     linked = parts.join(named, "component").join(degree, "node").select(F.col("node").alias("fp"), "least", "n")
     classes = fps.join(linked, "fp", "left").select("fp", F.coalesce("least", "low").alias("component_id"), F.coalesce("n", F.lit(0)).cast("long").alias("n_links"))
+    # Written first, so the last join is one plain shuffle join, which Spark can split where a fingerprint has very many rows.
+    classes = materialize(classes, "simhash-classes")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
