@@ -69,8 +69,7 @@ def hashed(texts: list[bytes | None], bits: int, with_structure: bool = True, no
                 if len(w) > STEM:
                     stems[w[:STEM]] += n
             idx += [zlib.crc32(w, STEM) & mask for w in stems]
-            tf = Counter(dict(enumerate([*tf.values(), *stems.values()])))
-        val = np.sqrt(np.fromiter(tf.values(), np.float32, len(tf)))
+        val = np.sqrt(np.array([*tf.values(), *(() if with_structure else stems.values())], np.float32))
         if normal and len(val):
             val /= np.sqrt((val * val).sum())
         extra = [base + k * BUCKETS + b for k, b in enumerate(structure(text, words, tf))] if with_structure else []
