@@ -57,7 +57,7 @@ def test_numbers(spark):
     assert one(spark, 123456789, lambda x: N.seeded_rank(x, 7), "long") == (123456789 * 1103515245 + 7 * 12345) & 0xFFFFFFFF
     assert one(spark, [3.0, 1.0, 2.0, 10.0], lambda x: N.nearest_rank(x, 0.5), "array<double>") == 3.0
     assert one(spark, float("inf"), N.finite, "double") is None
-    assert one(spark, 0.41, N.energy_band, "double") == "Medium"
+    assert one(spark, 0.41, N.energy_band, "double") == "Medium Energy"
 
 
 def test_attributes_and_decoding(spark):

@@ -55,7 +55,7 @@ def energy_score(tempo: Column, rms: Column, onset: Column) -> Column:
 
 
 def energy_band(score: Column) -> Column:
-    return F.when(score < 0.4, "Low").when(score < 0.72, "Medium").when(score.isNotNull(), "High")
+    return F.when(score < 0.4, "Low Energy").when(score < 0.72, "Medium Energy").when(score.isNotNull(), "High Energy")
 
 
 def ladder(x: Column, steps: list[tuple[Column, float]], otherwise: float) -> Column:

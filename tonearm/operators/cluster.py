@@ -21,7 +21,7 @@ WEAK_SILHOUETTE, WEAK_SEPARATION, FORCE_RATIO = 0.08, 1.0, 2.5
 ARTIST_PENALTY, ALBUM_PENALTY = (0.35, 0.2, 0.1), (0.2, 0.1, 0.05)
 DIVERSITY = {"loose": 0.0, "balanced": 1.0, "strict": 2.0}
 #: Metric, label of its lowest, lower, higher and highest sibling, least spread, priority.
-SIBLING_LABELS = (("tempo", "Slowest", "Slower", "Faster", "Fastest", 8.0, 0), ("energy", "Lowest Energy", "Lower Energy", "Higher Energy", "Highest Energy", 0.08, 1), ("brightness", "Warmest", "Warm", "Bright", "Brightest", 350.0, 3))
+SIBLING_LABELS = (("tempo", "Slowest", "Slower", "Faster", "Fastest", 8.0, 0), ("energy", "Lowest Energy", "Lower Energy", "Higher Energy", "Highest Energy", 0.08, 1), ("brightness", "Warmest", "Warm", "Bright", "Brightest", 350.0, 3), ("density", "Sparsest", "Sparse", "Dense", "Densest", 350.0, 4), ("attack", "Smoothest", "Smooth", "Punchy", "Punchiest", 0.35, 5), ("percussion", "Smoothest", "Smooth", "Percussive", "Most Percussive", 0.02, 6), ("tone", "Most Open", "Open", "Tonal", "Most Tonal", 3.0, 7))
 
 
 def robust_limits(x: DataFrame) -> DataFrame:

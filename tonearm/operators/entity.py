@@ -188,3 +188,18 @@ def auto_links(completed: DataFrame, suggestions: DataFrame, at: float = 0.9) ->
     good = suggestions.where(F.col("score") >= at).groupBy("track_id").agg(F.count("*").alias("n"), F.min("local_id").alias("local_id"))
     n = F.coalesce("n", F.lit(0))
     return completed.join(good, "track_id", "left").select("acquisition", F.when(n == 1, "link").when(n > 1, "link_failed").otherwise("skip").alias("action"), F.when(n == 1, F.col("local_id")).alias("local_id"))
+
+
+def suffix_path_join(left: DataFrame, right: DataFrame, sized: bool = True) -> DataFrame:
+    """(left_id, right_id) of paths that end alike: two parts or more, or the whole of the shorter if that is one part.
+
+    The last part is the join key; of several right paths the newest (updated_at, then id) is taken. ``sized`` asks for equal sizes too.
+    """
+    ends = lambda d, p: d.select(F.col("id").alias(f"{p}_id"), F.reverse(F.transform(X.path_parts(F.col("path")), lambda s: F.lower(s))).alias(f"{p}_parts"), *([F.col("size").alias(f"{p}_size")] if sized else []), *([F.col("updated_at")] if p == "right" else [])).withColumn("last", F.get(f"{p}_parts", F.lit(0)))
+    both = ends(left, "left").join(ends(right, "right"), "last")
+    if sized:
+        both = both.where("left_size = right_size")
+    two = F.get("left_parts", F.lit(1)) == F.get("right_parts", F.lit(1))
+    good = both.where(F.coalesce(two, F.lit(False)) | (F.size("left_parts") == 1) | (F.size("right_parts") == 1))
+    first = good.withColumn("k", F.row_number().over(W.partitionBy("left_id").orderBy(F.desc("updated_at"), "right_id"))).where("k = 1")
+    return first.select("left_id", "right_id")

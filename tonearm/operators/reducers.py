@@ -103,3 +103,37 @@ def detached(table: DataFrame, column: str, gone: DataFrame) -> DataFrame:
     """``table`` with null in place of references to ``gone`` (id): history outlives what it names."""
     hit = table.join(gone.select(F.col("id").alias(column), F.lit(True).alias("gone")), column, "left")
     return hit.select(*[F.when(F.col("gone").isNull(), F.col(c)).alias(c) if c == column else F.col(c) for c in table.columns])
+
+
+def written_features(rows: DataFrame, results: DataFrame) -> DataFrame:
+    """Feature rows (id, status, attempts, payload, failure) after ``results`` (id, attempt, kind, payload, failure).
+
+    ``pending`` clears the payload and takes the attempt; ``ready`` and ``failed`` count only for the pending attempt that they name, a failure keeps
+    the payload. Ids without a row are added by ``pending``. Of several results for an id the last kind in that order wins.
+    """
+    rank = F.when(F.col("kind") == "pending", 0).when(F.col("kind") == "failed", 1).otherwise(2)
+    last = results.groupBy("id").agg(F.max_by(F.struct("attempt", "kind", "payload", "failure"), F.struct("attempt", rank)).alias("r"))
+    both = rows.join(last, "id", "full")
+    live = (F.col("status") == "pending") & (F.col("attempts") == F.col("r.attempt"))
+    kind = F.when(F.col("r.kind") == "pending", "pending").when(F.col("r").isNotNull() & live, F.col("r.kind"))
+    x = both.withColumn("k", kind)
+    return x.where("status IS NOT NULL OR k = 'pending'").select(
+        "id",
+        F.coalesce("k", "status").alias("status"),
+        F.when(F.col("k") == "pending", F.col("r.attempt")).otherwise(F.col("attempts")).alias("attempts"),
+        F.when(F.col("k") == "pending", None).when(F.col("k") == "ready", F.col("r.payload")).otherwise(F.col("payload")).alias("payload"),
+        F.when(F.col("k") == "failed", F.col("r.failure")).when(F.col("k").isNotNull(), None).otherwise(F.col("failure")).alias("failure"),
+    )
+
+
+def resolved_duplicates(groups: DataFrame, choices: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(removed, decisions) of choices (group_key, keeper or null): a keeper must be a member; null dismisses the group."""
+    x = choices.join(groups.select("group_key", F.transform(F.split("ids", ","), lambda v: v.cast("long")).alias("members")), "group_key")
+    good = x.where(F.col("keeper").isNull() | F.array_contains("members", F.col("keeper")))
+    removed = good.where("keeper IS NOT NULL").select("group_key", F.explode(F.array_remove("members", F.col("keeper"))).alias("id"))
+    return removed, good.select("group_key", F.when(F.col("keeper").isNull(), "dismissed").otherwise("resolved").alias("action"), "keeper")
+
+
+def without_references(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:
+    """Each table without the rows whose column names a removed id: the cascade, in any order."""
+    return {n: t.join(gone.select(F.col("id").alias(c)).distinct(), c, "left_anti").select(*t.columns) for n, (t, c) in tables.items()}

@@ -92,3 +92,56 @@ def sibling_labels(t: Tables) -> DataFrame:
     e = t.events.groupBy((F.col("key") % 12).alias("parent"), F.col("event_type").alias("child")).agg(F.avg("value").alias("tempo"), (F.avg("value") / 40).alias("energy"), (F.sum("value")).alias("brightness"))
     long = e.select("parent", "child", F.explode(F.create_map(F.lit("tempo"), F.col("tempo"), F.lit("energy"), F.col("energy"), F.lit("brightness"), F.col("brightness"))).alias("metric", "value"))
     return C.sibling_labels(long)
+
+
+ENERGY = "CASE pos WHEN 0 THEN 2.0 WHEN 1 THEN 2.0 WHEN 2 THEN 1.2 WHEN 3 THEN 1.8 WHEN 4 THEN 1.0 WHEN 10 THEN 0.9 WHEN 8 THEN 0.75 ELSE 0.25 END"
+
+
+def described(t: Tables) -> DataFrame:
+    """Features under descriptor keys: the first 42 numbers of a vector, tempo on a scale of its own."""
+    from tonearm.operators.summaries import KEYS
+
+    keys = F.array(*[F.lit(k) for k in KEYS])
+    values = F.transform(F.slice("vector", 1, len(KEYS)), lambda v, i: F.when(i == 0, F.abs(v.cast("double")) * 100 + 40).otherwise(v.cast("double")))
+    return t.features.select("id", "tag", F.map_from_arrays(keys, values).alias("descriptors"))
+
+
+@query(f"SELECT id, pos, round((x - avg(x) OVER w) / CASE WHEN stddev_pop(x) OVER w = 0 THEN 1 ELSE stddev_pop(x) OVER w END * {ENERGY}, 6) AS v FROM (SELECT id, pos, CASE WHEN pos = 0 THEN abs(x) * 100 + 40 ELSE x END AS x FROM ({SPREAD}) WHERE pos < 42) WINDOW w AS (PARTITION BY pos)")
+def profile_matrix(t: Tables) -> DataFrame:
+    from tonearm.operators.summaries import profile_matrix as matrix
+    from tonearm.operators.summaries import weights_of
+
+    m = matrix(described(t), weights_of("energy_v1"))
+    return m.select("id", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 6))
+
+
+@query()
+def grouped_matrix(t: Tables) -> DataFrame:
+    from tonearm.operators.summaries import grouped_matrix as matrix
+    from tonearm.operators.summaries import weights_of
+
+    return matrix(described(t), weights_of("balanced_v1"))
+
+
+@query()
+def cluster_summary(t: Tables) -> DataFrame:
+    from tonearm.operators.summaries import cluster_summaries
+
+    return cluster_summaries(described(t).withColumn("path", F.concat(F.lit("tag-"), F.col("tag").cast("string"))))
+
+
+@query()
+def playlist_names(t: Tables) -> DataFrame:
+    from tonearm.operators.summaries import cluster_summaries, named
+
+    return named(cluster_summaries(described(t).withColumn("path", F.concat(F.lit("tag-"), F.col("tag").cast("string")))))
+
+
+@query("SELECT tag, value, n FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY n DESC, value) AS k FROM (SELECT label AS tag, p_name AS value, CAST(count(*) AS BIGINT) AS n, max(size) AS size FROM (SELECT *, count(*) OVER (PARTITION BY label) AS size FROM embeddings JOIN part ON p_partkey = vec_id) GROUP BY label, p_name) WHERE n >= greatest(1, ceil(size * 0.02))) WHERE k <= 5")
+def common_tags(t: Tables) -> DataFrame:
+    """Tags that a share of a cluster's rows have, the five most frequent."""
+    from pyspark.sql import Window as W
+
+    x = t.features.join(t.parts.select("id", F.col("title").alias("value")), "id").withColumn("size", F.count("*").over(W.partitionBy("tag")))
+    n = x.groupBy("tag", "value").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(F.col("n") >= F.greatest(F.lit(1), F.ceil(F.col("size") * 0.02)))
+    return n.withColumn("k", F.row_number().over(W.partitionBy("tag").orderBy(F.desc("n"), "value"))).where("k <= 5").select("tag", "value", "n")

@@ -135,7 +135,7 @@ def seeded_shuffle(t: Tables) -> DataFrame:
     return t.tracks.select("id", N.seeded_rank(F.col("id"), 7).alias("rank"))
 
 
-@query("SELECT id, CASE WHEN s < 0.4 THEN 'Low' WHEN s < 0.72 THEN 'Medium' ELSE 'High' END AS band, round(s, 6) AS score FROM (SELECT id, (greatest(0.0, least(1.0, (tempo - 85) / 50)) + greatest(0.0, least(1.0, (rms - 0.08) / 0.28)) + greatest(0.0, least(1.0, onset / 2))) / 3 AS s FROM (SELECT event_id AS id, 60 + value AS tempo, value / 100 AS rms, CAST((event_id % 30) AS DOUBLE) / 10 AS onset FROM events))")
+@query("SELECT id, CASE WHEN s < 0.4 THEN 'Low Energy' WHEN s < 0.72 THEN 'Medium Energy' ELSE 'High Energy' END AS band, round(s, 6) AS score FROM (SELECT id, (greatest(0.0, least(1.0, (tempo - 85) / 50)) + greatest(0.0, least(1.0, (rms - 0.08) / 0.28)) + greatest(0.0, least(1.0, onset / 2))) / 3 AS s FROM (SELECT event_id AS id, 60 + value AS tempo, value / 100 AS rms, CAST((event_id % 30) AS DOUBLE) / 10 AS onset FROM events))")
 def energy_band(t: Tables) -> DataFrame:
     score = N.energy_score(F.col("value") + 60, F.col("value") / 100, (F.col("id") % 30).cast("double") / 10)
     return t.events.select("id", score.alias("s")).select("id", N.energy_band(F.col("s")).alias("band"), F.round("s", 6).alias("score"))

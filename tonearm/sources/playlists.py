@@ -70,3 +70,32 @@ def rekordbox_xml(entries: DataFrame, playlists: DataFrame, path: str) -> None:
     heads = [(-1, 0, f'<?xml version="1.0" encoding="UTF-8"?>\n<DJ_PLAYLISTS Version="1.0.0">\n<COLLECTION Entries="{n.get(0, 0)}">'), (0, 1 << 62, f'</COLLECTION>\n<PLAYLISTS>\n<NODE Type="0" Name="ROOT" Count="{n.get(1, 0)}">'), (2, 0, "</NODE>\n</PLAYLISTS>\n</DJ_PLAYLISTS>")]
     whole = lines.unionByName(spark.createDataFrame(heads, "part int, n long, line string"))
     whole.orderBy("part", "n").coalesce(1).select(F.col("line").alias("value")).write.text(path)
+
+
+def zipped(texts: DataFrame, target) -> int:
+    """Write (file, text) rows into the open binary file ``target`` as a ZIP archive, one entry at a time; returns the entries. Rows pass through the driver one by one."""
+    import zipfile
+
+    n = 0
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for r in texts.select("file", "text").orderBy("file").toLocalIterator():
+            z.writestr(r.file, r.text)
+            n += 1
+    return n
+
+
+def quarantine_plan(tracks: DataFrame, root: str, stamp: str) -> DataFrame:
+    """(id, source, target): where each file of (id, path) would be moved; moving is not the engine's part."""
+    return tracks.select("id", F.col("path").alias("source"), F.concat(F.lit(f"{root.rstrip('/')}/{stamp}/local-"), F.col("id").cast("string"), F.lit("/"), "path").alias("target"))
+
+
+def export_package(wanted: DataFrame, playlists: DataFrame, entries: DataFrame) -> tuple[DataFrame, dict]:
+    """(texts, totals) of the ids in ``wanted``: a missing or not fully synced id is an error that names the smallest one."""
+    known = playlists.where(F.col("sync_mode") == "full").select("playlist_id")
+    if (lost := wanted.join(known, "playlist_id", "left_anti").agg(F.min("playlist_id")).first()[0]) is not None:
+        raise ValueError(f"no fully synced playlist {lost}")
+    own = wanted.select("playlist_id").distinct()
+    names = file_names(playlists.join(own, "playlist_id", "left_semi").select("playlist_id", "title"))
+    texts = m3u_text(entries.join(own, "playlist_id", "left_semi")).join(names, "playlist_id")
+    t = entries.join(own, "playlist_id", "left_semi").agg(F.count("path").alias("exported"), F.count_if(F.col("path").isNull()).alias("skipped")).first()
+    return texts.select("playlist_id", "file", "text"), {"exported": t.exported, "skipped": t.skipped}
