@@ -48,20 +48,12 @@ def top_deltas(t: Tables) -> DataFrame:
 
 @query("SELECT id, CAST(least(3, (n - 1) // k) AS INTEGER) AS label FROM (SELECT id, row_number() OVER (ORDER BY vector[1], id) AS n, CAST(ceil(count(*) OVER () / 4.0) AS BIGINT) AS k FROM r_features)")
 def chunk_labels(t: Tables) -> DataFrame:
-    """Four equal chunks by the first coordinate, without a global window: exact ranks by a count per sorted range."""
-    from pyspark.sql import Window as W
+    """Four equal chunks by the first coordinate, out of exact ranks."""
+    from tonearm.operators.ranking import numbered
 
-    first = t.features.select("id", F.col("vector")[0].alias("v"))
-    cuts = [r[0] for r in [first.agg(F.percentile_approx("v", [k / 16 for k in range(1, 16)])).first()]][0] or []
-    bucket = F.size(F.filter(F.array(*[F.lit(float(c)) for c in cuts]), lambda c: c <= F.col("v").cast("double"))) if cuts else F.lit(0)
-    ranged = first.withColumn("b", bucket)
-    sizes = {r.b: r.n for r in ranged.groupBy("b").agg(F.count("*").alias("n")).collect()}
-    before, at = {}, 0
-    for b in sorted(sizes):
-        before[b], at = at, at + sizes[b]
-    offset = F.create_map(*[F.lit(x) for b in before for x in (b, before[b])]) if before else F.create_map(F.lit(0), F.lit(0))
-    n = F.row_number().over(W.partitionBy("b").orderBy("v", "id")) + F.element_at(offset, F.col("b"))
-    return ranged.select("id", F.least(F.lit(3), F.floor((n - 1) / max(1, -(-at // 4)))).cast("int").alias("label"))
+    rows = numbered(t.features.select("id", F.col("vector")[0].alias("v")), [F.col("v"), F.col("id")])
+    size = max(1, -(-t.features.count() // 4))
+    return rows.select("id", F.least(F.lit(3), F.floor((F.col("number") - 1) / size)).cast("int").alias("label"))
 
 
 @query()

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.operators import relational as R
+from tonearm.operators.ranking import numbered
 from tonearm.plans.registry import query
 from tonearm.tables import Tables
 
@@ -167,12 +168,9 @@ def top5_events_per_user(t: Tables) -> DataFrame:
 
 @query("SELECT id, number FROM (SELECT id, CAST(row_number() OVER (ORDER BY synced_at, id) AS BIGINT) AS number, sync_mode FROM r_playlists) WHERE sync_mode = 'match_only'")
 def run_numbering(t: Tables) -> DataFrame:
-    """A global number without a single-task window: rows are counted per day, and numbered within it."""
-    day = t.playlists.withColumn("day", F.to_date("synced_at"))
-    sizes = day.groupBy("day").agg(F.count("*").alias("n"))
-    before = sizes.select("day", F.coalesce(F.sum("n").over(W.orderBy("day").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    within = F.row_number().over(W.partitionBy("day").orderBy("synced_at", "id"))
-    return day.withColumn("k", within).join(F.broadcast(before), "day").where("sync_mode = 'match_only'").select("id", (F.col("before") + F.col("k")).alias("number"))
+    """A global number, given before the filter, without a single-task window."""
+    rows = numbered(t.playlists.select("id", "synced_at", "sync_mode"), [F.col("synced_at"), F.col("id")])
+    return rows.where("sync_mode = 'match_only'").select("id", "number")
 
 
 @query("SELECT id, CASE WHEN n = 1 THEN s ELSE s || '-' || CAST(n AS VARCHAR) END AS name FROM (SELECT id, title AS s, row_number() OVER (PARTITION BY lower(title) ORDER BY id) AS n FROM r_parts)")
@@ -183,9 +181,9 @@ def filename_dedupe(t: Tables) -> DataFrame:
 
 @query("SELECT title, CAST(row_number() OVER (ORDER BY first_id) AS BIGINT) AS number FROM (SELECT title, min(id) AS first_id FROM r_parts GROUP BY title)")
 def first_seen_ids(t: Tables) -> DataFrame:
-    """Dense numbers in order of first place; only distinct values reach the ordering."""
+    """Dense numbers of values in order of first place."""
     first = t.parts.groupBy("title").agg(F.min("id").alias("first_id"))
-    return first.select("title", F.row_number().over(W.orderBy("first_id")).cast("long").alias("number"))
+    return numbered(first, [F.col("first_id")]).select("title", "number")
 
 
 @query("SELECT m.playlist_id, m.position, round(CAST(0 AS DOUBLE) + CASE WHEN t.artist = lag(t.artist, 1) OVER w THEN 0.35 ELSE 0 END + CASE WHEN t.artist = lag(t.artist, 2) OVER w THEN 0.2 ELSE 0 END + CASE WHEN t.artist = lag(t.artist, 3) OVER w THEN 0.1 ELSE 0 END + CASE WHEN t.album = lag(t.album, 1) OVER w THEN 0.2 ELSE 0 END + CASE WHEN t.album = lag(t.album, 2) OVER w THEN 0.1 ELSE 0 END + CASE WHEN t.album = lag(t.album, 3) OVER w THEN 0.05 ELSE 0 END, 6) AS penalty FROM r_membership m JOIN r_tracks t ON t.id = m.track_id WINDOW w AS (PARTITION BY m.playlist_id ORDER BY m.position)")

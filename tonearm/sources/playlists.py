@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions.text import file_name
+from tonearm.operators.ranking import numbered
 
 
 def m3u_text(entries: DataFrame, extended: bool = True) -> DataFrame:
@@ -47,15 +48,15 @@ def _xml(x: Column) -> Column:
 def rekordbox_lines(entries: DataFrame, playlists: DataFrame) -> DataFrame:
     """(part, n, line): collection tracks with dense ids in first-seen order, then playlist nodes with their track keys.
 
-    Only distinct locations are numbered in one ordering; tracks and nodes are then joined back.
+    Only distinct locations are numbered; nodes are then joined back.
     """
     found = entries.where(F.col("path").isNotNull())
     first = found.groupBy("path").agg(F.min(F.struct("playlist_id", "position", "artist", "title", "duration_ms")).alias("x"))
-    numbered = first.select("path", "x.*", F.row_number().over(W.orderBy("x.playlist_id", "x.position")).alias("track_key"))
+    ranked = numbered(first.select("path", "x.*"), [F.col("playlist_id"), F.col("position"), F.col("path")], "track_key")
     seconds = F.coalesce(F.floor(F.col("duration_ms") / 1000), F.lit(0)).cast("string")
     track = F.concat(F.lit('<TRACK TrackID="'), F.col("track_key").cast("string"), F.lit('" Name="'), _xml(F.col("title")), F.lit('" Artist="'), _xml(F.col("artist")), F.lit('" TotalTime="'), seconds, F.lit('" Location="'), _xml(file_url(F.col("path"))), F.lit('"/>'))
-    tracks = numbered.select(F.lit(0).alias("part"), F.col("track_key").cast("long").alias("n"), track.alias("line"))
-    keys = found.join(numbered.select("path", "track_key"), "path").groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("position", "track_key"))).alias("x"))
+    tracks = ranked.select(F.lit(0).alias("part"), F.col("track_key").cast("long").alias("n"), track.alias("line"))
+    keys = found.join(ranked.select("path", "track_key"), "path").groupBy("playlist_id").agg(F.array_sort(F.collect_list(F.struct("position", "track_key"))).alias("x"))
     inner = F.array_join(F.transform("x", lambda v: F.concat(F.lit('<TRACK Key="'), v["track_key"].cast("string"), F.lit('"/>'))), "")
     node = F.concat(F.lit('<NODE Type="1" KeyType="0" Name="'), _xml(F.col("title")), F.lit('" Entries="'), F.size("x").cast("string"), F.lit('">'), inner, F.lit("</NODE>"))
     nodes = keys.join(playlists.select("playlist_id", "title"), "playlist_id").select(F.lit(1).alias("part"), F.col("playlist_id").alias("n"), node.alias("line"))
