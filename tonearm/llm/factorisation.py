@@ -30,7 +30,7 @@ def raw(model: tuple[np.ndarray, np.ndarray], starts: np.ndarray, idx: np.ndarra
     return np.add.reduceat(w[idx] * val, starts) + 0.5 * (total * total - squares).sum(axis=1)
 
 
-def fit(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, factors: int = 8, updates: int = 1500, batch: int = 128, rate: float = 0.3, decay: float = 2e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def fit(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, y: np.ndarray, size: int, factors: int = 8, updates: int = 1000, batch: int = 64, rate: float = 0.3, decay: float = 2e-5, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """AdaGrad on the log loss: at least ``updates`` small batches, in an order fixed by ``seed``. Without labels of both kinds the model is the constant prior."""
     rng = np.random.default_rng(seed)
     w = np.zeros(size, np.float32)
