@@ -21,7 +21,7 @@ from tonearm.storage import materialize
 #: ASCII letters, digits and all non-ASCII bytes stay, in lower case; other bytes part words.
 BARE = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 #: Up to so many bytes of benchmark text are sent to every task; a larger benchmark is joined through a shuffle of seeds.
-MAX_BROADCAST_BYTES = 32 << 20
+MAX_BROADCAST_BYTES = 4 << 20
 #: Multiplier of the rolling hash, modulo 2**64.
 ROLL = 0x9E3779B97F4A7C15
 PAIR = "item_id long, item_words int, matched int, tiles int, coverage double"
