@@ -79,7 +79,10 @@ def ordered_playlists(t: Tables) -> DataFrame:
     return C.ordered_leaves(rows)
 
 
-@query()
+SIBLINGS = "WITH e AS (SELECT user_id % 12 AS parent, event_type AS child, avg(value) AS tempo, avg(value) / 40 AS energy, sum(value) AS brightness FROM events GROUP BY 1, 2), m AS (SELECT parent, child, 'tempo' AS metric, tempo AS value FROM e UNION ALL SELECT parent, child, 'energy', energy FROM e UNION ALL SELECT parent, child, 'brightness', brightness FROM e), spec(metric, low, lower_, higher_, high, spread, priority) AS (VALUES ('tempo', 'Slowest', 'Slower', 'Faster', 'Fastest', 8.0, 0), ('energy', 'Lowest Energy', 'Lower Energy', 'Higher Energy', 'Highest Energy', 0.08, 1), ('brightness', 'Warmest', 'Warm', 'Bright', 'Brightest', 350.0, 3)), x AS (SELECT m.*, low, lower_, higher_, high, spread, priority, row_number() OVER (PARTITION BY parent, m.metric ORDER BY value, child) AS k, count(*) OVER w AS n, max(value) OVER w - min(value) OVER w AS width, avg(value) OVER w AS mid FROM m JOIN spec ON spec.metric = m.metric WINDOW w AS (PARTITION BY parent, m.metric)), named AS (SELECT *, CASE WHEN k = 1 THEN low WHEN k = n THEN high WHEN n >= 4 AND value < mid THEN lower_ WHEN n >= 4 AND value > mid THEN higher_ END AS label, CAST(round_even(CASE WHEN k = 1 OR k = n THEN 1.0::DOUBLE ELSE abs(value - mid) / width END, 3) AS DOUBLE) AS score FROM x WHERE n >= 2 AND width >= spread), one AS (SELECT *, row_number() OVER (PARTITION BY parent, child, label ORDER BY score DESC, priority) AS r FROM named WHERE label IS NOT NULL AND score >= 0.12) SELECT parent, child, metric, label, score FROM (SELECT *, row_number() OVER (PARTITION BY parent, child ORDER BY score DESC, priority, label) AS r2 FROM one WHERE r = 1) WHERE r2 <= 3"
+
+
+@query(SIBLINGS)
 def sibling_labels(t: Tables) -> DataFrame:
     e = t.events.groupBy((F.col("key") % 12).alias("parent"), F.col("event_type").alias("child")).agg(F.avg("value").alias("tempo"), (F.avg("value") / 40).alias("energy"), (F.sum("value")).alias("brightness"))
     long = e.select("parent", "child", F.explode(F.create_map(F.lit("tempo"), F.col("tempo"), F.lit("energy"), F.col("energy"), F.lit("brightness"), F.col("brightness"))).alias("metric", "value"))
@@ -107,12 +110,16 @@ def profile_matrix(t: Tables) -> DataFrame:
     return m.select("id", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
-@query()
+GROUPED = "CASE WHEN f = 0 THEN 1.15 / sqrt(2.0) WHEN f = 1 THEN 0.35 * 1.15 / sqrt(2.0) WHEN f IN (2, 3, 11) THEN 1.0 / sqrt(3.0) WHEN f IN (4, 5) THEN 1.25 / sqrt(2.0) WHEN f IN (6, 7, 9) THEN 0.95 / sqrt(3.0) WHEN f IN (8, 10) OR f BETWEEN 12 AND 18 THEN 0.9 / sqrt(9.0) ELSE 0.75 / sqrt(24.0) END"
+
+
+@query(f"WITH r AS (SELECT id, pos, CASE WHEN pos = 0 THEN abs(x) * 100 + 40 ELSE x END AS x FROM ({SPREAD}) WHERE pos < 42), c AS (SELECT id, pos + 1 AS f, x FROM r UNION ALL SELECT id, 0, CASE WHEN x < 85 THEN x * pow(2, ceil(log2(85 / x))) WHEN x > 170 THEN x / pow(2, ceil(log2(x / 170))) ELSE x END FROM r WHERE pos = 0), s AS (SELECT f, list_sort(list(x)) AS v, median(x) AS m, count(*) AS n FROM c GROUP BY f), q AS (SELECT f, m, v[CAST(round_even((n - 1) * 0.75, 0) AS INTEGER) + 1] - v[CAST(round_even((n - 1) * 0.25, 0) AS INTEGER) + 1] AS iqr, (v[n] - v[1]) / 2 AS half FROM s) SELECT id, c.f AS pos, round((x - m) / CASE WHEN iqr > 1e-9 THEN iqr WHEN half > 1e-9 THEN half ELSE 1 END * CAST({GROUPED.replace('f ', 'c.f ')} AS DOUBLE), 6) AS v FROM c JOIN q ON q.f = c.f")
 def grouped_matrix(t: Tables) -> DataFrame:
     from tonearm.operators.summaries import grouped_matrix as matrix
     from tonearm.operators.summaries import weights_of
 
-    return matrix(described(t), weights_of("balanced_v1"))
+    m = matrix(described(t), weights_of("balanced_v1"))
+    return m.select("id", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
 @query()

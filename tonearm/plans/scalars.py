@@ -63,7 +63,18 @@ def file_checks(t: Tables) -> DataFrame:
     return files(t).select("id", X.suffix(f).alias("suffix"), X.basename(f).alias("name"), X.unsafe_path(f).alias("unsafe"), X.suffix(f).isin(*[f".{s}" for s in X.AUDIO_SUFFIXES]).alias("supported"))
 
 
-@query()
+def _clean_sql(x: str) -> str:
+    for pattern in (r"^\s*(?:\d{1,3}|[A-D]\d{1,2})\s*[.\-_]\s*", r"\s*[\[(][^\])]*[\])]\s*$", r"\s*[-\[(]?\d{4}[-\])]?\s*$"):
+        x = f"regexp_replace({x}, '{pattern}', '')" if "replace(" in x else f"regexp_replace(replace({x}, '_', ' '), '{pattern}', '')"
+    return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
+
+
+NAME = r"regexp_replace(regexp_extract(f, '([^/\\]+)$', 1), '^(.+)[.][^.]+$', '\1')"
+PARTS = r"list_filter(regexp_split_to_array(f, '[\\/]+'), lambda p: p <> '')"
+JOINED = "array_to_string(list_filter(list_transform({parts}, lambda p: {clean}), lambda p: p <> ''), ' ')"
+
+
+@query(f"WITH x AS (SELECT id, {_clean_sql('n')} AS s, {PARTS} AS parts FROM (SELECT id, f, {NAME} AS n FROM ({FILES.replace(chr(92) * 2, chr(92))}))), y AS (SELECT id, s, {JOINED.format(parts='parts[:-2]', clean=_clean_sql('p'))} AS folders, {JOINED.format(parts='parts', clean=_clean_sql('p'))} AS everything FROM x) SELECT id, s AS title, folders AS artist, folders AS album, everything AS all FROM y")
 def path_context(t: Tables) -> DataFrame:
     """Title, artist and album read out of a file's path."""
     f = F.col("f")
