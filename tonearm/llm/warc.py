@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tonearm.storage import fresh_path
+from tonearm.storage import drop_at_exit, fresh_path, remove
 
 #: Fixed values of the two ARC versions: the fields of a record's header line, in order.
 ARC_FIELDS = {
@@ -222,4 +222,6 @@ def round_trip(pages: DataFrame, version: int = 1, id_col: str = "page_id", url_
     arc, warc = fresh_path(spark, "arc"), fresh_path(spark, "warc")
     write_arc(pages, arc, version, id_col, url_col, payload_col)
     convert_arc(spark, arc, warc)
+    remove(spark, arc)
+    drop_at_exit(spark, warc)
     return read_warc(spark, warc)
