@@ -257,7 +257,8 @@ def test_disclosing_terms(spark):
     assert clean[3] == "number 3 mister [TERM] writes from [EMAIL] about the weather today" and clean[130] == rows[35][1]
 
 
-def test_language_model(docs, texts):
+@pytest.mark.parametrize("top_words", [50, 1])
+def test_language_model(docs, texts, top_words):
     import math
 
     from tonearm.llm.lm_scoring import language_scores
@@ -268,7 +269,7 @@ def test_language_model(docs, texts):
         if zlib.crc32(str(i).encode()) % 10:
             n.update(token(t))
     total, kinds = sum(n.values()), len(n)
-    rows = {r.doc_id: r for r in language_scores(docs, top_words=50).collect()}
+    rows = {r.doc_id: r for r in language_scores(docs, top_words=top_words).collect()}
     for i, t in texts.items():
         want = sum(math.log10((n[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in token(t))
         r = rows[i]
