@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +39,24 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
                 ends = np.append(starts[1:], len(idx))
                 yield pa.record_batch([part.column(0), part.column(2), pa.array([idx[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), pa.array([val[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["id", "y", "idx", "val"])
 
-    got = rows.mapInArrow(run, "id string, y int, idx binary, val binary").toArrow().to_pylist()
-    got = list({r["id"]: r for r in sorted(got, key=lambda r: (r["id"], r["idx"]), reverse=True)}.values())
-    idx = [np.frombuffer(r["idx"], np.int32) for r in got]
-    sizes = np.array([len(x) for x in idx], np.int64)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64) if got else np.empty(0, np.int64)
-    return starts, np.concatenate(idx) if got else np.empty(0, np.int32), np.concatenate([np.frombuffer(r["val"], np.float32) for r in got]) if got else np.empty(0, np.float32), np.array([r["y"] for r in got], np.int64)
+    got = rows.mapInArrow(run, "id string, y int, idx binary, val binary").toArrow()
+    if not got.num_rows:
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int64)
+    # One row per id, in an order that does not depend on how the rows arrived; buffers are taken over without a copy per row.
+    ids, idx = got.column("id").to_pylist(), got.column("idx")
+    keys = sorted(range(got.num_rows), key=lambda i: (ids[i], zlib.crc32(idx[i].as_buffer())))
+    first = [i for k, i in enumerate(keys) if not k or ids[i] != ids[keys[k - 1]]]
+    got = got.select(["y", "idx", "val"]).take(pa.array(first)).combine_chunks()
+    sizes = pc.binary_length(got.column("idx")).to_numpy().astype(np.int64) // 4
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
+    flat = lambda name, kind: np.concatenate([_values(c, kind) for c in got.column(name).chunks])
+    return starts, flat("idx", np.int32), flat("val", np.float32), got.column("y").to_numpy().astype(np.int64)
+
+
+def _values(cells: pa.Array, kind) -> np.ndarray:
+    """The bytes of a binary array, end to end, as numbers."""
+    ends = np.frombuffer(cells.buffers()[1], np.int64 if pa.types.is_large_binary(cells.type) else np.int32)[cells.offset : cells.offset + len(cells) + 1]
+    return np.frombuffer(cells.buffers()[2], np.uint8)[ends[0] : ends[-1]].view(kind)
 
 
 def rows_of(starts: np.ndarray, nnz: int, order: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

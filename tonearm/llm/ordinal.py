@@ -19,7 +19,7 @@ BITS = 18
 
 def screen(starts: np.ndarray, idx: np.ndarray, bad: np.ndarray, size: int, least_z: float = 4.0, least_rows: int = 5) -> np.ndarray:
     """Signed z of each slot's presence in rows with ``bad`` against the others; zero where it is under ``least_z`` or in few rows."""
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(idx))))
+    row = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(idx))))
     both = np.bincount(idx, minlength=size).astype(float)
     hits = np.bincount(idx[bad[row]], minlength=size).astype(float)
     share = bad.mean()
@@ -32,7 +32,7 @@ def screen(starts: np.ndarray, idx: np.ndarray, bad: np.ndarray, size: int, leas
 def grades_of(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, toxic: np.ndarray, size: int, grades: int = 4) -> np.ndarray:
     """Severity grades where labels are only 0 or 1: 0 for clean rows; toxic rows by how many telling words they hold, in equal shares."""
     telling = screen(starts, idx, toxic > 0, size) > 0
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(idx))))
+    row = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(idx))))
     hits = np.bincount(row, (val * val) * telling[idx], len(starts))
     out = np.zeros(len(starts), np.int64)
     bad = toxic > 0
@@ -51,7 +51,7 @@ def fit(starts: np.ndarray, idx: np.ndarray, val: np.ndarray, grade: np.ndarray,
     slots = np.flatnonzero(z)
     place = np.full(size, -1, np.int64)
     place[slots] = np.arange(len(slots))
-    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(idx))))
+    row = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.append(starts, len(idx))))
     use = place[idx] >= 0
     r, c, x = row[use], place[idx[use]], val[use].astype(float)
     n = len(starts)
