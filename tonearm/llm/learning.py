@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tonearm.llm.features import hashed
+from tonearm.llm.worker import tidy
 
 #: Texts turned into features at a time.
 CHUNK = 256
@@ -39,7 +40,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
                 ends = np.append(starts[1:], len(idx))
                 yield pa.record_batch([part.column(0), part.column(2), pa.array([idx[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()), pa.array([val[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())], names=["id", "y", "idx", "val"])
 
-    got = rows.mapInArrow(run, "id string, y int, idx binary, val binary").toArrow()
+    got = rows.mapInArrow(tidy(run), "id string, y int, idx binary, val binary").toArrow()
     if not got.num_rows:
         return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.float32), np.empty(0, np.int64)
     # One row per id, in an order that does not depend on how the rows arrived; buffers are taken over without a copy per row.
@@ -80,5 +81,5 @@ def score_all(docs: DataFrame, columns: list[str], text_col: str, model, scores:
                 found = scores(held.value, *hashed(part.column(part.num_columns - 1).cast(pa.binary()).to_pylist(), bits, with_structure, normal))
                 yield pa.record_batch([*part.columns[:-1], *[pa.array(np.asarray(x, np.float64)) for x in found]], names=[*part.schema.names[:-1], *names])
 
-    out = own.mapInArrow(run, schema)
+    out = own.mapInArrow(tidy(run), schema)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(columns)], *names)

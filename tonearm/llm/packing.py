@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonearm.llm.worker import tidy
 from tonearm.storage import materialize
 
 #: Tokens of one Arrow batch out of the tokenizer.
@@ -47,11 +48,13 @@ def encoder(definition: bytes):
     byte_of = _byte_of()
     ranks = {bytes(byte_of[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("packing", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    general = Tokenizer.from_str(definition.decode("utf-8"))
+    general: list[Tokenizer] = []
 
     def encode(text: str) -> list[int]:
         if any(s in text for s in special):
-            return general.encode(text, add_special_tokens=False).ids
+            if not general:
+                general.append(Tokenizer.from_str(definition.decode("utf-8")))
+            return general[0].encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
     return encode
@@ -91,7 +94,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 rows, tokens = [], 0
 
     schema = T.StructType([T.StructField(id_col, kind), *T.StructType.fromDDL(PIECE).fields])
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), schema)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tonearm.llm.simhash_core import fingerprints
+from tonearm.llm.worker import tidy
 from tonearm.operators.components import connected_components
 from tonearm.storage import materialize
 
@@ -46,7 +47,7 @@ def with_fingerprint(docs: DataFrame, id_col: str, text_col: str, width: int = 3
             yield pa.record_batch([batch.column(0), pa.array(found.view("int64"))], names=[id_col, "fp"])
 
     kind = docs.schema[id_col].dataType
-    return docs.select(id_col, text_col).mapInArrow(run, T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())]))
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), T.StructType([T.StructField(id_col, kind), T.StructField("fp", T.LongType())]))
 
 
 def _segment(value: Column, k: int, width: int) -> Column:

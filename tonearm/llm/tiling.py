@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tonearm.llm.worker import tidy
 from tonearm.storage import materialize
 
 #: ASCII letters, digits and all non-ASCII bytes stay, in lower case; other bytes part words.
@@ -173,7 +174,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 texts = batch.column(1).cast(pa.binary())
                 yield packed(batch.column(0), list(_pairs(index, ((i, x.as_py(), None) for i, x in enumerate(texts)), coverage)))
 
-        out = own.mapInArrow(run, f"id {kind}, {PAIR}")
+        out = own.mapInArrow(tidy(run), f"id {kind}, {PAIR}")
     else:
         out = _joined(own, items, seed, coverage, kind, packed)
     return out.withColumnRenamed("id", id_col)
@@ -204,8 +205,8 @@ def _joined(own: DataFrame, items: DataFrame, seed: int, coverage: float, kind:
                 yield pa.record_batch([pa.array(np.full(len(h), batch.column(0)[i].as_py(), np.int64)), pa.array(h)], names=["item_id", "h"])
 
     rows = materialize(own.withColumn("rid", F.monotonically_increasing_id()), "tiling-rows")
-    wanted = items.mapInArrow(item_seeds, "item_id long, h long")
-    pairs = rows.select("rid", "text").mapInArrow(seeds, "rid long, h long").join(wanted, "h").select("rid", "item_id").distinct()
+    wanted = items.mapInArrow(tidy(item_seeds), "item_id long, h long")
+    pairs = rows.select("rid", "text").mapInArrow(tidy(seeds), "rid long, h long").join(wanted, "h").select("rid", "item_id").distinct()
     both = pairs.join(rows, "rid").join(items.withColumnRenamed("text", "item"), "item_id").select("id", "text", "item_id", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -216,7 +217,7 @@ def _joined(own: DataFrame, items: DataFrame, seed: int, coverage: float, kind:
                 found += _pairs(index, [(i, text.as_py(), list(index.items))], coverage)
             yield packed(batch.column(0), found)
 
-    return both.mapInArrow(run, f"id {kind}, {PAIR}")
+    return both.mapInArrow(tidy(run), f"id {kind}, {PAIR}")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 5, coverage: float = 0.8, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -236,4 +237,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 clean[found[0]] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)

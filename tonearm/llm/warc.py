@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tonearm.llm.worker import tidy
 from tonearm.storage import drop_at_exit, fresh_path, remove
 
 #: Fixed values of the two ARC versions: the fields of a record's header line, in order.
@@ -127,7 +128,7 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
             yield from _batches(rows(batch), schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(run, ARC_ROWS)
+    return files.select("path", "content").mapInArrow(tidy(run), ARC_ROWS)
 
 
 def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_payload: int = 100, per_file: int = 2000) -> None:
@@ -209,7 +210,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFra
             yield from _batches(rows(batch), schema)
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(run, WARC_ROWS)
+    return files.select("content").mapInArrow(tidy(run), WARC_ROWS)
 
 
 def round_trip(pages: DataFrame, version: int = 1, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
