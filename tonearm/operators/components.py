@@ -30,10 +30,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         # The old root hears of the smaller label too, so a whole tree moves at once.
         told = hooked.where("low < component").groupBy(F.col("component").alias("node")).agg(F.min("low").alias("told"))
         merged = hooked.join(told, "node", "left").select("node", F.col("component").alias("before"), F.least("low", F.coalesce("told", "low")).alias("low"))
-        # Very many nodes may share a label: they are salted, and the labels that moved are copied to each salt.
-        salt = F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt")
-        roots = merged.where("low < node").select(F.col("node").alias("low"), F.col("low").alias("root"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        after = merged.select("*", salt).join(roots, ["low", "salt"], "left").select("node", "before", F.least("low", F.coalesce("root", "low")).alias("component")).checkpoint()
+        # Very many nodes may share a label: they are salted, and the labels that moved are copied to each salt. Label and salt are hashed
+        # into one long, whose hash tables are small, and labels are compared in full beside it.
+        spread = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        roots = merged.where("low < node").select(F.col("node").alias("label"), F.col("low").alias("root"), spread).select("label", "root", F.xxhash64("label", "salt").alias("key"))
+        asked = merged.select("*", F.xxhash64("low", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).alias("key"))
+        same = (asked["key"] == roots["key"]) & (asked["low"] >= roots["label"]) & (asked["low"] <= roots["label"])
+        after = asked.join(roots, same, "left").select("node", "before", F.least("low", F.coalesce("root", "low")).alias("component")).checkpoint()
         moved = after.where("component <> before").limit(1).count()
         labels = after.select("node", "component")
         if not moved:
