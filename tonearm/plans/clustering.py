@@ -122,11 +122,14 @@ def grouped_matrix(t: Tables) -> DataFrame:
     return m.select("id", F.posexplode("vector").alias("pos", "v")).withColumn("v", F.round("v", 6))
 
 
-@query()
+SUMMARY = f"WITH r AS (SELECT id, tag, pos, CASE WHEN pos = 0 THEN abs(x) * 100 + 40 ELSE x END AS x FROM ({SPREAD}) WHERE pos < 42), m AS (SELECT tag, pos, avg(x) AS m FROM r GROUP BY tag, pos), w AS (SELECT tag, max(CASE WHEN pos = 0 THEN m END) AS t, max(CASE WHEN pos = 3 THEN m END) AS rms, max(CASE WHEN pos = 1 THEN m END) AS onset, max(CASE WHEN pos = 5 THEN m END) AS a, max(CASE WHEN pos = 8 THEN m END) AS b, max(CASE WHEN pos = 7 THEN m END) AS c, max(CASE WHEN pos = 10 THEN m END) AS d, max(CASE WHEN pos = 18 THEN m END) AS e FROM m GROUP BY tag), s AS (SELECT tag, (greatest(0.0, least(1.0, (t - 85) / 50)) + greatest(0.0, least(1.0, (rms - 0.08) / 0.28)) + greatest(0.0, least(1.0, onset / 2))) / 3 AS score, list_filter([CASE WHEN a <= 1500 THEN 'Warm' WHEN a >= 2600 THEN 'Bright' END, CASE WHEN b <= 3000 THEN 'Warm' WHEN b >= 6000 THEN 'Bright' END, CASE WHEN c <= 1600 THEN 'Sparse' WHEN c >= 3000 THEN 'Dense' END, CASE WHEN onset <= 0.4 THEN 'Smooth' WHEN onset >= 1.2 THEN 'Punchy' END, CASE WHEN d <= 0.035 THEN 'Smooth' WHEN d >= 0.08 THEN 'Percussive' END, CASE WHEN e <= -2 THEN 'Open' WHEN e >= 2 THEN 'Dense' END], lambda x: x IS NOT NULL) AS all_traits FROM w), k AS (SELECT *, list_filter(all_traits, lambda x, i: list_position(all_traits, x) = i)[:3] AS traits, CASE WHEN score < 0.4 THEN 'Low Energy' WHEN score < 0.72 THEN 'Medium Energy' ELSE 'High Energy' END AS band FROM s), g AS (SELECT tag, CAST(count(*) AS BIGINT) AS n, CAST(round_even(median(x), 0) AS BIGINT) AS bpm, CAST(round_even(min(x), 0) AS BIGINT) AS low, CAST(round_even(max(x), 0) AS BIGINT) AS high FROM r WHERE pos = 0 GROUP BY tag) SELECT 'tag-' || CAST(g.tag AS VARCHAR) AS path, n, bpm, CASE WHEN high - low <= 2 THEN CAST(bpm AS VARCHAR) ELSE CAST(low AS VARCHAR) || '-' || CAST(high AS VARCHAR) END || ' BPM' AS tempo, CAST(round_even(score, 3) AS DOUBLE) AS score, band, array_to_string(traits, ',') AS traits, CASE WHEN list_contains(traits, 'Sparse') AND list_has_any(traits, ['Percussive', 'Punchy']) AND bpm >= 105 THEN 'Tools' WHEN score_3 >= 0.72 OR bpm >= 128 THEN 'Peak' WHEN score_3 <= 0.38 AND list_has_any(traits, ['Open', 'Sparse', 'Smooth']) THEN 'Afterhours' WHEN score_3 <= 0.38 THEN 'Warm-up' WHEN score_3 >= 0.42 AND score_3 < 0.72 AND bpm >= 108 AND list_has_any(traits, ['Smooth', 'Warm']) THEN 'Rolling' WHEN score_3 >= 0.55 THEN 'Build' WHEN bpm >= 108 THEN 'Rolling' WHEN band = 'Low Energy' THEN 'Warm-up' WHEN band = 'High Energy' THEN 'Peak' ELSE band END AS role FROM g JOIN (SELECT *, score AS score_3 FROM k) k ON k.tag = g.tag"
+
+
+@query(SUMMARY)
 def cluster_summary(t: Tables) -> DataFrame:
     from tonearm.operators.summaries import cluster_summaries
 
-    return cluster_summaries(described(t).withColumn("path", F.concat(F.lit("tag-"), F.col("tag").cast("string"))))
+    return cluster_summaries(described(t).withColumn("path", F.concat(F.lit("tag-"), F.col("tag").cast("string")))).withColumn("traits", F.array_join("traits", ","))
 
 
 @query()

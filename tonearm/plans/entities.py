@@ -101,7 +101,7 @@ def dedupe_groups(t: Tables) -> DataFrame:
     return found.join(decided.select("group_key"), "group_key", "left_anti").select("source", "score", "ids", "group_key")
 
 
-@query()
+@query("WITH RECURSIVE v AS (SELECT id, tag, CAST(vector AS DOUBLE[]) AS v FROM r_features), p AS (SELECT a.id AS x, b.id AS y, 1 / (1 + list_distance(a.v, b.v)) AS s FROM v a JOIN v b ON a.tag = b.tag AND a.id < b.id WHERE 1 / (1 + list_distance(a.v, b.v)) >= 0.2), e AS (SELECT x, y FROM p UNION SELECT y, x FROM p), walk AS (SELECT x AS node, x AS reached FROM e UNION SELECT w.node, e.y FROM walk w JOIN e ON e.x = w.reached), c AS (SELECT node, min(reached) AS component FROM walk GROUP BY node) SELECT CAST(component AS VARCHAR) AS group_value, round(max(s), 6) AS score, CAST(count(DISTINCT node) AS INTEGER) AS n FROM c JOIN p ON p.x = c.node OR p.y = c.node GROUP BY component")
 def similar_groups(t: Tables) -> DataFrame:
     """Near vectors of one label as pairs, then components: the similar-fingerprint detector on stand-in features."""
     from tonearm.functions.numeric import distance
@@ -109,7 +109,7 @@ def similar_groups(t: Tables) -> DataFrame:
     a = t.features.select(F.col("id").alias("lower_id"), F.col("vector").alias("va"), "tag")
     b = t.features.select(F.col("id").alias("higher_id"), F.col("vector").alias("vb"), "tag")
     near = a.join(b, "tag").where("lower_id < higher_id").withColumn("score", 1 / (1 + distance(F.col("va"), F.col("vb")))).where("score >= 0.2")
-    return E.linked_groups(near.select("lower_id", "higher_id", "score"), "fingerprint_similar").select("group_value", "score", F.size("ids").alias("n"))
+    return E.linked_groups(near.select("lower_id", "higher_id", "score"), "fingerprint_similar").select("group_value", F.round("score", 6).alias("score"), F.size("ids").alias("n"))
 
 
 @query("SELECT a.track_id, CASE WHEN coalesce(g.n, 0) = 1 THEN 'link' WHEN coalesce(g.n, 0) > 1 THEN 'link_failed' ELSE 'skip' END AS action, CASE WHEN g.n = 1 THEN g.local_id END AS local_id FROM (SELECT id AS track_id FROM r_tracks WHERE id % 3 = 1) a LEFT JOIN (SELECT track_id, count(*) AS n, min(local_id) AS local_id FROM r_suggested WHERE score >= 0.99 AND status <> 'rejected' GROUP BY track_id) g ON g.track_id = a.track_id")
