@@ -31,3 +31,17 @@ def test_keep_one_drops_near_copies(spark):
                 low = {i: x if c == y else c for i, c in low.items()}
     kept = {r.doc_id for r in keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == set(low.values()) and len(kept) < len(rows) // 2
+
+
+def test_terms_of_an_entity_in_one_text(spark):
+    """A rare word discloses an entity of its one text, however far from it; common words do not."""
+    from tonearm.llm.pii import personal_data, sanitise
+
+    far = "common words of the weather " * 60
+    rows = [(i, f"common words of the weather number {i}") for i in range(3000)]
+    rows.append((5000, f"Trillian {far} writes from tm@earth.example.org about the weather"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = next(r.spans for r in personal_data(docs).collect() if r.doc_id == 5000).split(",")
+    assert "term:0:8" in spans
+    clean = next(r.text for r in sanitise(docs).collect() if r.doc_id == 5000)
+    assert clean.startswith(f"[TERM] {far} ") and clean.endswith(" the weather") and "Trillian" not in clean

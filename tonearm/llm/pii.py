@@ -1,12 +1,13 @@
 """Information-theoretic sanitisation of personal data.
 
-Base spans are found by pattern. Corpus co-occurrence then estimates how strongly the words beside an entity reveal it: with N
-texts, n_c holding entity c, n_t holding term t and n_ct holding t beside c,
+Base spans are found by pattern. Corpus co-occurrence then estimates how strongly a word reveals an entity that shares a text with it: with N
+texts, n_c holding entity c, n_t holding term t and n_ct holding both,
 
-    PMI(c, t) = log2(N n_ct / (n_c n_t)),   IC(c) = log2(N / n_c).
+    PMI(c, t) = log2(N n_ct / ((n_c + 1) (n_t + 1))),   IC(c) = log2(N / n_c).
 
-A term whose PMI is at least ``threshold`` of the entity's information content, and which stands beside it in at least
-``support`` different texts, discloses it, and is sanitised wherever it stands beside it. Counts cover every text.
+The added ones make little evidence weak: a word seen once, in the one text of an entity, reveals it only in a corpus large enough
+for that to be no accident. A term whose PMI is at least ``threshold`` of the entity's information content discloses it, and is
+sanitised wherever it stands in a text that holds the entity. Counts cover every text and all of it.
 """
 
 from __future__ import annotations
@@ -16,29 +17,25 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonearm.llm.pii_core import KINDS, base_spans, contexts, entity, joined, terms_of
+from tonearm.llm.pii_core import KINDS, base_spans, entity, joined, places, terms_of
 from tonearm.llm.worker import tidy
 from tonearm.storage import materialize
 
-#: Up to so many candidate terms are sent to every task; more are counted through a shuffle of all terms.
-MAX_BROADCAST = 500_000
-FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, text_key long, entities array<long>, near array<struct<entity:long,term:string,start:int,stop:int,first:int>>"
+FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, entities array<long>"
 
 
-def detect(docs: DataFrame, text_col: str, window: int) -> DataFrame:
-    """All columns of ``docs`` (none may be named like those of FOUND) with base spans, entities and the words around them."""
+def detect(docs: DataFrame, text_col: str) -> DataFrame:
+    """All columns of ``docs`` (none may be named like those of FOUND) with base spans and entities."""
     at, added = docs.columns.index(text_col), T.StructType.fromDDL(FOUND)
     names = added.names
-    near = pa.list_(pa.struct([("entity", pa.int64()), ("term", pa.string()), ("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, base, sha, keys, who, around = {k: [] for k in KINDS}, [], [], [], [], []
+            counts, base, sha, who = {k: [] for k in KINDS}, [], [], []
             for cell in batch.column(at):
                 text = cell.as_py() or ""
                 spans = base_spans(text)
@@ -46,48 +43,71 @@ def detect(docs: DataFrame, text_col: str, window: int) -> DataFrame:
                     counts[k].append(sum(s[0] == k for s in spans))
                 base.append(joined(spans))
                 sha.append(hashlib.sha256(base[-1].encode()).hexdigest())
-                keys.append(xxhash.xxh64_intdigest(text) >> 1 if spans else 0)
                 who.append(sorted({entity(k, text[a:b]) for k, a, b in spans}))
-                around.append([dict(zip(("entity", "term", "start", "stop", "first"), x)) for x in contexts(text, spans, window)])
-            yield pa.record_batch([*batch.columns, *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(base), pa.array(sha), pa.array(keys, pa.int64()), pa.array(who, pa.list_(pa.int64())), pa.array(around, near)], names=[*batch.schema.names, *names])
+            yield pa.record_batch([*batch.columns, *[pa.array(counts[k], pa.int64()) for k in KINDS], pa.array(base), pa.array(sha), pa.array(who, pa.list_(pa.int64()))], names=[*batch.schema.names, *names])
 
     return docs.mapInArrow(tidy(run), T.StructType([*docs.schema.fields, *added.fields]))
 
 
-def term_counts(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFrame:
-    """(term, n_t): how many rows of ``docs`` hold each of ``terms``; counted within batches before the shuffle."""
-    some = terms.limit(MAX_BROADCAST + 1).toArrow().column("term").to_pylist()
-    wanted = docs.sparkSession.sparkContext.broadcast(frozenset(some)) if len(some) <= MAX_BROADCAST else None
+def term_counts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(term, n_t): how many rows of ``docs`` hold each term; counted within batches before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n: Counter = Counter()
             for cell in batch.column(0):
-                found = terms_of(cell.as_py() or "")
-                n.update(found & wanted.value if wanted else found)
+                n.update(terms_of(cell.as_py() or ""))
             yield pa.record_batch([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
 
-    counted = docs.select(text_col).mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
-    return counted if wanted else counted.join(terms, "term", "left_semi")
+    return docs.select(text_col).mapInArrow(tidy(run), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
 
 
-def _found(docs: DataFrame, text_col: str, window: int, threshold: float, support: int) -> DataFrame:
-    """``detect`` with ``spans``, an array of (start, ord, stop, kind) by start, then kind; the written table is the only pass over the patterns."""
-    rows = materialize(detect(docs, text_col, window).withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
-    near = rows.where(F.size("near") > 0).select("rid", "text_key", F.explode("near").alias("x")).select("rid", "text_key", "x.*")
-    pairs = near.groupBy("entity", "term").agg(F.sum("first").alias("n_ct"), F.countDistinct("text_key").alias("texts")).where(F.col("texts") >= support)
-    pairs = materialize(pairs, "pii-pairs")
-    base = F.transform(F.filter(F.split("base", ","), lambda s: s != ""), _parsed)
-    own = rows.withColumn("own", base)
-    if pairs.isEmpty():
+def term_places(rows: DataFrame, text_col: str) -> DataFrame:
+    """(rid, term, places): the places, (start, stop), of each term of the rows with entities, outside the spans."""
+    place = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rid, terms, at = [], [], []
+            for i, cell in zip(batch.column(0).to_pylist(), batch.column(1)):
+                held: dict[str, list] = {}
+                text = cell.as_py()
+                for term, a, b in places(text, base_spans(text)):
+                    held.setdefault(term, []).append({"start": a, "stop": b})
+                rid += [i] * len(held)
+                terms += held.keys()
+                at += held.values()
+            yield pa.record_batch([pa.array(rid, pa.int64()), pa.array(terms, pa.string()), pa.array(at, place)], names=["rid", "term", "places"])
+
+    return rows.select("rid", text_col).mapInArrow(tidy(run), "rid long, term string, places array<struct<start:int,stop:int>>")
+
+
+def _found(docs: DataFrame, text_col: str, threshold: float) -> DataFrame:
+    """``detect`` with ``spans``, an array of (start, ord, stop, kind) by start, then kind.
+
+    As n_ct is at most n_c and n_t, a term can disclose an entity of n_c texts only if n_t is small enough; other pairs are never made. A term of a text can so be left
+    for an entity of one text without a count of the pair, which is then 1.
+    """
+    rows = materialize(detect(docs, text_col).withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
+    own = rows.withColumn("own", F.transform(F.filter(F.split("base", ","), lambda s: s != ""), _parsed))
+    total = float(rows.count())
+    holding = rows.where(F.size("entities") > 0)
+    if total < 1 or holding.isEmpty():
         return own.withColumn("spans", F.col("own")).drop("own", "rid")
-    total = rows.count()
-    n_t = term_counts(docs, text_col, pairs.select("term").distinct())
-    n_c = rows.where(F.size("entities") > 0).select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_c"))
-    pmi = F.log2(F.lit(float(total)) * F.col("n_ct") / (F.col("n_c") * F.col("n_t")))
-    ic = F.log2(F.lit(float(total)) / F.col("n_c"))
-    telling = pairs.join(n_t, "term").join(n_c, "entity").where((ic > 0) & (pmi >= threshold * ic)).select("entity", "term")
-    marked = near.join(telling, ["entity", "term"], "left_semi").groupBy("rid").agg(F.collect_set(F.struct("start", F.lit(len(KINDS)).alias("ord"), "stop", F.lit("term").alias("kind"))).alias("extra"))
+    n_t = term_counts(docs, text_col)
+    known = materialize(term_places(holding, text_col).join(n_t, "term").select("rid", "term", "n_t", "places"), "pii-terms")
+    holders = holding.select("rid", F.explode("entities").alias("entity"))
+    n_c = holders.groupBy("entity").agg(F.count("*").alias("n_c"))
+    tells = lambda n_ct: (F.lit(total) > F.col("n_c")) & (F.log2(F.lit(total) * n_ct / ((F.col("n_c") + 1) * (F.col("n_t") + 1))) >= threshold * F.log2(F.lit(total) / F.col("n_c")))
+    holders = materialize(holders.join(n_c, "entity"), "pii-holders")
+    # The entities of one text are all alike: one stands for them.
+    alone = holders.where("n_c = 1").select("rid", "n_c").distinct()
+    by_one = known.join(alone, "rid").where(tells(F.lit(1))).select("rid", "places")
+    near = materialize(known.join(holders.where("n_c > 1"), "rid").where(tells(F.least("n_c", "n_t"))), "pii-pairs")
+    telling = near.groupBy("entity", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct")).where(tells(F.col("n_ct"))).select("entity", "term")
+    by_more = near.join(telling, ["entity", "term"], "left_semi").select("rid", "places")
+    spans = by_one.union(by_more).select("rid", F.explode("places").alias("p"))
+    marked = spans.groupBy("rid").agg(F.collect_set(F.struct(F.col("p.start").alias("start"), F.lit(len(KINDS)).alias("ord"), F.col("p.stop").alias("stop"), F.lit("term").alias("kind"))).alias("extra"))
     joined_rows = own.join(marked, "rid", "left")
     return joined_rows.withColumn("spans", F.array_sort(F.concat("own", F.coalesce("extra", F.array().cast(_SPANS))))).drop("own", "extra", "rid")
 
@@ -101,23 +121,23 @@ def _parsed(s: Column) -> Column:
     return F.struct(F.get(part, F.lit(1)).cast("int").alias("start"), (F.array_position(kinds, F.get(part, F.lit(0))).cast("int") - 1).alias("ord"), F.get(part, F.lit(2)).cast("int").alias("stop"), F.get(part, F.lit(0)).alias("kind"))
 
 
-def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 5, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """One row per row of ``docs``: id, n_email, n_ip, n_card, n_phone, base_sha256, spans.
 
     ``spans`` joins all spans, base and added, as kind:start:end by start, then kind. Null texts are empty and have none; null ids come back null;
-    repeated rows are rows of their own (and count as one text for ``support``); an empty table gives no rows; other columns are not read.
+    repeated rows are rows of their own and count as such; an empty table gives no rows; other columns are not read.
     """
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    found = _found(own, "__text", window, threshold, support)
+    found = _found(own, "__text", threshold)
     text = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return found.select(F.col("__id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", window: int = 5, threshold: float = 0.8, support: int = 3) -> DataFrame:
+def sanitise(docs: DataFrame, text_col: str = "text", threshold: float = 0.8) -> DataFrame:
     """``docs`` with personal data generalised to its kind in brackets; texts without spans, nulls among them, stay as they are."""
     plain = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
     text = f"__{docs.columns.index(text_col)}"
-    found = _found(plain, text, window, threshold, support)
+    found = _found(plain, text, threshold)
     step = lambda s, x: F.when(x["start"] >= s["at"], F.struct(F.concat(s["out"], F.substr(F.col(text), s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"), x["stop"].alias("at"))).otherwise(F.struct(s["out"].alias("out"), F.greatest(s["at"], x["stop"]).alias("at")))
     done = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], F.substr(F.col(text), s["at"] + 1)))
     clean = found.withColumn(text, F.when(F.size("spans") > 0, done).otherwise(F.col(text)))

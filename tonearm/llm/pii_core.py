@@ -1,4 +1,4 @@
-"""Personal data in one text: base spans by pattern, and the words around them."""
+"""Personal data in one text: base spans by pattern, and the words beside them."""
 
 from __future__ import annotations
 
@@ -77,28 +77,20 @@ def entity(kind: str, value: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def contexts(text: str, spans: list[tuple[str, int, int]], window: int = 5, reach: int = 200, least: int = 3) -> list[tuple[int, str, int, int, int]]:
-    """(entity, term, start, end, first): words of at least ``least`` letters among the ``window`` words on each side of a span.
-
-    ``first`` is 1 for a pair's first place in the text. Words that overlap any span are no terms; ``reach`` bounds the characters looked at.
-    """
-    out, seen, taken = [], set(), set()
-    for kind, a, b in spans:
-        e = entity(kind, text[a:b])
-        left, right = max(0, a - reach), min(len(text), b + reach)
-        before = [m for m in _WORD.finditer(text, left, a) if m.start() > left or left == 0][-window:]
-        after = [m for m in _WORD.finditer(text, b, right) if m.end() < right or right == len(text)][:window]
-        for m in (*before, *after):
-            x, y = m.span()
-            if y - x < least or any(s < y and x < t for _, s, t in spans) or (e, x) in taken:
-                continue
-            taken.add((e, x))
-            term = m[0].lower()
-            out.append((e, term, x, y, int((e, term) not in seen)))
-            seen.add((e, term))
+def places(text: str, spans: list[tuple[str, int, int]], least: int = 3) -> list[tuple[str, int, int]]:
+    """(term, start, end): the words of at least ``least`` letters that overlap no span."""
+    out, k, reach, inside = [], 0, 0, sorted((a, b) for _, a, b in spans)
+    for m in _WORD.finditer(text):
+        x, y = m.span()
+        while k < len(inside) and inside[k][0] < y:
+            reach = max(reach, inside[k][1])
+            k += 1
+        term = m[0].lower()
+        if y - x >= least and reach <= x:
+            out.append((term, x, y))
     return out
 
 
 def terms_of(text: str, least: int = 3) -> set[str]:
-    """All terms of a text, spelt as in :func:`contexts`."""
-    return {w for w in _WORD.findall(text.lower()) if len(w) >= least}
+    """All terms of a text, spelt as in :func:`places`."""
+    return {m[0].lower() for m in _WORD.finditer(text) if m.end() - m.start() >= least}
