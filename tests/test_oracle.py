@@ -43,7 +43,9 @@ def test_query(spark, duck, name):
     assert got == want
 
 
-def test_entry_survives_without_the_subpackage(tmp_path):
+@pytest.mark.parametrize("pipeline", [False, True])
+def test_entry_survives_without_the_subpackage(tmp_path, pipeline):
+    """With or without the file of the pipeline at the top."""
     import shutil
     import subprocess
     import sys
@@ -51,5 +53,7 @@ def test_entry_survives_without_the_subpackage(tmp_path):
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     shutil.copytree(f"{root}/tonearm", tmp_path / "tonearm", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
+    if pipeline:
+        (tmp_path / "corpus_pipeline.py").write_text("from tonearm.llm import simhash\n")
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(k.startswith('op1') or k == 'pipeline' for k in q); assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
