@@ -112,6 +112,18 @@ def test_packing(spark, docs, texts):
     assert len(bins) <= -(-sum(r.length for r in rows) // 1024) + 2
 
 
+@pytest.mark.parametrize("text", ["x" + " " * 2_000_000 + "y", "\n" * 2_000_000, "x" * 2_000_000, " " * 9_999 + "a" + "\u00a0\t" * 6_000, "\x1c \n" * 5_000], ids=["blanks", "newlines", "letter", "edges", "separators"])
+def test_encoder_on_long_runs(text):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tonearm.llm.packing import encoder
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(path, "rb") as f:
+        assert encoder(f.read())(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 def test_packing_bound_and_exchange(spark):
     import numpy as np
 
@@ -120,9 +132,11 @@ def test_packing_bound_and_exchange(spark):
     rng = np.random.default_rng(1)
     lengths = rng.integers(1, 1024, 3000)
     df = spark.createDataFrame([(int(x),) for x in lengths], "length int")
-    out = packing.pack(df, per_part=1000, give=500).collect()
+    out = packing.pack(df, per_part=1000).collect()
     n = len({r.sequence_id for r in out})
     bound = packing.lower_bound(np.bincount(lengths, minlength=1025), 1024)
+    assert {(r.all_sequences, r.all_bound) for r in out} == {(n, bound)}
+    assert all(r.part_sequences >= r.part_bound for r in out)
     assert len(out) == 3000 and bound <= n <= bound * 1.02 + 2
     # Thirds just over a half and a third: volume alone would promise too few.
     assert packing.lower_bound(np.bincount([513] * 10, minlength=1025), 1024) == 10

@@ -2,13 +2,14 @@
 
 Documents become token pieces of at most one sequence. Pieces are dealt to partitions of bounded size; each is packed by best-fit
 decreasing, and dual-feasible functions give a lower bound on the sequences that it needs. A partition whose
-count equals its bound is certified and final. The others give up their emptiest sequences, whose pieces are dealt anew among
+count equals its bound is certified and keeps all but its half-empty sequences. The others give up all that have room. These pieces are dealt anew among
 fewer partitions and packed again; the exchange is kept when it saves sequences and repeated while it does.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,9 @@ from tonearm.storage import materialize
 
 #: Tokens of one Arrow batch out of the tokenizer.
 BATCH_TOKENS = 2 << 20
+#: The fast encoder's pattern matcher recurses on white space and overflows its stack on runs far longer than this.
+LONG_GAP = 10_000
+_LONG_GAP = re.compile(rf"(?<!\s)\s{{{LONG_GAP}}}")
 PIECE = "piece int, start long, length int, ids binary"
 
 
@@ -51,7 +55,7 @@ def encoder(definition: bytes):
     general: list[Tokenizer] = []
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) >= LONG_GAP and _LONG_GAP.search(text)):
             if not general:
                 general.append(Tokenizer.from_str(definition.decode("utf-8")))
             return general[0].encode(text, add_special_tokens=False).ids
@@ -145,51 +149,61 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, np.array(free, np.int64)
 
 
-def _pack_parts(dealt: DataFrame, capacity: int, give: int) -> DataFrame:
-    """``dealt`` has pid, length, part; adds bin, offset and released (in the ``give`` emptiest bins of an uncertified partition)."""
+def _pack_parts(dealt: DataFrame, capacity: int) -> DataFrame:
+    """``dealt`` has pid, length, part; adds bin, offset, the partition's sequences and bound, and released: in a bin that the partition gives up.
+
+    A partition above its bound gives up every bin with room; one that meets it only those at least half empty, which other partitions' may fill.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pid", ignore_index=True)
         bins, offsets, free = best_fit_decreasing(rows["length"].to_numpy(), capacity)
-        certified = len(free) <= lower_bound(np.bincount(rows["length"], minlength=capacity + 1), capacity)
-        emptiest = np.argsort(-free, kind="stable")[:give]
-        gone = np.zeros(len(free), bool)
-        if not certified:
-            gone[emptiest[free[emptiest] > 0]] = True
-        return rows.assign(bin=bins, offset=offsets, released=gone[bins])
+        bound = lower_bound(np.bincount(rows["length"], minlength=capacity + 1), capacity)
+        gone = free > 0 if len(free) > bound else free * 2 >= capacity
+        return rows.assign(bin=bins, offset=offsets, part_sequences=len(free), part_bound=bound, released=gone[bins])
+
+    return dealt.groupBy("part").applyInPandas(run, "pid long, length int, part long, bin long, offset long, part_sequences long, part_bound long, released boolean")
 
-    return dealt.groupBy("part").applyInPandas(run, "pid long, length int, part long, bin long, offset long, released boolean")
 
+def _bins(placed: DataFrame) -> int:
+    """How many sequences there are: each has one piece at offset 0."""
+    return placed.where("offset = 0").count()
 
-def pack(pieces: DataFrame, capacity: int = 1024, per_part: int = 20_000, give: int = 2000, max_rounds: int = 4) -> DataFrame:
-    """``pieces`` (with a column ``length`` of 1 to ``capacity``) with ``sequence_id`` and ``offset``.
 
-    Pieces never overlap and leave no gap within a sequence. ``per_part`` bounds the pieces in one task and ``give`` the sequences that a partition
-    exchanges in a round; both bound memory, and every piece is packed whatever they are. No pieces give no rows.
+def pack(pieces: DataFrame, capacity: int = 1024, per_part: int = 20_000) -> DataFrame:
+    """``pieces`` (with a column ``length`` of 1 to ``capacity``) with ``sequence_id``, ``offset`` and certificates.
+
+    Pieces never overlap and leave no gap within a sequence. ``part_sequences`` and ``part_bound`` are what the piece's partition took when it was
+    packed, and the least it could have; ``all_sequences`` and ``all_bound`` are those of the whole table. The exchange ends when a round saves no sequence or the
+    whole meets its bound. ``per_part`` bounds the pieces in one task. No pieces give no rows.
     """
     rows = materialize(pieces.withColumn("pid", F.monotonically_increasing_id()), "pack-pieces")
+    counts = np.zeros(capacity + 1, np.int64)
+    for r in rows.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
     small = rows.where(F.col("length") < capacity).select("pid", "length")
     deal = lambda d, n, salt: d.select("pid", "length", F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(max(1, -(-n // per_part)))).alias("part"))
-    placed = materialize(_pack_parts(deal(small, small.count(), 0), capacity, give), "pack-round").withColumn("round", F.lit(0))
-    for k in range(1, max_rounds + 1):
+    placed = materialize(_pack_parts(deal(small, int(counts[:capacity].sum()), 0), capacity), "pack-round").withColumn("round", F.lit(0))
+    bound, total, k = lower_bound(counts, capacity), _bins(placed) + int(counts[capacity]), 0
+    while total > bound:
+        k += 1
         pool = placed.where("released")
-        before = pool.select("round", "part", "bin").distinct().count()
-        if before < 2:
-            break
-        again = materialize(_pack_parts(deal(pool, pool.count(), k), capacity, give), "pack-round").withColumn("round", F.lit(k))
-        if again.select("part", "bin").distinct().count() >= before:
+        again = materialize(_pack_parts(deal(pool, pool.count(), k), capacity), "pack-round").withColumn("round", F.lit(k))
+        saved = _bins(pool) - _bins(again)
+        if saved <= 0:
             break
-        placed = placed.where("NOT released").unionByName(again)
+        placed, total = placed.where("NOT released").unionByName(again), total - saved
     number = (F.col("round").cast("long") * F.lit(1 << 56)) + (F.col("part") * F.lit(1 << 28)) + F.col("bin")
-    of_small = placed.select("pid", number.alias("sequence_id"), "offset")
-    full = rows.where(F.col("length") >= capacity).withColumn("sequence_id", -F.col("pid") - 1).withColumn("offset", F.lit(0).cast("long"))
-    return rows.where(F.col("length") < capacity).join(of_small, "pid").unionByName(full).drop("pid")
+    of_small = placed.select("pid", number.alias("sequence_id"), "offset", "part_sequences", "part_bound")
+    one = F.lit(1).cast("long")
+    full = rows.where(F.col("length") >= capacity).withColumns({"sequence_id": -F.col("pid") - 1, "offset": F.lit(0).cast("long"), "part_sequences": one, "part_bound": one})
+    return rows.where(F.col("length") < capacity).join(of_small, "pid").unionByName(full).drop("pid").withColumns({"all_sequences": F.lit(total).cast("long"), "all_bound": F.lit(bound).cast("long")})
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = 1024, end_id: int = 2, keep_ids: bool = True) -> DataFrame:
-    """Pack whole documents: id, piece, start, length, ids (or their CRC-32 as ``ids_crc32`` without ``keep_ids``), sequence_id, offset.
+    """Pack whole documents: id, piece, start, length, ids (or their CRC-32 as ``ids_crc32`` without ``keep_ids``), sequence_id, offset, and the certificates of :func:`pack`.
 
-    Null ids come back null; repeated rows are packed as often as they occur; an empty table gives no rows; other columns are not read.
+    Texts may be of any length and kind, also of white space alone. Null ids come back null; repeated rows are packed as often as they occur; an empty table gives no rows; other columns are not read.
     """
     pieces = token_pieces(docs, tokenizer_path, id_col, text_col, capacity, end_id)
     if not keep_ids:
