@@ -200,6 +200,80 @@ def test_quality_rules(docs, texts, spark):
     assert sum(r.kept for r in good) >= 0.97 * len(good)
 
 
+def plain_verdicts(rows: list[tuple], weight: float = 100.0) -> tuple[dict, dict]:
+    """(kept by id, limits by (lang, source)) of (id, lang, source, text), from exact quantiles."""
+    import math
+
+    rules = {
+        "symbols": (lambda s: math.log((s[2] + 1) / (s[0] + 1)), 1, 0.5, 0.25, 5, 0.25, 2),
+        "dup_lines": (lambda s: math.log((s[3] + 1) / (s[0] + 1)), 1, 0.5, 0.25, 5, 0.25, 3),
+        "repeats": (lambda s: s[4] / s[0], 1, 0.99, 0.5, 2, 0.05, 4),
+        "word_length": (lambda s: s[1] / s[0], 1, 0.5, 0.25, 14, 0.05, 0),
+        "short_words": (lambda s: s[1] / s[0], -1, 0.5, 0.75, 14, 0.05, 0),
+    }
+    stats = {i: (lang, source, plain_stats(text)) for i, lang, source, text in rows}
+    passed = {i: x for i, x in stats.items() if x[2][0] >= 50 and 100 * x[2][4] <= 50 * x[2][0]}
+
+    def quantiles(group, parent=None):
+        out = {}
+        for r, (measure, _, c, o, *_) in rules.items():
+            v = sorted(measure(x[2]) for x in group)
+            q = [v[max(0, math.ceil(p * len(v)) - 1)] for p in (c, o)]
+            out[r] = q if parent is None else [(a * len(v) + b * weight) / (len(v) + weight) for a, b in zip(q, parent[r])]
+        return out
+
+    def limit(r, q):
+        _, sign, _, _, reach, margin, _ = rules[r]
+        gap = sign * max(margin, abs(q[r][0] - q[r][1]))
+        return q[r][0] + reach * gap, gap
+
+    everyone, limits = quantiles(passed.values()), {}
+    for lang in {x[0] for x in passed.values()}:
+        of_lang = quantiles([x for x in passed.values() if x[0] == lang], everyone)
+        for source in {x[1] for x in passed.values() if x[0] == lang}:
+            own = quantiles([x for x in passed.values() if x[:2] == (lang, source)], of_lang)
+            limits[lang, source] = {r: (min if rules[r][1] > 0 else max)(limit(r, own)[0], sum(limit(r, of_lang))) for r in rules}
+    past = lambda x, r: rules[r][1] * (rules[r][0](x[2]) - limits[x[:2]][r]) > 0 and x[2][rules[r][6]] > 0
+    return {i: i in passed and not any(past(x, r) for r in rules) for i, x in stats.items()}, limits
+
+
+def test_adaptive_verdicts(docs):
+    """The thresholds are those of exact quantiles (the sketches are exact at this size), and they decide."""
+    from tonearm.llm.quality_rules import quality_rules
+
+    rows = [(r.doc_id, r.lang, r.source, r.text or "") for r in docs.select("doc_id", "lang", "source", "text").collect()]
+    want, limits = plain_verdicts(rows)
+    got = quality_rules(docs).collect()
+    assert {r.doc_id: r.kept for r in got} == want
+    assert any(not r.kept and not r.base_failed for r in got)
+    assert len({round(x["word_length"], 6) for x in limits.values()}) > 1
+
+
+def test_limits_follow_their_group_and_not_its_junk(spark):
+    """A ratio that is usual in one source is junk in another; a source with a third of junk keeps none of it."""
+    import random
+
+    from tonearm.llm.quality_rules import quality_rules
+
+    rng = random.Random(4)
+
+    def text(marks: float, size: int) -> str:
+        return " ".join(f"w{rng.randrange(10**6)}" + ("#" if rng.random() < marks else "") for _ in range(size))
+
+    rows, kinds = [], {}
+    for source, marks, junk in (("plain", 0.0, 0), ("code", 0.5, 0), ("dirty", 0.0, 200)):
+        for k in range(400 + junk):
+            i = len(rows)
+            kinds[i] = (source, k >= 400)
+            rows.append((i, text(0.6 if k >= 400 else marks, rng.randrange(60, 600)), "en" if source != "code" else "xx", source))
+    odd = len(rows)
+    rows += [(odd, text(0.5, 200), "en", "plain"), (odd + 1, text(0.5, 200), "xx", "code")]
+    out = {r.doc_id: r.kept for r in quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not out[odd] and out[odd + 1]
+    assert not any(out[i] for i, (_, junk) in kinds.items() if junk)
+    assert sum(out[i] for i, (_, junk) in kinds.items() if not junk) >= 0.99 * 1200
+
+
 def plain_spans(text: str) -> list:
     out = []
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
