@@ -313,18 +313,79 @@ def test_base_spans_random():
         assert base_spans(text) == plain_spans(text)
 
 
-def test_personal_data(docs, texts):
+def plain_secrets(text: str) -> list:
+    base = [(a, b) for _, a, b in plain_spans(text)]
+    out = []
+    for m in re.finditer(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}", text):
+        turns = len(re.findall(r"(?=[A-Za-z][0-9]|[0-9][A-Za-z])", m[0]))
+        if turns >= 8 and not any(a < m.end() and b > m.start() for a, b in base):
+            out.append(("secret", *m.span()))
+    return out
+
+
+def plain_terms(texts: dict, threshold: float = 0.8, added: float = 0.75) -> dict:
+    """Term spans of each text by counting every pair of an entity and a word that share a text."""
+    import math
+
+    entities, words = {}, {}
+    for i, text in texts.items():
+        spans = plain_spans(text) + plain_secrets(text)
+        entities[i] = {(k, text[a:b].lower() if k == "email" else text[a:b] if k == "secret" else re.sub("[^0-9.]" if k == "ip" else "[^0-9]", "", text[a:b])) for k, a, b in spans}
+        words[i] = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+(?:['-][^\W_]+)*", text) if len(m[0]) >= 3]
+        words[i] = [(w, a, b, any(x < b and y > a for _, x, y in spans)) for w, a, b in words[i]]
+    n_c, n_t, n_ct = Counter(), Counter(), Counter()
+    for i in texts:
+        free = {w for w, _, _, inside in words[i] if not inside}
+        n_c.update(entities[i])
+        n_t.update({w for w, *_ in words[i]})
+        n_ct.update((c, w) for c in entities[i] for w in free)
+    n, out = len(texts), {}
+    for i in texts:
+        tells = lambda w, i=i: any(n > n_c[c] and math.log2(n * n_ct[c, w] / ((n_c[c] + added) * (n_t[w] + added))) >= threshold * math.log2(n / n_c[c]) for c in entities[i])
+        out[i] = {("term", a, b) for w, a, b, inside in words[i] if not inside and tells(w)}
+    return out
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.7])
+def test_personal_data(docs, texts, threshold):
+    """Whole tables: base spans, secrets, and the terms of an exhaustive count of pairs."""
     import hashlib
 
     from tonearm.llm.pii import personal_data
 
-    for r in personal_data(docs).collect():
+    terms, added = plain_terms(texts, threshold), 0
+    for r in personal_data(docs, threshold=threshold).collect():
         spans = plain_spans(texts[r.doc_id])
         n = Counter(k for k, _, _ in spans)
         assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(n[k] for k in ("email", "ip", "card", "phone"))
         base = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
-        assert set(filter(None, base.split(","))) <= set(r.spans.split(","))
+        got = [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in r.spans.split(",") if s)]
+        assert [s for s in got if s[0] not in ("secret", "term")] == spans
+        assert [s for s in got if s[0] == "secret"] == plain_secrets(texts[r.doc_id])
+        assert {s for s in got if s[0] == "term"} == terms[r.doc_id]
+        assert got == sorted(got, key=lambda s: s[1]) and r.n_spans == len(got)
+        added += len(terms[r.doc_id])
+    assert added > 0
+
+
+def test_secrets():
+    from tonearm.llm.pii_core import base_spans, generalised, secrets
+
+    key = "9807b3c6a43eb78aa99cbd7049c572391524f37a8"
+    for text, want in ((f"x = '{key}'", [("secret", 5, 5 + len(key))]), ("Donaudampfschifffahrtsgesellschaft2024", []), (f"{key}@mail.example.org", []), ("a1" * 9, [])):
+        assert secrets(text, base_spans(text)) == want == plain_secrets(text)
+    assert generalised("ab 12 cd", [(0, 2, "x"), (1, 5, "y"), (6, 8, "z")]) == "[X] [Z]"
+
+
+def test_a_long_list_of_addresses():
+    """Linear in the spans: minutes otherwise."""
+    from tonearm.llm.pii_core import base_spans, generalised, places, secrets
+
+    text = ", ".join(f"user{i}@host{i % 999}.example.org is number {i}" for i in range(60_000))
+    spans = base_spans(text)
+    assert len(spans) == 60_000 and not secrets(text, spans) and len(places(text, spans)["number"]) == 120_000
+    assert generalised(text, [(a, b, k) for k, a, b in spans]).count("[EMAIL]") == 60_000
 
 
 def test_disclosing_terms(spark):

@@ -1,4 +1,4 @@
-"""Personal data in one text: base spans by pattern, and the words beside them."""
+"""Personal data in one text: base spans by pattern, secrets, and the words beside them."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ import re
 
 import xxhash
 
-#: The base kinds, in their order, and the kind that the co-occurrence method adds.
+#: The base kinds, in their order, and the kinds that are added: entities that disclose themselves, and terms that disclose an entity.
 KINDS = ("email", "ip", "card", "phone")
-TERM = "term"
-ORDER = {k: i for i, k in enumerate((*KINDS, TERM))}
+SECRET, TERM = "secret", "term"
+ORDER = {k: i for i, k in enumerate((*KINDS, SECRET, TERM))}
 
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -20,6 +20,11 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _WORD = re.compile(r"[^\W_]+(?:['-][^\W_]+)*")
+# Keys and tokens: long runs of one alphabet in which letters and digits take turns.
+_RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}")
+_TURN = re.compile(r"(?=[A-Za-z][0-9]|[0-9][A-Za-z])")
+#: Changes between letter and digit that make a run a secret: words with a number at the end have one, random ones of 20 have nine on average if hexadecimal.
+TURNS = 8
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -66,31 +71,58 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], ORDER[s[0]], s[2]))
 
 
+def secrets(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """Runs that look random and overlap none of ``spans`` (by start)."""
+    out, k, reach = [], 0, 0
+    for m in _RUN.finditer(text):
+        x, y = m.span()
+        while k < len(spans) and spans[k][1] < y:
+            reach = max(reach, spans[k][2])
+            k += 1
+        if reach <= x and sum(1 for _ in _TURN.finditer(m[0])) >= TURNS:
+            out.append((SECRET, x, y))
+    return out
+
+
+def generalised(text: str, spans: list[tuple[int, int, str]]) -> str:
+    """The text with (start, end, kind) spans, in order, as their kinds in brackets; a span that begins inside the one before goes with it."""
+    out, done = [], 0
+    for a, b, kind in spans:
+        if a >= done:
+            out += text[done:a], f"[{kind.upper()}]"
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+def signed_hash(data: str) -> int:
+    h = xxhash.xxh64_intdigest(data)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def entity(kind: str, value: str) -> int:
     """A signed 64-bit stand-in for a protected entity; spelling variants of numbers are one entity."""
-    value = value.lower() if kind == "email" else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", value)
-    h = xxhash.xxh64_intdigest(f"{kind}:{value}")
-    return h - (1 << 64) if h >> 63 else h
+    value = value.lower() if kind == "email" else value if kind == SECRET else re.sub(r"[^0-9.]" if kind == "ip" else r"[^0-9]", "", value)
+    return signed_hash(f"{kind}:{value}")
 
 
-def places(text: str, spans: list[tuple[str, int, int]], least: int = 3) -> list[tuple[str, int, int]]:
-    """(term, start, end): the words of at least ``least`` letters that overlap no span."""
-    out, k, reach, inside = [], 0, 0, sorted((a, b) for _, a, b in spans)
+def places(text: str, spans: list[tuple[str, int, int]], least: int = 3) -> dict[str, list[int]]:
+    """Term -> its starts and ends in turn: the words of at least ``least`` letters that overlap no span (by start)."""
+    out: dict[str, list[int]] = {}
+    k, reach = 0, 0
     for m in _WORD.finditer(text):
         x, y = m.span()
-        while k < len(inside) and inside[k][0] < y:
-            reach = max(reach, inside[k][1])
+        while k < len(spans) and spans[k][1] < y:
+            reach = max(reach, spans[k][2])
             k += 1
-        term = m[0].lower()
         if y - x >= least and reach <= x:
-            out.append((term, x, y))
+            out.setdefault(m[0].lower(), []).extend((x, y))
     return out
 
 
 def terms_of(text: str, least: int = 3) -> set[str]:
     """All terms of a text, spelt as in :func:`places`."""
-    return {m[0].lower() for m in _WORD.finditer(text) if m.end() - m.start() >= least}
+    return {w.lower() for w in set(_WORD.findall(text)) if len(w) >= least}
