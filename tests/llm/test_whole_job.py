@@ -45,3 +45,42 @@ def test_terms_of_an_entity_in_one_text(spark):
     assert "term:0:8" in spans
     clean = next(r.text for r in sanitise(docs).collect() if r.doc_id == 5000)
     assert clean.startswith(f"[TERM] {far} ") and clean.endswith(" the weather") and "Trillian" not in clean
+
+
+def arc(*records, version=b"1"):
+    return b"filedesc://x 0.0.0.0 20240101 text/plain 4\n" + version + b" 0\n\n" + b"".join(records)
+
+
+def test_damaged_archives(spark, tmp_path):
+    """A cut-off record is marked and stays out of revisits; bad header lines are skipped and kept as metadata; the rest of the file is read."""
+    import gzip
+
+    from tonearm.llm import warc
+
+    body = b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\nContent-Length: 150\r\n\r\n" + b"z" * 150
+    one = lambda i: b"http://a/%d 1.2.3.4 20240203 text/html; x=1 %d\n%s\n" % (i, len(body % i), body % i)
+    damaged = arc(one(2), b"http://bad 1.2.3.4 no length\n", b"more rubbish\n", one(1), b"dns:a 1.2.3.4 2024 text/dns 5\n12345\n", one(3)[:-60])
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "part-0").write_bytes(damaged)
+    (tmp_path / "arc" / "part-1").write_bytes(gzip.compress(arc(one(4))))
+    (tmp_path / "arc" / "part-2").write_bytes(arc(b"http://v2 1.1.1.1 20240203040506 text/html 200 - - 9 f 3\nabc\n", version=b"2"))
+    got = warc.read_arc(spark, str(tmp_path / "arc"))
+    assert sorted((r.problem or "", r.page_id or 0) for r in got.collect()) == [("", 0), ("", 0), ("", 1), ("", 2), ("", 4), ("malformed", 0), ("truncated", 3)]
+    assert got.where("problem = 'malformed'").first().payload == b"http://bad 1.2.3.4 no length\nmore rubbish\n"
+    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), file_bytes=400)
+    out = {(r.page_id or r.url): r for r in warc.read_warc(spark, str(tmp_path / "warc"), payloads=True).collect()}
+    assert {k: (r.record_type, r.refers_to, r.truncated) for k, r in out.items()} == {1: ("response", None, False), 2: ("revisit", 1, False), 3: ("response", None, True), 4: ("revisit", 1, False), "dns:a": ("resource", None, False), "http://v2": ("resource", None, False)}
+    assert out["dns:a"].date == "2024-01-01T00:00:00Z" and out["http://v2"].date == "2024-02-03T04:05:06Z" and out["http://v2"].payload == b"abc"
+    files = [p.read_bytes() for p in (tmp_path / "warc").glob("part-*")]
+    assert len(files) > 1
+    kinds = []
+    for data in files:
+        # Every member is one record, whole by itself, and nothing stands between or after them.
+        while data:
+            d = __import__("zlib").decompressobj(31)
+            record = d.decompress(data)
+            data = d.unused_data
+            (named, block), = warc.warc_records(record)
+            assert record.endswith(block + b"\r\n\r\n") and {b"warc-record-id", b"warc-date", b"warc-type", b"content-length"} <= set(named)
+            kinds.append(named[b"warc-type"])
+    assert kinds.count(b"warcinfo") == len(files) and kinds.count(b"metadata") == 1

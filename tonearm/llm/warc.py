@@ -2,8 +2,9 @@
 
 An ARC file begins with a version block; each record is one header line, whose fields depend on the version, and as many
 bytes as the line declares. The converter reads files as bytes, walks them by those declared lengths, and synthesises for
-each record what WARC asks for: a record id, an ISO timestamp, a type (response, or revisit of an equal payload)
-and digests. Records are streamed out of the decompressed file one at a time, so memory holds a compressed file and one record.
+each record what WARC asks for: a record id, an ISO timestamp, a type (response, revisit of an equal payload, resource without HTTP header, metadata for what is no
+record) and digests. Every record is a gzip member of its own and files are cut by bytes, so memory holds one compressed file and one record.
+Payloads are never shuffled: which records revisit which is worked out on digests, and the answers meet the files by path.
 """
 
 from __future__ import annotations
@@ -11,14 +12,14 @@ from __future__ import annotations
 import gzip
 import hashlib
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tonearm.llm.worker import tidy
-from tonearm.storage import drop_at_exit, fresh_path, remove
+from tonearm.storage import drop_at_exit, fresh_path, materialize, remove
 
 #: Fixed values of the two ARC versions: the fields of a record's header line, in order.
 ARC_FIELDS = {
@@ -31,34 +32,68 @@ WARC_END = "\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes of one Arrow batch out of a reader.
 BATCH_BYTES = 8 << 20
+#: Uncompressed bytes after which a writer begins the next file.
+FILE_BYTES = 64 << 20
 
-ARC_ROWS = "page_id long, url string, ip string, archived string, mime string, http string, payload binary, digest string, path string, offset long"
-WARC_ROWS = "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, payload binary"
+ARC_ROWS = "page_id long, url string, ip string, archived string, mime string, http string, payload binary, payload_bytes long, digest string, problem string, path string, offset long"
+WARC_ROWS = "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, truncated boolean, payload binary"
 
 
-def _first_of_file(per_file: int) -> Column:
-    return F.pmod(F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)), F.lit(per_file)) == 0
+def _one_field(x) -> str:
+    """A value that may stand in a space-separated or one-line header: white space and controls percent-encoded, null or empty a dash."""
+    return "".join(f"%{ord(c):02X}" if c in " \t\n\r\v\f\0" else c for c in str("" if x is None else x)) or "-"
 
 
-def _one_field(x: Column) -> Column:
-    """A value that may stand in a space-separated or one-line header: white space and controls percent-encoded, null or empty a dash."""
-    out = F.regexp_replace(F.coalesce(x.cast("string"), F.lit("")), "%(?![0-9A-Fa-f]{2})", "%25")
-    for c in " \t\n\r\u000b\f\u0000":
-        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    return F.when(out == "", F.lit("-")).otherwise(out)
+def _write_members(rows: DataFrame, path: str, records: Callable[[pa.RecordBatch], Iterator[bytes]], start: Callable[[bytes], bytes], file_bytes: int) -> None:
+    """Write what ``records`` gives for the batches of ``rows``, each record as a gzip member, in files of about ``file_bytes`` that begin with ``start(first record)``.
+
+    A file is one row of the text source, which ends it with a line separator: the zero byte with which the last member's size ends.
+    """
+
+    def closed(parts: list[bytes]) -> bytes:
+        whole = b"".join(parts)
+        return (whole if whole.endswith(b"\0") else whole + gzip.compress(b"", mtime=0))[:-1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for record in records(batch):
+                if not parts:
+                    parts.append(gzip.compress(start(record), 6, mtime=0))
+                parts.append(gzip.compress(record, 6, mtime=0))
+                size += len(record)
+                if size >= file_bytes:
+                    yield pa.record_batch([pa.array([closed(parts)], pa.binary())], names=["value"])
+                    parts, size = [], 0
+        if parts:
+            yield pa.record_batch([pa.array([closed(parts)], pa.binary())], names=["value"])
 
+    out = rows.mapInArrow(tidy(run), "value binary").select(F.col("value").cast("string").alias("value"))
+    out.write.option("maxRecordsPerFile", 1).option("lineSep", "\0").text(path)
 
-def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", per_file: int = 2000, date: str = "20240101000000") -> None:
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
+def write_arc(pages: DataFrame, path: str, version: int = 1, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", file_bytes: int = FILE_BYTES, date: str = "20240101000000") -> None:
     """Write ``pages`` as gzipped ARC files under ``path``; null payloads are empty, null ids and urls a dash."""
-    body = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
-    block = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: "), F.coalesce(F.col(id_col).cast("string"), F.lit("-")), F.lit("\r\nContent-Length: "), F.octet_length(body).cast("string"), F.lit("\r\n\r\n"), body)
-    fields = {"URL": _one_field(F.col(url_col)), "IP-address": F.lit("0.0.0.0"), "Archive-date": F.lit(date), "Content-type": F.lit("text/html"), "Result-code": F.lit("200"), "Archive-length": F.octet_length(block).cast("string")}
-    line = F.concat_ws(" ", *[fields.get(n, F.lit("-")) for n in ARC_FIELDS[version]])
-    about = f"{version} 0 tonearm\n{' '.join(ARC_FIELDS[version])}\n"
-    heads = {"URL": "filedesc://tonearm.arc", "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": "text/plain", "Result-code": "200", "Archive-length": str(len(about))}
-    start = " ".join(heads.get(n, "-") for n in ARC_FIELDS[version]) + "\n" + about + "\n"
-    value = F.concat(F.when(_first_of_file(per_file), F.lit(start)).otherwise(F.lit("")), line, F.lit("\n"), block)
-    pages.select(value.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+    names = ARC_FIELDS[version]
+
+    def line(url: str, kind: str, length: int) -> bytes:
+        known = {"URL": url, "IP-address": "0.0.0.0", "Archive-date": date, "Content-type": kind, "Result-code": "200", "Archive-length": str(length)}
+        return " ".join(known.get(n, "-") for n in names).encode() + b"\n"
+
+    def records(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for page, url, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            body = body.as_py() or b""
+            block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {_one_field(page)}\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body
+            yield line(_one_field(url), "text/html", len(block)) + block + b"\n"
+
+    about = f"{version} 0 tonearm\n{' '.join(names)}\n".encode()
+    first = line("filedesc://tonearm.arc", "text/plain", len(about)) + about + b"\n"
+    rows = pages.select(F.col(id_col), F.col(url_col), F.col(payload_col).cast("binary"))
+    _write_members(rows, path, records, lambda _: first, file_bytes)
 
 
 def _opened(content: bytes) -> io.BufferedIOBase:
@@ -66,26 +101,46 @@ def _opened(content: bytes) -> io.BufferedIOBase:
     return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if content[:2] == b"\x1f\x8b" else raw
 
 
+def _header(parts: list[bytes], version: int) -> dict[str, bytes] | None:
+    """The fields of an ARC header line; none if it is no such line."""
+    names = ARC_FIELDS[version]
+    if len(parts) < len(names) or not parts[-1].isdigit():
+        return None
+    # A content type may hold blanks; the fields around it do not.
+    tail = len(names) - 4
+    return dict(zip(names, [*parts[:3], b" ".join(parts[3 : len(parts) - tail]), *parts[len(parts) - tail :]]))
+
+
 def arc_records(content: bytes) -> Iterator[dict]:
-    """Records of one ARC file of either version, the version block left out; a record cut off by the file's end is marked."""
-    f, version, offset = _opened(content), 1, 0
+    """Records of one ARC file of either version, the version block left out: fields, block, offset, problem.
+
+    A record cut off by the file's end has the problem ``truncated``. Lines that stand where a header should and are none are skipped up to the next header
+    line; they come out as one record without fields and the problem ``malformed``. A version block without a number is of version 1.
+    """
+    f, version, offset, lost, lost_at = _opened(content), 1, 0, [], 0
     while line := f.readline():
         at, offset = offset, offset + len(line)
         parts = line.split()
-        if not parts:
+        described = parts[:1] and parts[0].startswith(b"filedesc://") and parts[-1].isdigit()
+        fields = None if described else _header(parts, version)
+        if not described and fields is None:
+            if parts:
+                lost_at = lost_at if lost else at
+                lost.append(line)
             continue
+        if lost:
+            yield {"fields": {}, "block": b"".join(lost), "offset": lost_at, "problem": "malformed"}
+            lost = []
         length = int(parts[-1])
         block = f.read(length)
         offset += len(block)
-        if parts[0].startswith(b"filedesc://"):
-            version = int(block.split(None, 1)[0])
+        if described:
+            said = block.split(None, 1)[:1]
+            version = int(said[0]) if said and said[0].isdigit() and int(said[0]) in ARC_FIELDS else 1
             continue
-        if len(parts) < len(ARC_FIELDS[version]):
-            raise ValueError(f"ARC header line of {len(parts)} fields at {at}")
-        # A content type may hold blanks; the fields around it do not.
-        tail = len(ARC_FIELDS[version]) - 4
-        row = dict(zip(ARC_FIELDS[version], [*parts[:3], b" ".join(parts[3 : len(parts) - tail]), *parts[len(parts) - tail :]]))
-        yield {"fields": row, "block": block, "offset": at, "truncated": len(block) < length}
+        yield {"fields": fields, "block": block, "offset": at, "problem": "truncated" if len(block) < length else None}
+    if lost:
+        yield {"fields": {}, "block": b"".join(lost), "offset": lost_at, "problem": "malformed"}
 
 
 def split_http(block: bytes) -> tuple[bytes, bytes, dict[bytes, bytes]]:
@@ -112,63 +167,89 @@ def _batches(rows: Iterator[tuple[dict, int]], schema: pa.Schema) -> Iterator[pa
         yield pa.RecordBatch.from_pylist(held, schema)
 
 
+def _arc_row(where: str, r: dict) -> tuple[dict, bytes, bytes]:
+    """A record's row without its payload, its HTTP header as it stands, and the payload."""
+    head, body, named = split_http(r["block"])
+    field = {k: v.decode("utf-8", "replace") for k, v in r["fields"].items()}
+    row = {"page_id": _whole(named.get(b"x-page-id")), "url": field.get("URL"), "ip": field.get("IP-address"), "archived": field.get("Archive-date"), "mime": field.get("Content-type"), "http": head.decode("utf-8", "replace"), "payload": None, "payload_bytes": len(body), "digest": hashlib.sha256(body).hexdigest(), "problem": r["problem"], "path": where, "offset": r["offset"]}
+    return row, head, body
+
+
 def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """A row per record: page_id, url, ip, archived, mime, http (header text), payload, digest (SHA-256), path, offset."""
-    schema = pa.schema([("page_id", pa.int64()), *[(n, pa.string()) for n in ("url", "ip", "archived", "mime", "http")], ("payload", pa.binary()), ("digest", pa.string()), ("path", pa.string()), ("offset", pa.int64())])
+    """A row per record: page_id, url, ip, archived, mime, http (header text), payload, payload_bytes, digest (SHA-256), problem (null, truncated or malformed), path, offset."""
+    schema = pa.schema([("page_id", pa.int64()), *[(n, pa.string()) for n in ("url", "ip", "archived", "mime", "http")], ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()), ("problem", pa.string()), ("path", pa.string()), ("offset", pa.int64())])
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, int]]:
         for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
             for r in arc_records(content.as_py()):
-                head, body, named = split_http(r["block"])
-                field = {k: v.decode("utf-8", "replace") for k, v in r["fields"].items()}
-                yield {"page_id": _whole(named.get(b"x-page-id")), "url": field["URL"], "ip": field["IP-address"], "archived": field["Archive-date"], "mime": field["Content-type"], "http": head.decode("utf-8", "replace"), "payload": body if payloads else None, "digest": hashlib.sha256(body).hexdigest(), "path": where, "offset": r["offset"]}, len(body) * payloads
+                row, _, body = _arc_row(where, r)
+                yield (row | {"payload": body}, len(body)) if payloads else (row, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _batches(rows(batch), schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("path", "content").mapInArrow(tidy(run), ARC_ROWS)
+    return _files(spark, path).mapInArrow(tidy(run), ARC_ROWS)
+
+
+def _record_id(page_id: int | None, digest: str, path: str, offset: int) -> str:
+    x = hashlib.sha256(f"{'-' if page_id is None else page_id}|{digest}|{path.rsplit('/', 1)[-1]}|{offset}".encode()).hexdigest()
+    return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:32]}>"
+
 
+def _stamp(archived: str | None) -> str:
+    """An ARC date as WARC writes it; what is missing is the earliest it can be, what is no date is 1970."""
+    d = archived or ""
+    d = (d + "19700101000000"[len(d) :])[:14] if d.isdigit() and len(d) >= 4 else "19700101000000"
+    return f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:]}Z"
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_payload: int = 100, per_file: int = 2000) -> None:
+
+def warc_record(row: dict, head: bytes, body: bytes, first: dict | None) -> bytes:
+    """The WARC record of an ARC record; ``first`` is the record that it revisits."""
+    http = head + b"\r\n\r\n" if head else b""
+    lost = row["problem"] == "malformed"
+    block = http + (b"" if first else body)
+    kind = "metadata" if lost else "revisit" if first else "response" if http else "resource"
+    lines = [WARC_VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(row['page_id'], row['digest'], row['path'], row['offset'])}", f"WARC-Date: {_stamp(row['archived'])}"]
+    if not lost:
+        lines += [f"WARC-Target-URI: {row['url']}", f"WARC-IP-Address: {row['ip']}", f"WARC-Payload-Digest: sha256:{row['digest']}"]
+    if first:
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(first['page_id'], row['digest'], first['path'], first['offset'])}", f"X-Refers-To-Page-Id: {'-' if first['page_id'] is None else first['page_id']}"]
+    if row["problem"] == "truncated":
+        lines.append("WARC-Truncated: length")
+    lines += [f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Type: {'application/http; msgtype=response' if http else 'application/octet-stream' if lost else row['mime']}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + WARC_END.encode()
+
+
+def _info(first: bytes) -> bytes:
+    """A file's first record, by the first record after it."""
+    named = next(warc_records(first))[0]
+    said = f"software: tonearm\r\nformat: {WARC_VERSION}\r\n"
+    uid = _record_id(None, "warcinfo", named[b"warc-record-id"].decode(), 0)
+    return f"{WARC_VERSION}\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {uid}\r\nWARC-Date: {named[b'warc-date'].decode()}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(said)}\r\n\r\n{said}{WARC_END}".encode()
+
+
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_payload: int = 100, file_bytes: int = FILE_BYTES) -> None:
     """Convert the ARC files under ``arc_path`` to gzipped WARC files under ``warc_path``.
 
     Of records with equal payloads of at least ``min_payload`` bytes the one with the smallest page id (null ids last; ties
-    by place in the archive) becomes a response and the others revisit it; all smaller ones are responses.
+    by place in the archive) becomes a response and the others revisit it; all smaller ones are responses. A truncated record is a response marked
+    ``WARC-Truncated: length`` and neither revisits nor is revisited; malformed lines become a metadata record that holds them. Files without records give no file.
     """
     place = lambda: F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset")
-    # A digest seen twice or more is all that a revisit needs; the counting pass sends no payload to the JVM.
-    seen = read_arc(spark, arc_path, payloads=False).groupBy("digest").agg(F.min(place()).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("digest").alias("d"), "first")
-    rows = read_arc(spark, arc_path).join(seen, F.col("digest") == F.col("d"), "left")
-    again = (F.octet_length("payload") >= min_payload) & F.col("first").isNotNull() & (place() != F.col("first"))
-    uuid = lambda *x: F.regexp_replace(F.substring(F.sha2(F.concat_ws("|", *x), 256), 1, 32), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
-    own = uuid(F.coalesce(F.col("page_id").cast("string"), F.lit("-")), F.col("digest"), F.regexp_replace("path", "^.*/", ""), F.col("offset").cast("string"))
-    first = uuid(F.coalesce(F.col("first.page_id").cast("string"), F.lit("-")), F.col("digest"), F.regexp_replace("first.path", "^.*/", ""), F.col("first.offset").cast("string"))
-    stamp = F.regexp_replace(F.rpad("archived", 14, "0"), "^(.{4})(..)(..)(..)(..)(..).*$", "$1-$2-$3T$4:$5:$6Z")
-    flat = rows.select("*", again.alias("again"), own.alias("own"), first.alias("target"))
-    http = F.when(F.col("http") != "", F.concat("http", F.lit("\r\n\r\n"))).otherwise(F.lit(""))
-    block = F.concat(http, F.when(F.col("again"), F.lit("")).otherwise(F.col("payload").cast("string")))
-    kind = F.when(F.col("again"), "revisit").otherwise("response")
-    head = F.concat_ws(
-        "\r\n",
-        F.lit(WARC_VERSION),
-        F.concat(F.lit("WARC-Type: "), kind),
-        F.concat(F.lit("WARC-Record-ID: "), F.col("own")),
-        F.concat(F.lit("WARC-Date: "), stamp),
-        F.concat(F.lit("WARC-Target-URI: "), F.col("url")),
-        F.concat(F.lit("WARC-IP-Address: "), F.col("ip")),
-        F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest")),
-        F.when(F.col("again"), F.concat(F.lit(f"WARC-Profile: {REVISIT_PROFILE}\r\nWARC-Refers-To: "), F.col("target"), F.lit("\r\nX-Refers-To-Page-Id: "), F.coalesce(F.col("first.page_id").cast("string"), F.lit("-")))),
-        F.concat(F.lit("WARC-Block-Digest: sha256:"), F.sha2(F.col("block"), 256)),
-        F.lit("Content-Type: application/http; msgtype=response"),
-        F.concat(F.lit("Content-Length: "), F.octet_length("block").cast("string")),
-    )
-    info = "software: tonearm\r\nformat: WARC File Format 1.1\r\n"
-    start = f"{WARC_VERSION}\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}{WARC_END}"
-    out = flat.withColumn("block", block).select(head.alias("head"), "block")
-    value = F.concat(F.when(_first_of_file(per_file), F.lit(start)).otherwise(F.lit("")), F.col("head"), F.lit("\r\n\r\n"), F.col("block"))
-    out.select(value.alias("value")).write.option("compression", "gzip").option("maxRecordsPerFile", per_file).option("lineSep", WARC_END).text(warc_path)
+    whole = read_arc(spark, arc_path, payloads=False).where((F.col("payload_bytes") >= min_payload) & F.col("problem").isNull())
+    whole = materialize(whole.select("digest", "page_id", "path", "offset"), "arc-places")
+    seen = whole.groupBy("digest").agg(F.min(place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = whole.join(seen, "digest").where(place() != F.col("first"))
+    answers = again.groupBy("path").agg(F.collect_list(F.struct("offset", F.struct("first.page_id", "first.path", "first.offset").alias("first"))).alias("revisits"))
+
+    def records(batch: pa.RecordBatch) -> Iterator[bytes]:
+        for where, content, revisits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            known = {x["offset"]: x["first"] for x in revisits.as_py() or ()}
+            for r in arc_records(content.as_py()):
+                yield warc_record(*_arc_row(where, r), known.get(r["offset"]))
+
+    _write_members(_files(spark, arc_path).join(answers, "path", "left").select("path", "content", "revisits"), warc_path, records, _info, file_bytes)
 
 
 def warc_records(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -187,30 +268,29 @@ def warc_records(content: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """A row per response and revisit; the payload's length and digest are of the full payload for both.
+    """A row per response, revisit and resource; the payload's length and digest are of the full payload for all.
 
-    A response's digest is computed anew and must equal the declared one; a revisit has no payload, so its length is what the kept HTTP header declares.
+    A payload's digest is computed anew and must equal the declared one; a revisit has no payload, so its length is what the kept HTTP header declares.
     """
-    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
+    schema = pa.schema([("record_id", pa.string()), ("record_type", pa.string()), ("url", pa.string()), ("date", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("truncated", pa.bool_()), ("payload", pa.binary())])
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple[dict, int]]:
-        for content in batch.column(0):
+        for content in batch.column(1):
             for named, block in warc_records(content.as_py()):
                 kind = named[b"warc-type"].decode()
-                if kind not in ("response", "revisit"):
+                if kind not in ("response", "revisit", "resource"):
                     continue
                 _, body, http = split_http(block)
                 said = named[b"warc-payload-digest"].decode().removeprefix("sha256:")
-                if kind == "response" and hashlib.sha256(body).hexdigest() != said:
+                if kind != "revisit" and hashlib.sha256(body).hexdigest() != said:
                     raise ValueError(f"payload digest differs in {named[b'warc-record-id']!r}")
-                yield {"record_id": named[b"warc-record-id"].decode(), "record_type": kind, "url": named[b"warc-target-uri"].decode("utf-8", "replace"), "date": named[b"warc-date"].decode(), "page_id": _whole(http.get(b"x-page-id")), "payload_bytes": len(body) if kind == "response" else _whole(http.get(b"content-length")), "payload_digest": said, "refers_to": _whole(named.get(b"x-refers-to-page-id")), "payload": body if payloads else None}, len(body) * payloads
+                yield {"record_id": named[b"warc-record-id"].decode(), "record_type": kind, "url": named[b"warc-target-uri"].decode("utf-8", "replace"), "date": named[b"warc-date"].decode(), "page_id": _whole(http.get(b"x-page-id")), "payload_bytes": len(body) if kind != "revisit" else _whole(http.get(b"content-length")), "payload_digest": said, "refers_to": _whole(named.get(b"x-refers-to-page-id")), "truncated": b"warc-truncated" in named, "payload": body if payloads else None}, len(body) * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield from _batches(rows(batch), schema)
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(tidy(run), WARC_ROWS)
+    return _files(spark, path).mapInArrow(tidy(run), WARC_ROWS)
 
 
 def round_trip(pages: DataFrame, version: int = 1, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
