@@ -505,32 +505,64 @@ def test_context_tree_matches_recursion():
         assert abs(got - chance((), path)) < 1e-5
 
 
+def plain_tiling(text: list, item: list) -> int:
+    """Words under greedy tiles, by trying every pair of places, longest first."""
+    used_t, used_i, total = [False] * len(text), [False] * len(item), 0
+    least = min(5, len(item))
+    while True:
+        best = (0, 0, 0)
+        for t in range(len(text)):
+            for p in range(len(item)):
+                n = 0
+                while t + n < len(text) and p + n < len(item) and text[t + n] == item[p + n] and not used_t[t + n] and not used_i[p + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, t, p)
+        if best[0] < least or not best[0]:
+            return total
+        n, t, p = best
+        used_t[t : t + n] = [True] * n
+        used_i[p : p + n] = [True] * n
+        total += n
+
+
+def test_tiles_of_repeated_words():
+    """Few kinds of words, so that seeds repeat, runs overlap and marks cut them."""
+    import random
+
+    import numpy as np
+
+    from tonearm.llm.tiling import tile
+
+    rng = random.Random(11)
+    for _ in range(300):
+        kinds = rng.choice([1, 2, 3])
+        text = [rng.randrange(kinds) for _ in range(rng.randrange(60))]
+        item = [rng.randrange(kinds) for _ in range(rng.randrange(1, 25))]
+        if rng.random() < 0.5:
+            at = rng.randrange(len(item))
+            text = text[:20] + item[at:] + [9] + item[:at] + text[20:]
+        tiles = tile(np.array(text, np.int64), np.array(item, np.int64), 5)
+        assert sum(n for _, _, n in tiles) == plain_tiling(text, item)
+        for t, p, n in tiles:
+            assert text[t : t + n] == item[p : p + n]
+
+
+def test_tiles_of_one_word_over_and_over():
+    """Every window of the text meets every one of the item: as pairs these would be 10 ** 8."""
+    import numpy as np
+
+    from tonearm.llm.tiling import tile
+
+    assert tile(np.zeros(200_000, np.int64), np.concatenate([np.zeros(500, np.int64), [7]]), 5) == [(0, 0, 500)]
+
+
 def test_tiling(spark, docs, texts):
     from tonearm.llm.tiling import contaminated, tile, words_of
 
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     items = {r.item_id: words_of(r.text.encode()) for r in bench.collect()}
 
-    def plain(text: list, item: list) -> int:
-        """Greedy tiling by trying every pair of places, longest first."""
-        used_t, used_i, total = [False] * len(text), [False] * len(item), 0
-        least = min(5, len(item))
-        while True:
-            best = (0, 0, 0)
-            for t in range(len(text)):
-                for p in range(len(item)):
-                    n = 0
-                    while t + n < len(text) and p + n < len(item) and text[t + n] == item[p + n] and not used_t[t + n] and not used_i[p + n]:
-                        n += 1
-                    if n > best[0]:
-                        best = (n, t, p)
-            if best[0] < least or not best[0]:
-                return total
-            n, t, p = best
-            used_t[t : t + n] = [True] * n
-            used_i[p : p + n] = [True] * n
-            total += n
-
     got = {(r.doc_id, r.item_id): r for r in contaminated(docs, bench, coverage=0.1).collect()}
     for i, text in texts.items():
         words = words_of(text.encode())
@@ -539,7 +571,7 @@ def test_tiling(spark, docs, texts):
             if any(tuple(own[k : k + 5]) in seeds for k in range(max(0, len(own) - 4))):
                 r = got[i, item]
                 if len(words) < 400:
-                    assert r.matched == plain(words, own)
+                    assert r.matched == plain_tiling(words, own)
             else:
                 assert (i, item) not in got
     joined = {(r.doc_id, r.item_id): r.matched for r in contaminated(docs, bench, coverage=0.1, max_broadcast_bytes=0).collect()}

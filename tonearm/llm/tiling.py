@@ -8,6 +8,7 @@ order of the passages, so reordered copies are caught.
 
 from __future__ import annotations
 
+import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -44,45 +45,80 @@ def rolling(ids: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _common(text: np.ndarray, item: np.ndarray, t: int, p: int) -> int:
+    """How many words agree from ``t`` and ``p`` on."""
+    n, step = 0, 32
+    while True:
+        a, b = text[t + n : t + n + step], item[p + n : p + n + step]
+        k = min(len(a), len(b))
+        differ = a[:k] != b[:k]
+        if differ.any():
+            return n + int(differ.argmax())
+        n += k
+        if k < step:
+            return n
+        step *= 2
+
+
+def matches(text: np.ndarray, item: np.ndarray, width: int) -> Iterator[tuple[int, int, int]]:
+    """(place in text, place in item, words) of the common runs of at least ``width`` words that go on neither way.
+
+    A run is met at its start alone: windows of the item are kept by the word before them, and a window of the text meets those with another one. So repeated
+    words cost their runs and not their pairs of windows.
+    """
+    starts: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+    for p, h in enumerate(rolling(item, width).tolist()):
+        starts[h][int(item[p - 1]) if p else -2].append(p)
+    hashes = rolling(text, width)
+    for t in np.flatnonzero(np.isin(hashes, np.fromiter(starts, np.uint64, len(starts)))).tolist():
+        before = int(text[t - 1]) if t else -3
+        for word, places in starts[int(hashes[t])].items():
+            if word != before:
+                for p in places:
+                    n = _common(text, item, t, p)
+                    if n >= width:
+                        yield t, p, n
+
+
 def tile(text: np.ndarray, item: np.ndarray, seed: int) -> list[tuple[int, int, int]]:
-    """(place in text, place in item, words) of greedy tiles: longest first, ties by place; every word of either is in one tile at most."""
+    """(place in text, place in item, words) of greedy tiles: longest first, ties by place; every word of either is in one tile at most.
+
+    Runs wait by length; one that marks have cut since is put back as its free parts, so each is looked at when its turn comes. Tiles hold no more words than
+    the item, so they can bar only so many places of the text: of runs alike in the item that many first ones are all that can ever be chosen.
+    """
     width = min(seed, len(item))
     if not width:
         return []
-    starts = defaultdict(list)
-    for p, h in enumerate(rolling(item, width).tolist()):
-        starts[h].append(p)
-    hashes = rolling(text, width)
-    places = np.flatnonzero(np.isin(hashes, np.fromiter(starts, np.uint64, len(starts))))
-    pairs = [(t, p) for t in places.tolist() for p in starts[int(hashes[t])] if (text[t : t + width] == item[p : p + width]).all()]
+    most = 1 + len(item) + len(item) * (len(item) // width)
+    alike: dict[tuple[int, int], int] = defaultdict(int)
+    waiting = []
+    for t, p, n in matches(text, item, width):
+        alike[p, n] += 1
+        if alike[p, n] <= most:
+            waiting.append((-n, t, p))
+    heapq.heapify(waiting)
     in_text, in_item, tiles = np.zeros(len(text), bool), np.zeros(len(item), bool), []
-    while pairs:
-        grown, open_pairs = [], []
-        for t, p in pairs:
-            if in_text[t : t + width].any() or in_item[p : p + width].any():
-                continue
-            open_pairs.append((t, p))
-            # A match that goes on to the left was grown from there.
-            if t and p and text[t - 1] == item[p - 1] and not in_text[t - 1] and not in_item[p - 1]:
-                continue
-            n = width
-            while t + n < len(text) and p + n < len(item) and text[t + n] == item[p + n] and not in_text[t + n] and not in_item[p + n]:
-                n += 1
-            grown.append((-n, t, p))
-        if not grown:
-            break
-        longest = min(grown)[0]
-        for n, t, p in sorted(grown):
-            if n > longest:
-                break
-            if in_text[t : t - n].any() or in_item[p : p - n].any():
-                continue
+    while waiting:
+        n, t, p = heapq.heappop(waiting)
+        taken = in_text[t : t - n] | in_item[p : p - n]
+        if not taken.any():
             in_text[t : t - n] = in_item[p : p - n] = True
             tiles.append((t, p, -n))
-        pairs = open_pairs
+            if _longest_free(in_item) < width:
+                break
+            continue
+        edges = np.flatnonzero(np.diff(np.concatenate([[True], taken, [True]]).astype(np.int8)))
+        for x, y in zip(edges[::2].tolist(), edges[1::2].tolist()):
+            if y - x >= width:
+                heapq.heappush(waiting, (x - y, t + x, p + x))
     return sorted(tiles)
 
 
+def _longest_free(marked: np.ndarray) -> int:
+    at = np.flatnonzero(np.concatenate([[True], marked, [True]]))
+    return int(np.diff(at).max()) - 1
+
+
 class Index:
     """Words and seeds of benchmark items."""
 
