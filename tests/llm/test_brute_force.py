@@ -428,81 +428,119 @@ def test_language_model(docs, texts, top_words):
         assert -math.inf < r.score < 0
 
 
-def test_context_tree_is_a_distribution():
-    import numpy as np
+def plain_places(text: bytes) -> list[tuple]:
+    """(context, nearest byte first, byte) of each place of a text and its end."""
+    whole = b"\xff" * 5 + text + b"\xff"
+    return [(tuple(whole[i - 1 : i - 6 : -1]) if i > 5 else tuple(whole[4::-1]), whole[i]) for i in range(5, len(whole))]
 
-    from tonearm.llm import ctw_core
 
-    texts = [b"the cat sat on the mat", b"the dog sat on the log", b""]
-    code, n = ctw_core.count(texts)
-    cells = []
-    for d in range(ctw_core.FULL, ctw_core.DEPTH + 1):
-        key = (code.astype(np.int64) // 256 >> 6 * (ctw_core.DEPTH - d)) * 256 + code.astype(np.int64) % 256
-        u, at = np.unique(key, return_inverse=True)
-        cells.append((u, np.bincount(at, n).astype(np.int64)))
-    model = ctw_core.train(cells)
-    assert np.allclose((10.0 ** model[1][1:].astype(float)).sum(axis=1), 1, atol=1e-5)
-    seen, unseen = ctw_core.score(model, [b"the cat sat", b"xq zvj kwp!"])[0]
-    assert seen > unseen
-    whole, _ = ctw_core.score(model, [b"the cat", b"sat"])
-    assert np.allclose(whole, [ctw_core.score(model, [x])[0][0] for x in (b"the cat", b"sat")])
+def plain_tree(training: list[bytes], depth: int = 5):
+    """log10 of the chance of a byte after a context, by the recursive definition over every context."""
+    import functools
+    import math
 
+    import numpy as np
 
+    seen: dict = {}
+    for text in training:
+        for context, byte in plain_places(text):
+            for d in range(depth + 1):
+                for bit in range(8):
+                    node = seen.setdefault((context[:d], bit, byte >> (8 - bit)), [0, 0])
+                    node[byte >> (7 - bit) & 1] += 1
+    children: dict = {}
+    for context, bit, prefix in seen:
+        if context:
+            children.setdefault((context[:-1], bit, prefix), set()).add(context)
+
+    @functools.cache
+    def weighted(context, bit, prefix):
+        a, b = seen[context, bit, prefix]
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+        if len(context) == depth:
+            return own, own
+        return float(np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(weighted(c, bit, prefix)[0] for c in children[context, bit, prefix]))), own
+
+    def one(context, d, bit, prefix):
+        key = (context[:d], bit, prefix)
+        if key not in seen:
+            return 0.5
+        a, b = seen[key]
+        p = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return p
+        both, own = weighted(*key)
+        w = math.exp(math.log(0.5) + own - both)
+        return w * p + (1 - w) * one(context, d + 1, bit, prefix)
 
+    def chance(context, byte):
+        p = [one(context, 0, bit, byte >> (8 - bit)) for bit in range(8)]
+        return sum(math.log10(x if byte >> (7 - bit) & 1 else 1 - x) for bit, x in enumerate(p))
 
-def test_context_tree_matches_recursion():
-    """Weights and chances of the tables against the recursive definition, for one node of the byte's binary tree."""
-    import math
+    return chance
 
+
+def test_context_tree_matches_recursion():
+    """Every code, seen or only to be scored, weighed in parts, against the recursive definition over all contexts."""
     import numpy as np
 
     from tonearm.llm import ctw_core
 
-    texts = [b"abab", b"abba", b"ba"]
-    data, starts = ctw_core.block(texts)
-    back = ctw_core._classes_back(data, starts)
-    first_bit = data >> 7
-    contexts = [tuple(int(b[i]) for b in back) for i in range(len(data))]
-
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
-    def node(prefix):
-        at = [i for i, c in enumerate(contexts) if c[: len(prefix)] == prefix]
-        b = int(sum(first_bit[i] for i in at))
-        return len(at) - b, b
-
-    def weighted(prefix):
-        a, b = node(prefix)
-        own = kt(a, b) if a + b else 0.0
-        if len(prefix) == ctw_core.DEPTH:
-            return own
-        kids = sorted({c[len(prefix)] for c in contexts if c[: len(prefix)] == prefix})
-        return np.logaddexp(math.log(0.5) + own, math.log(0.5) + sum(weighted((*prefix, k)) for k in kids))
-
-    def chance(prefix, path):
-        a, b = node(prefix)
-        p = (b + 0.5) / (a + b + 1)
-        if len(prefix) == ctw_core.DEPTH:
-            return p
-        if a + b == 0:
-            return 0.5
-        w = math.exp(math.log(0.5) + kt(a, b) - weighted(prefix))
-        return w * p + (1 - w) * chance((*prefix, path[len(prefix)]), path)
-
-    code, n = ctw_core.count(texts)
-    cells = []
-    for d in range(ctw_core.FULL, ctw_core.DEPTH + 1):
-        key = (code.astype(np.int64) // 256 >> 6 * (ctw_core.DEPTH - d)) * 256 + code.astype(np.int64) % 256
-        u, at = np.unique(key, return_inverse=True)
-        cells.append((u, np.bincount(at, n).astype(np.int64)))
-    following, rows = ctw_core.train(cells)
-    for path in sorted(set(contexts)):
-        at = 1
-        for c in path:
-            at = following[at, c]
-        got = (10.0 ** rows[at, 128:].astype(float)).sum()
-        assert abs(got - chance((), path)) < 1e-5
+    training, others = [b"abab", b"abba ab", b"ba", b"", "ä\u20ac ab".encode()], [b"abz", b"q", b""]
+    chance = plain_tree(training)
+    some, more = ctw_core.count(training), ctw_core.count(others)
+    code, n = ctw_core.summed(np.concatenate([some[0], more[0]]), np.concatenate([some[1], np.zeros(len(more[0]), np.int64)]))
+    cuts = [0, *(np.flatnonzero(np.diff(code >> ctw_core.PART_BITS)) + 1), len(code)]
+    parts = list(zip(cuts, cuts[1:]))
+    nodes = [np.concatenate(x) for x in zip(*(ctw_core.upwards(code[a:b], n[a:b]) for a, b in parts))]
+    key, at = np.unique(nodes[0], return_inverse=True)
+    above = ctw_core.top(key, *(np.bincount(at, x).astype(x.dtype) for x in nodes[1:]))
+    got = np.concatenate([ctw_core.downwards(code[a:b], n[a:b], above) for a, b in parts])
+    known = {}
+    for text in training + others:
+        for (context, byte), c in zip(plain_places(text), ctw_core.codes(*ctw_core.block([text])).tolist()):
+            assert abs(got[np.searchsorted(code, c)] - chance(context, byte)) < 1e-9
+            known[c] = (context, byte)
+    assert sorted(known) == code.tolist() and len(parts) > 5
+    assert abs(sum(10 ** chance(tuple(b"baba "), x) for x in range(256)) - 1) < 1e-9
+
+
+def test_table_of_codes():
+    import numpy as np
+
+    from tonearm.llm.ctw_core import Table
+
+    rng = np.random.default_rng(2)
+    code = np.unique(rng.integers(0, 1 << 48, 5000))
+    value = rng.random(len(code))
+    asked = rng.permutation(np.concatenate([code[::2], code[::3], rng.integers(0, 1 << 48, 3000)]))
+    found, lost = Table(code[::2], value[::2]).find(asked)
+    known = dict(zip(code[::2].tolist(), value[::2].tolist()))
+    assert found.tolist() == [known.get(x, 0.0) for x in asked.tolist()]
+    assert lost.tolist() == [i for i, x in enumerate(asked.tolist()) if x not in known]
+    assert Table(code[:0], value[:0]).find(asked)[1].tolist() == list(range(len(asked)))
+
+
+def test_language_model_keeps_every_context(spark, monkeypatch):
+    """Scores are those of the recursion over all contexts of the training texts, whatever is sent to the tasks and however texts are chunked."""
+    import random
+
+    from tonearm.llm import lm_scoring
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["Rain", "falls", "on", "the", "ämne", "x"]) for _ in range(rng.randrange(12)))) for i in range(60)] + [(60, None), (61, "never \u20ac seen")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    low = {i: (t or "").encode().lower() for i, t in rows}
+    chance = plain_tree([t for i, t in low.items() if zlib.crc32(str(i).encode()) % 10])
+    want = {i: sum(chance(*x) for x in plain_places(t)) for i, t in low.items()}
+    for most in (1 << 20, 50, 0):
+        for r in lm_scoring.language_scores(docs, top_codes=most).collect():
+            assert abs(r.score - want[r.doc_id]) < 1e-8
+    monkeypatch.setattr(lm_scoring, "CHUNK_BYTES", 300)
+    monkeypatch.setattr(lm_scoring, "HELD_CODES", 200)
+    monkeypatch.setattr(lm_scoring, "PART_CODES", 20)
+    for r in lm_scoring.language_scores(docs, top_codes=30).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-8
 
 
 def plain_tiling(text: list, item: list) -> int:
