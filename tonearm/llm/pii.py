@@ -98,17 +98,18 @@ def with_spans(rows: DataFrame, docs: DataFrame, text_col: str, threshold: float
     holding = rows.where(F.size("entities") > 0)
     if total < 1 or holding.isEmpty():
         return rows.withColumn("spans", own)
-    placed = holding.select("rid", F.explode(F.arrays_zip("terms", "places")).alias("z")).select("rid", F.col("z.terms").alias("term"), F.col("z.places").alias("places"))
-    known = materialize(placed.join(term_counts(docs, text_col), "term").select("rid", "term", "n_t", "places"), "pii-terms")
+    # Terms travel by their number in their text; their places stay with it.
+    known = materialize(holding.select("rid", F.posexplode("terms").alias("at", "term")).join(term_counts(docs, text_col), "term").select("rid", "at", "term", "n_t"), "pii-terms")
     tells = lambda n_ct: (F.lit(total) > F.col("n_c")) & (F.log2(F.lit(total) * n_ct / ((F.col("n_c") + added) * (F.col("n_t") + added))) >= threshold * F.log2(F.lit(total) / F.col("n_c")))
     holders = materialize(_holders(holding), "pii-holders")
-    by_one = known.join(holders.where("n_c = 1"), "rid").where(tells(F.lit(1))).select("rid", "places")
+    by_one = known.join(holders.where("n_c = 1"), "rid").where(tells(F.lit(1))).select("rid", "at")
     near = materialize(known.join(holders.where("n_c > 1"), "rid").where(tells(F.least("n_c", "n_t"))), "pii-pairs")
     telling = near.groupBy("same", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct")).where(tells(F.col("n_ct"))).select("same", "term")
-    by_more = near.join(telling, ["same", "term"], "left_semi").select("rid", "places")
-    found = by_one.union(by_more).groupBy("rid").agg(F.array_distinct(F.flatten(F.collect_list(F.transform(F.sequence(F.lit(0), F.size("places") - 1, F.lit(2)), lambda i: F.struct(F.get("places", i).alias("start"), F.get("places", i + 1).alias("stop")))))).alias("extra"))
-    extra = F.transform(F.coalesce("extra", F.array().cast("array<struct<start:int,stop:int>>")), lambda p: F.struct(p["start"].alias("start"), F.lit(ORDER[TERM]).alias("ord"), p["stop"].alias("stop"), F.lit(TERM).alias("kind")))
-    return rows.join(found, "rid", "left").withColumn("spans", F.array_sort(F.concat(own, extra))).drop("extra")
+    by_more = near.join(telling, ["same", "term"], "left_semi").select("rid", "at")
+    found = by_one.union(by_more).groupBy("rid").agg(F.collect_set("at").alias("telling"))
+    pairs = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(2)), lambda i: F.struct(F.get(p, i).alias("start"), F.lit(ORDER[TERM]).alias("ord"), F.get(p, i + 1).alias("stop"), F.lit(TERM).alias("kind")))
+    extra = F.flatten(F.transform(F.coalesce("telling", F.array().cast("array<int>")), lambda i: pairs(F.get("places", i))))
+    return rows.join(found, "rid", "left").withColumn("spans", F.array_sort(F.concat(own, extra))).drop("telling")
 
 
 def _parsed(s: Column) -> Column:
