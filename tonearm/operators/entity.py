@@ -10,6 +10,9 @@ from tonearm.functions import numeric as N
 from tonearm.functions import similarity as S
 from tonearm.functions import text as X
 from tonearm.operators.components import connected_components
+from tonearm.operators.graph import not_suppressed
+from tonearm.operators.ranking import numbered
+from tonearm.storage import materialize
 
 #: Fixed values of the suggestion rules.
 EQUIVALENT_AT, RELATED_AT, ALBUM_AT, NEAR_TITLE_AT = 0.94, 0.93, 0.98, 0.90
@@ -41,34 +44,53 @@ def _prefixed(rows: DataFrame, p: str) -> DataFrame:
     return rows.select(F.col("id").alias(f"{p}_id"), *[X.match_text(F.col(n)).alias(f"{p}_{n}") for n in ("title", "artist", "album")], F.col("duration_ms").alias(f"{p}_ms"))
 
 
-def shared_trigram_candidates(local: DataFrame, tracks: DataFrame, threshold: float = 0.3, most: int = 100) -> DataFrame:
-    """(local_id, track_id): per local track up to ``most`` tracks by trigram similarity of title, then id.
+def shared_trigram_candidates(local: DataFrame, tracks: DataFrame, rejected: DataFrame | None = None, threshold: float = 0.3, most: int = 100, least: int = 3) -> DataFrame:
+    """(local_id, track_id, k): per local track up to ``most`` tracks by trigram similarity of its title's identity with theirs, then id, without ``rejected`` pairs.
 
+    A list of under ``least`` tracks is filled up to that with the smallest ids; an empty one takes the ``most`` best of any similarity.
     Distinct titles are compared, by a join on shared trigrams; the pairs of titles are then spread over their tracks.
     """
-    grams = lambda d, n: d.select(F.col("title").alias(n)).distinct().select(n, F.size(S.trigrams(F.col(n))).alias(f"{n}_n"), F.explode(S.trigrams(F.col(n))).alias("g"))
-    shared = grams(local, "a").join(grams(tracks, "b"), "g").groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("n"))
-    near = shared.withColumn("sim", F.col("n") / (F.col("a_n") + F.col("b_n") - F.col("n"))).where(F.col("sim") >= threshold)
-    pairs = local.select(F.col("id").alias("local_id"), F.col("title").alias("a")).join(near, "a").join(tracks.select(F.col("id").alias("track_id"), F.col("title").alias("b")), "b")
+    refused = local.sparkSession.createDataFrame([], "local_id long, track_id long") if rejected is None else rejected.select("local_id", "track_id").distinct()
+    asked = local.select(F.col("id").alias("local_id"), X.title_identity(X.match_text(F.col("title"))).alias("a")).where("a IS NOT NULL")
+    titles = tracks.select(F.col("id").alias("track_id"), F.col("title").alias("b"))
+    grams = lambda d, n: d.select(n).distinct().select(n, F.size(S.trigrams(F.col(n))).alias(f"{n}_n"), F.explode(S.trigrams(F.col(n))).alias("g"))
+    shared = grams(asked, "a").join(grams(titles, "b"), "g").groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("n"))
+    alike = materialize(shared.select("a", "b", (F.col("n") / (F.col("a_n") + F.col("b_n") - F.col("n"))).alias("sim")), "alike-titles")
     w = W.partitionBy("local_id").orderBy(F.desc("sim"), "track_id")
-    return pairs.withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("local_id", "track_id", "k")
 
-
-def match_by_tags(local: DataFrame, tracks: DataFrame, strong: float = 0.5, most: int = 3, fallback: int = 2) -> DataFrame:
-    """(local_id, track_id, score): up to ``most`` candidates of at least ``strong``, or the best ``fallback`` where none is."""
-    pairs = shared_trigram_candidates(local, tracks).join(_prefixed(local, "l").withColumnRenamed("l_id", "local_id"), "local_id").join(_prefixed(tracks, "t").withColumnRenamed("t_id", "track_id"), "track_id")
+    def best(locals_: DataFrame, pairs: DataFrame) -> DataFrame:
+        spread = locals_.join(pairs, "a").join(titles, "b").select("local_id", "track_id", "sim")
+        return spread.join(refused, ["local_id", "track_id"], "left_anti").withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("local_id", "track_id", "k")
+
+    near = materialize(best(asked, alike.where(F.col("sim") >= threshold)), "near-titles")
+    have = near.groupBy("local_id").agg(F.count("*").alias("n"))
+    none = asked.join(have, "local_id", "left_anti")
+    far = materialize(best(none, alike), "far-titles")
+    found = near.unionByName(far)
+    # What is still to fill, out of the smallest ids: so many further that rejected and found ones cannot exhaust them.
+    short = asked.select("local_id").join(found.groupBy("local_id").agg(F.count("*").alias("n")), "local_id", "left").join(have.select("local_id", F.lit(True).alias("near")), "local_id", "left").join(refused.groupBy("local_id").agg(F.count("*").alias("gone")), "local_id", "left")
+    short = short.select("local_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("near"), least).otherwise(most).alias("upto"), F.coalesce("gone", F.lit(0)).alias("gone")).where("n < upto")
+    by_id = numbered(tracks.select(F.col("id").alias("track_id")), [F.col("track_id").asc()])
+    tried = short.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto") + F.col("gone"))).alias("number")).join(by_id, "number")
+    tried = tried.join(refused, ["local_id", "track_id"], "left_anti").join(found.select("local_id", "track_id"), ["local_id", "track_id"], "left_anti")
+    filled = tried.withColumn("k", (F.col("n") + F.row_number().over(W.partitionBy("local_id").orderBy("track_id"))).cast("int")).where("k <= upto").select("local_id", "track_id", "k")
+    return found.unionByName(filled)
+
+
+def match_by_tags(local: DataFrame, tracks: DataFrame, rejected: DataFrame | None = None, strong: float = 0.5, most: int = 3, fallback: int = 2) -> DataFrame:
+    """(local_id, track_id, score): up to ``most`` candidates that were not rejected, of at least ``strong``, or the best ``fallback`` where none is. Without title and artist nothing matches."""
+    pairs = shared_trigram_candidates(local, tracks, rejected, least=most).join(_prefixed(local, "l").withColumnRenamed("l_id", "local_id"), "local_id").join(_prefixed(tracks, "t").withColumnRenamed("t_id", "track_id"), "track_id")
+    named = pairs.where("l_title IS NOT NULL AND l_artist IS NOT NULL AND t_title IS NOT NULL AND t_artist IS NOT NULL")
     w = W.partitionBy("local_id")
-    ranked = scored(pairs, "l", "t").withColumn("best", F.max("score").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "k")))
+    ranked = scored(named, "l", "t").withColumn("best", F.max("score").over(w)).withColumn("r", F.row_number().over(w.orderBy(F.desc("score"), "k")))
     return ranked.where((F.col("r") <= most) & ((F.col("score") >= strong) | ((F.col("best") < strong) & (F.col("r") <= fallback)))).select("local_id", "track_id", "score")
 
 
 def match_all(local: DataFrame, tracks: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(local_id, track_id, score, method): the code match unless that pair was rejected, else the tag shortlist without rejected pairs."""
-    codes = match_by_code(local, tracks)
-    kept = codes.join(rejected.select("local_id", "track_id"), ["local_id", "track_id"], "left_anti").withColumn("method", F.lit("isrc"))
-    rest = local.join(codes.select(F.col("local_id").alias("id")).distinct(), "id", "left_anti")
-    tags = match_by_tags(rest, tracks).join(rejected.select("local_id", "track_id"), ["local_id", "track_id"], "left_anti").withColumn("method", F.lit("tags"))
-    return kept.unionByName(tags)
+    """(local_id, track_id, score, method): the code match unless that pair was rejected, else the tag shortlist of the tracks that were not rejected."""
+    kept = match_by_code(local, tracks).join(rejected.select("local_id", "track_id"), ["local_id", "track_id"], "left_anti").withColumn("method", F.lit("isrc"))
+    rest = local.join(kept.select(F.col("local_id").alias("id")).distinct(), "id", "left_anti")
+    return kept.unionByName(match_by_tags(rest, tracks, rejected).withColumn("method", F.lit("tags")))
 
 
 def code_star(tracks: DataFrame) -> DataFrame:
@@ -77,32 +99,48 @@ def code_star(tracks: DataFrame) -> DataFrame:
     return codes.withColumn("lower_id", F.min("id").over(W.partitionBy("code"))).where("id <> lower_id").select("lower_id", F.col("id").alias("higher_id"))
 
 
-def fuzzy_pairs(tracks: DataFrame) -> DataFrame:
-    """Pairs within a block (artist, first word of the title key) with their score and safety.
+def near_titles(tracks: DataFrame) -> DataFrame:
+    """Pairs (lower_id, higher_id) of tracks of one artist with near-same titles in one block (artist, first word of the title's key), but for those with one valid code.
 
-    A block is joined on its distinct (title, album, duration) rows' ids; blocks are narrow, and the join is an equality that AQE can split.
+    Titles are compared by distinct keys within their block, so only tracks of keys that are near meet at all.
     """
-    rows = _prefixed(tracks, "x").where("x_title IS NOT NULL AND x_artist IS NOT NULL")
-    rows = rows.withColumn("key", X.title_key(F.col("x_title"))).withColumn("block", F.split_part("key", F.lit(" "), F.lit(1)))
-    a = rows.select(*[F.col(c).alias(c.replace("x_", "a_")) for c in rows.columns if c.startswith("x_")], F.col("key").alias("a_key"), "block", F.col("x_artist").alias("artist"))
-    b = rows.select(*[F.col(c).alias(c.replace("x_", "b_")) for c in rows.columns if c.startswith("x_")], F.col("key").alias("b_key"), "block", F.col("x_artist").alias("artist"))
-    pairs = a.join(b, ["artist", "block"]).where("a_id < b_id")
-    out = scored(pairs, "a", "b")
-    near = (F.col("a_key") == F.col("b_key")) | (S.token_sort(F.col("a_key"), F.col("b_key")) >= NEAR_TITLE_AT)
+    rows = tracks.select("id", X.match_text(F.col("title")).alias("title"), X.match_text(F.col("artist")).alias("artist"), X.valid_isrc(F.col("isrc")).alias("code")).where("title IS NOT NULL AND artist IS NOT NULL")
+    rows = rows.withColumn("key", X.title_key(F.col("title"))).withColumn("block", F.split_part("key", F.lit(" "), F.lit(1)))
+    keys = rows.select("artist", "block", "key").distinct()
+    near = keys.withColumnRenamed("key", "a_key").join(keys.withColumnRenamed("key", "b_key"), ["artist", "block"]).where("a_key <= b_key")
+    near = near.where((F.col("a_key") == F.col("b_key")) | (S.token_sort(F.col("a_key"), F.col("b_key")) >= NEAR_TITLE_AT))
+    side = lambda p: rows.select("artist", F.col("key").alias(f"{p}_key"), F.col("id").alias(p), F.col("code").alias(f"{p}_code"))
+    pairs = near.join(side("a"), ["artist", "a_key"]).join(side("b"), ["artist", "b_key"]).where((F.col("a_key") < F.col("b_key")) | (F.col("a") < F.col("b")))
+    other = F.coalesce(F.col("a_code") != F.col("b_code"), F.lit(True))
+    return pairs.where(other).select("artist", "block", F.least("a", "b").alias("lower_id"), F.greatest("a", "b").alias("higher_id"))
+
+
+def fuzzy_pairs(tracks: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """``pairs``, or all :func:`near_titles`, with their score and what speaks against equivalence."""
+    pairs = near_titles(tracks) if pairs is None else pairs
+    side = lambda p, end: _prefixed(tracks, p).withColumnRenamed(f"{p}_id", end)
+    out = scored(pairs.join(side("a", "lower_id"), "lower_id").join(side("b", "higher_id"), "higher_id"), "a", "b")
     versions = X.version_words(F.col("a_title")) != X.version_words(F.col("b_title"))
-    return out.select("artist", "block", F.col("a_id").alias("lower_id"), F.col("b_id").alias("higher_id"), "score", near.alias("near_title"), versions.alias("version_conflict"), F.coalesce(F.abs(F.col("a_ms") - F.col("b_ms")) > EQUIVALENT_MS, F.lit(False)).alias("duration_conflict"), F.coalesce(F.col("s_album") < ALBUM_AT, F.lit(False)).alias("album_conflict"))
+    return out.select("artist", "block", "lower_id", "higher_id", "score", versions.alias("version_conflict"), F.coalesce(F.abs(F.col("a_ms") - F.col("b_ms")) > EQUIVALENT_MS, F.lit(False)).alias("duration_conflict"), F.coalesce(F.col("s_album") < ALBUM_AT, F.lit(False)).alias("album_conflict"))
+
 
+def relationship_suggestions(tracks: DataFrame, components: DataFrame | None = None, edges: DataFrame | None = None, decided: DataFrame | None = None, most: int = MOST) -> DataFrame:
+    """(lower_id, higher_id, type, method, score): equal codes, then safe fuzzy equivalents and other versions, five a block, ``most`` in all.
 
-def relationship_suggestions(tracks: DataFrame, most: int = MOST) -> DataFrame:
-    """(lower_id, higher_id, type, method, score): equal codes first, then safe fuzzy equivalents and other versions, five a block, ``most`` in all."""
-    star = code_star(tracks).select("lower_id", "higher_id", F.lit("equivalent").alias("type"), F.lit("isrc").alias("method"), F.lit(1.0).alias("score"))
-    f = fuzzy_pairs(tracks)
+    ``tracks`` are those in scope. Pairs that ``edges`` (over ``components``) or ``decided`` suggestions suppress are left out before any cap.
+    """
+    spark = tracks.sparkSession
+    edges = spark.createDataFrame([], "lower_id long, higher_id long, type string") if edges is None else edges
+    components = spark.createDataFrame([], "track_id long, component long") if components is None else components
+    free = lambda pairs: not_suppressed(pairs, components, edges, decided)
+    star = free(code_star(tracks)).select("lower_id", "higher_id", F.lit("equivalent").alias("type"), F.lit("isrc").alias("method"), F.lit(1.0).alias("score"))
+    f = fuzzy_pairs(tracks, free(near_titles(tracks)))
     safe = ~F.col("version_conflict") & ~F.col("duration_conflict") & ~F.col("album_conflict")
-    kind = F.when((F.col("score") >= EQUIVALENT_AT) & safe, "equivalent").when((F.col("score") >= RELATED_AT) & F.col("near_title") & F.col("version_conflict"), "related")
+    kind = F.when((F.col("score") >= EQUIVALENT_AT) & safe, "equivalent").when((F.col("score") >= RELATED_AT) & F.col("version_conflict"), "related")
     fuzzy = f.withColumn("type", kind).where("type IS NOT NULL")
     fuzzy = fuzzy.withColumn("r", F.row_number().over(W.partitionBy("artist", "block").orderBy(F.desc("score"), "lower_id", "higher_id"))).where(F.col("r") <= PER_BUCKET)
-    fuzzy = fuzzy.select("lower_id", "higher_id", "type", F.lit("tags").alias("method"), "score").join(star.select("lower_id", "higher_id"), ["lower_id", "higher_id"], "left_anti")
-    return star.unionByName(fuzzy.select(*star.columns)).orderBy(F.desc("score"), "lower_id", "higher_id").limit(most)
+    fuzzy = fuzzy.select("lower_id", "higher_id", "type", F.lit("tags").alias("method"), "score")
+    return star.unionByName(fuzzy).orderBy(F.desc("score"), "lower_id", "higher_id").limit(most)
 
 
 def equal_groups(rows: DataFrame, value: str, source: str, score: float) -> DataFrame:

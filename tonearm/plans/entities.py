@@ -35,7 +35,7 @@ def rejection_memory(t: Tables) -> DataFrame:
 
 @query()
 def match_pipeline(t: Tables) -> DataFrame:
-    """Codes, then tags for the rest, without rejected pairs; on all local tracks."""
+    """Codes, then tags for the rest, without rejected pairs; on all local tracks. Similarities have no SQL; a plain version stands in the tests."""
     return E.match_all(t.local, t.tracks, t.suggested.where("status = 'rejected'"))
 
 
@@ -51,9 +51,31 @@ def fuzzy_pairs(t: Tables) -> DataFrame:
     return E.fuzzy_pairs(t.tracks)
 
 
+def _in_scope(t: Tables) -> DataFrame:
+    return t.tracks.join(active_track_ids(t).withColumnRenamed("track_id", "id"), "id", "left_semi")
+
+
+def decided_suggestions(t: Tables) -> DataFrame:
+    """Stored suggestions: pairs of neighbouring tracks, of three states in turn."""
+    i = F.col("id")
+    return t.tracks.where("id % 4 = 1").select(i.alias("lower_id"), (i + 697).alias("higher_id"), F.when(i % 3 == 0, "rejected").when(i % 3 == 1, "accepted").otherwise("pending").alias("status"))
+
+
 @query()
 def relationship_suggestions(t: Tables) -> DataFrame:
-    return E.relationship_suggestions(t.tracks)
+    """Of the tracks on active playlists, without what relationships and decisions suppress. Similarities have no SQL; a plain version stands in the tests."""
+    return E.relationship_suggestions(_in_scope(t), t.components, t.edges, decided_suggestions(t))
+
+
+DECIDED = "SELECT id AS lower_id, id + 697 AS higher_id, CASE id % 3 WHEN 0 THEN 'rejected' WHEN 1 THEN 'accepted' ELSE 'pending' END AS status FROM r_tracks WHERE id % 4 = 1"
+
+
+@query(f"WITH star AS (SELECT lower_id, id AS higher_id FROM (SELECT id, min(id) OVER (PARTITION BY code) AS lower_id FROM (SELECT id, {CODE} AS code FROM r_tracks WHERE id IN ({ACTIVE})) WHERE code IS NOT NULL) WHERE id <> lower_id), d AS ({DECIDED}), c AS (SELECT track_id, component FROM r_components UNION SELECT higher_id, higher_id FROM d WHERE higher_id NOT IN (SELECT track_id FROM r_components)), barred AS (SELECT least(x.component, y.component) AS a, greatest(x.component, y.component) AS b FROM (SELECT lower_id, higher_id FROM r_edges UNION ALL SELECT lower_id, higher_id FROM d WHERE status = 'rejected') e JOIN c x ON x.track_id = e.lower_id JOIN c y ON y.track_id = e.higher_id) SELECT s.lower_id, s.higher_id FROM star s JOIN c x ON x.track_id = s.lower_id JOIN c y ON y.track_id = s.higher_id WHERE x.component <> y.component AND NOT EXISTS (SELECT 1 FROM d WHERE d.lower_id = s.lower_id AND d.higher_id = s.higher_id AND d.status <> 'pending') AND NOT EXISTS (SELECT 1 FROM barred b WHERE b.a = least(x.component, y.component) AND b.b = greatest(x.component, y.component))")
+def code_suggestions(t: Tables) -> DataFrame:
+    """Equal codes of the tracks in scope, without what relationships and decisions suppress."""
+    from tonearm.operators.graph import not_suppressed
+
+    return not_suppressed(E.code_star(_in_scope(t)), t.components, t.edges, decided_suggestions(t))
 
 
 @query(f"WITH star AS (SELECT lower_id, id AS higher_id FROM (SELECT id, min(id) OVER (PARTITION BY code) AS lower_id FROM (SELECT id, {CODE} AS code FROM r_tracks) WHERE code IS NOT NULL) WHERE id <> lower_id) SELECT e.lower_id, e.higher_id, CASE WHEN e.type = 'related' THEN 'kept' WHEN s.lower_id IS NULL THEN 'pruned' ELSE 'updated' END AS action FROM r_edges e LEFT JOIN star s ON s.lower_id = e.lower_id AND s.higher_id = e.higher_id UNION ALL SELECT s.lower_id, s.higher_id, 'created' FROM star s WHERE NOT EXISTS (SELECT 1 FROM r_edges e WHERE e.lower_id = s.lower_id AND e.higher_id = s.higher_id)")
