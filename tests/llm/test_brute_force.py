@@ -177,6 +177,20 @@ def test_sharding_cuts_a_hot_group_and_keeps_small_ones(spark):
     assert sum(len(s) > 1 for s in where.values()) <= 1
 
 
+def test_sharding_cuts_equal_rows(spark):
+    """A text with one id, or none, over and over: only its places tell its rows apart."""
+    from tonearm.llm.sharding import shard_by_bytes
+
+    rows = [(7, "the same row again and again")] * 3000 + [(None, "a text without an id, again and again")] * 3000
+    out = shard_by_bytes(spark.createDataFrame(rows, "doc_id long, text string"), 6, rows_per_range=100).collect()
+    totals, slots = Counter(), {}
+    for r in out:
+        totals[r.shard] += r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(out) == 6000 and all(abs(x - sum(totals.values()) / 6) < 100 for x in totals.values())
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
 def plain_stats(text: str) -> tuple:
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
     lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]

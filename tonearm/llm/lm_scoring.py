@@ -21,9 +21,9 @@ from tonearm.llm.worker import tidy
 from tonearm.storage import materialize
 
 #: Bytes of text handled at a time.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Distinct codes that a task sums before it hands them on, and that a part of the tree is weighed with at a time.
-HELD_CODES, PART_CODES = 2 << 20, 1 << 18
+HELD_CODES, PART_CODES = 1 << 20, 1 << 17
 WORD, CONTEXT, TOKENS = 0, 1, 2
 
 
