@@ -2,6 +2,8 @@
 
 import random
 
+import pytest
+
 
 def plain_set(text: str) -> set:
     words = text.lower().split()
@@ -51,7 +53,8 @@ def arc(*records, version=b"1"):
     return b"filedesc://x 0.0.0.0 20240101 text/plain 4\n" + version + b" 0\n\n" + b"".join(records)
 
 
-def test_damaged_archives(spark, tmp_path):
+@pytest.mark.parametrize("sent", [1_000_000, 0])
+def test_damaged_archives(spark, tmp_path, sent):
     """A cut-off record is marked and stays out of revisits; bad header lines are skipped and kept as metadata; the rest of the file is read."""
     import gzip
 
@@ -67,7 +70,7 @@ def test_damaged_archives(spark, tmp_path):
     got = warc.read_arc(spark, str(tmp_path / "arc"))
     assert sorted((r.problem or "", r.page_id or 0) for r in got.collect()) == [("", 0), ("", 0), ("", 1), ("", 2), ("", 4), ("malformed", 0), ("truncated", 3)]
     assert got.where("problem = 'malformed'").first().payload == b"http://bad 1.2.3.4 no length\nmore rubbish\n"
-    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), file_bytes=400)
+    warc.convert_arc(spark, str(tmp_path / "arc"), str(tmp_path / "warc"), file_bytes=400, max_broadcast_revisits=sent)
     out = {(r.page_id or r.url): r for r in warc.read_warc(spark, str(tmp_path / "warc"), payloads=True).collect()}
     assert {k: (r.record_type, r.refers_to, r.truncated) for k, r in out.items()} == {1: ("response", None, False), 2: ("revisit", 1, False), 3: ("response", None, True), 4: ("revisit", 1, False), "dns:a": ("resource", None, False), "http://v2": ("resource", None, False)}
     assert out["dns:a"].date == "2024-01-01T00:00:00Z" and out["http://v2"].date == "2024-02-03T04:05:06Z" and out["http://v2"].payload == b"abc"

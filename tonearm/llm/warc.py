@@ -34,6 +34,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 BATCH_BYTES = 8 << 20
 #: Uncompressed bytes after which a writer begins the next file.
 FILE_BYTES = 64 << 20
+#: Revisits, of about 60 bytes each, that are sent to every task.
+MAX_BROADCAST_REVISITS = 1_000_000
 
 ARC_ROWS = "page_id long, url string, ip string, archived string, mime string, http string, payload binary, payload_bytes long, digest string, problem string, path string, offset long"
 WARC_ROWS = "record_id string, record_type string, url string, date string, page_id long, payload_bytes long, payload_digest string, refers_to long, truncated boolean, payload binary"
@@ -192,8 +194,12 @@ def read_arc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame
     return _files(spark, path).mapInArrow(tidy(run), ARC_ROWS)
 
 
-def _record_id(page_id: int | None, digest: str, path: str, offset: int) -> str:
-    x = hashlib.sha256(f"{'-' if page_id is None else page_id}|{digest}|{path.rsplit('/', 1)[-1]}|{offset}".encode()).hexdigest()
+def _named_by(page_id: int | None, digest: str, path: str, offset: int) -> str:
+    return hashlib.sha256(f"{'-' if page_id is None else page_id}|{digest}|{path.rsplit('/', 1)[-1]}|{offset}".encode()).hexdigest()[:32]
+
+
+def _record_id(x: str) -> str:
+    """Out of 32 hex digits."""
     return f"<urn:uuid:{x[:8]}-{x[8:12]}-{x[12:16]}-{x[16:20]}-{x[20:32]}>"
 
 
@@ -205,16 +211,16 @@ def _stamp(archived: str | None) -> str:
 
 
 def warc_record(row: dict, head: bytes, body: bytes, first: dict | None) -> bytes:
-    """The WARC record of an ARC record; ``first`` is the record that it revisits."""
+    """The WARC record of an ARC record; ``first`` names the record that it revisits."""
     http = head + b"\r\n\r\n" if head else b""
     lost = row["problem"] == "malformed"
     block = http + (b"" if first else body)
     kind = "metadata" if lost else "revisit" if first else "response" if http else "resource"
-    lines = [WARC_VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(row['page_id'], row['digest'], row['path'], row['offset'])}", f"WARC-Date: {_stamp(row['archived'])}"]
+    lines = [WARC_VERSION, f"WARC-Type: {kind}", f"WARC-Record-ID: {_record_id(_named_by(row['page_id'], row['digest'], row['path'], row['offset']))}", f"WARC-Date: {_stamp(row['archived'])}"]
     if not lost:
         lines += [f"WARC-Target-URI: {row['url']}", f"WARC-IP-Address: {row['ip']}", f"WARC-Payload-Digest: sha256:{row['digest']}"]
     if first:
-        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(first['page_id'], row['digest'], first['path'], first['offset'])}", f"X-Refers-To-Page-Id: {'-' if first['page_id'] is None else first['page_id']}"]
+        lines += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_record_id(first['name'])}", f"X-Refers-To-Page-Id: {'-' if first['page_id'] is None else first['page_id']}"]
     if row["problem"] == "truncated":
         lines.append("WARC-Truncated: length")
     lines += [f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Type: {'application/http; msgtype=response' if http else 'application/octet-stream' if lost else row['mime']}", f"Content-Length: {len(block)}"]
@@ -225,23 +231,28 @@ def _info(first: bytes) -> bytes:
     """A file's first record, by the first record after it."""
     named = next(warc_records(first))[0]
     said = f"software: tonearm\r\nformat: {WARC_VERSION}\r\n"
-    uid = _record_id(None, "warcinfo", named[b"warc-record-id"].decode(), 0)
+    uid = _record_id(_named_by(None, "warcinfo", named[b"warc-record-id"].decode(), 0))
     return f"{WARC_VERSION}\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: {uid}\r\nWARC-Date: {named[b'warc-date'].decode()}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(said)}\r\n\r\n{said}{WARC_END}".encode()
 
 
-def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_payload: int = 100, file_bytes: int = FILE_BYTES) -> None:
+def convert_arc(spark: SparkSession, arc_path: str, warc_path: str, min_payload: int = 100, file_bytes: int = FILE_BYTES, max_broadcast_revisits: int = MAX_BROADCAST_REVISITS) -> None:
     """Convert the ARC files under ``arc_path`` to gzipped WARC files under ``warc_path``.
 
     Of records with equal payloads of at least ``min_payload`` bytes the one with the smallest page id (null ids last; ties
     by place in the archive) becomes a response and the others revisit it; all smaller ones are responses. A truncated record is a response marked
-    ``WARC-Truncated: length`` and neither revisits nor is revisited; malformed lines become a metadata record that holds them. Files without records give no file.
+    ``WARC-Truncated: length`` and neither revisits nor is revisited; malformed lines become a metadata record that holds them. Files without records give no file. ``max_broadcast_revisits`` changes no result.
     """
     place = lambda: F.struct(F.col("page_id").isNull().alias("none"), "page_id", "path", "offset")
     whole = read_arc(spark, arc_path, payloads=False).where((F.col("payload_bytes") >= min_payload) & F.col("problem").isNull())
     whole = materialize(whole.select("digest", "page_id", "path", "offset"), "arc-places")
     seen = whole.groupBy("digest").agg(F.min(place()).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    again = whole.join(seen, "digest").where(place() != F.col("first"))
-    answers = again.groupBy("path").agg(F.collect_list(F.struct("offset", F.struct("first.page_id", "first.path", "first.offset").alias("first"))).alias("revisits"))
+    first = F.col("first")
+    name = F.substring(F.sha2(F.concat_ws("|", F.coalesce(first["page_id"].cast("string"), F.lit("-")), "digest", F.substring_index(first["path"], "/", -1), first["offset"].cast("string")), 256), 1, 32)
+    again = whole.join(seen, "digest").where(place() != first).select("path", "offset", F.struct(first["page_id"].alias("page_id"), name.alias("name")).alias("first"))
+    again = materialize(again, "arc-revisits")
+    answers = again.groupBy("path").agg(F.collect_list(F.struct("offset", "first")).alias("revisits"))
+    # Sent to all tasks up to a size; beyond it the compressed files are joined with them by path.
+    answers = F.broadcast(answers) if again.count() <= max_broadcast_revisits else answers
 
     def records(batch: pa.RecordBatch) -> Iterator[bytes]:
         for where, content, revisits in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
