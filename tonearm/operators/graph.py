@@ -68,6 +68,20 @@ def crowded_components(components: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(components, "track_id").groupBy("component").agg(F.countDistinct("local_id").alias("n_locals")).where("n_locals > 1")
 
 
+def with_children(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """``stored`` (id, parent_id, name) with new nodes (parent, name) under the stored nodes of that name, numbered on from the greatest id by parent, then name.
+
+    Nodes whose parent is not stored are left out; of stored nodes with one name the smallest id is the parent; a child that its parent has already is not added again.
+    """
+    from tonearm.operators.ranking import numbered
+
+    parents = stored.groupBy(F.col("name").alias("parent")).agg(F.min("id").alias("parent_id"))
+    new = incoming.distinct().join(parents, "parent").select("parent_id", "name").join(stored.select("parent_id", "name"), ["parent_id", "name"], "left_anti")
+    last = stored.agg(F.max("id")).first()[0] or 0
+    ranked = numbered(new, [F.col("parent_id"), F.col("name")], "k").select((F.col("k") + last).cast("long").alias("id"), "parent_id", "name")
+    return stored.select("id", "parent_id", "name").unionByName(ranked)
+
+
 def walk_tree(nodes: DataFrame, max_depth: int = 20) -> DataFrame:
     """(id, depth, path, root) of a forest (id, parent_id, position), depth first by path; a node without a stored parent is a root.
 

@@ -137,3 +137,26 @@ def resolved_duplicates(groups: DataFrame, choices: DataFrame) -> tuple[DataFram
 def without_references(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) -> dict[str, DataFrame]:
     """Each table without the rows whose column names a removed id: the cascade, in any order."""
     return {n: t.join(gone.select(F.col("id").alias(c)).distinct(), c, "left_anti").select(*t.columns) for n, (t, c) in tables.items()}
+
+
+def changed_edges(edges: DataFrame, created: DataFrame, changed: DataFrame, deleted: DataFrame) -> DataFrame:
+    """Edges (lower_id, higher_id, type) after a batch: types change, deleted ones go, and pairs that were not there are created."""
+    pair = ["lower_id", "higher_id"]
+    kept = edges.join(deleted.select(*pair).distinct(), pair, "left_anti").join(changed.select(*pair, F.col("type").alias("new")), pair, "left")
+    return kept.select(*pair, F.coalesce("new", "type").alias("type")).unionByName(created.join(edges.select(*pair), pair, "left_anti").select(*pair, "type"))
+
+
+def rematched(suggested: DataFrame, found: DataFrame) -> DataFrame:
+    """Proposals (local_id, track_id, status) after a new match of the local tracks in ``found`` (local_id, track_id): their open ones give way, decided ones stay."""
+    again = found.select("local_id", F.lit(True).alias("again")).distinct()
+    kept = suggested.join(again, "local_id", "left").where(F.col("again").isNull() | F.col("status").isin("approved", "rejected"))
+    return kept.select("local_id", "track_id", "status").unionByName(found.select("local_id", "track_id", F.lit("pending").alias("status")))
+
+
+def staged_report(stages: list[tuple[str, DataFrame]]) -> DataFrame:
+    """(stage, n): how many rows each named stage has, in one pass each."""
+    counts = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, d in stages]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.unionByName(c)
+    return out
