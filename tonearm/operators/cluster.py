@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions import numeric as N
+from tonearm.operators.ranking import numbered
 
 #: Fixed values of the split search.
 WEAK_SILHOUETTE, WEAK_SEPARATION, FORCE_RATIO = 0.08, 1.0, 2.5
@@ -25,11 +26,18 @@ SIBLING_LABELS = (("tempo", "Slowest", "Slower", "Faster", "Fastest", 8.0, 0), (
 
 
 def robust_limits(x: DataFrame) -> DataFrame:
-    """(pos, centre, scale) of (pos, x): median, and nearest-rank inter-quartile range, or half the range, or one."""
-    v = x.groupBy("pos").agg(F.array_sort(F.collect_list("x")).alias("v"), F.median("x").alias("centre"))
-    iqr = N.nearest_rank(F.col("v"), 0.75) - N.nearest_rank(F.col("v"), 0.25)
-    half = (F.element_at("v", -1) - F.element_at("v", 1)) / 2
-    return v.select("pos", "centre", F.when(iqr > 1e-9, iqr).when(half > 1e-9, half).otherwise(1.0).alias("scale"))
+    """(pos, centre, scale) of (pos, x): median, and nearest-rank inter-quartile range, or half the range, or one.
+
+    Values are ranked over the whole table, so a position's values are in no task all at once.
+    """
+    ranked = numbered(x.select("pos", "x").where("x IS NOT NULL"), [F.col("pos"), F.col("x")], "k")
+    of = ranked.groupBy("pos").agg(F.min("k").alias("first"), F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+    at = lambda r: F.max(F.when(F.col("k") - F.col("first") == r, F.col("x")))
+    rank = lambda p: F.bround((F.col("n") - 1) * F.lit(p)).cast("long")
+    middle = (F.col("n") - 1) / 2
+    v = ranked.join(of, "pos").groupBy("pos", "low", "high").agg(at(rank(0.25)).alias("q1"), at(rank(0.75)).alias("q3"), at(F.floor(middle)).alias("a"), at(F.ceil(middle)).alias("b"))
+    iqr, half = F.col("q3") - F.col("q1"), (F.col("high") - F.col("low")) / 2
+    return v.select("pos", (0.5 * F.col("a") + 0.5 * F.col("b")).alias("centre"), F.when(iqr > 1e-9, iqr).when(half > 1e-9, half).otherwise(1.0).alias("scale"))
 
 
 def centroids(rows: DataFrame, key: str, vector: str = "vector") -> DataFrame:
@@ -154,24 +162,30 @@ def chunk_labels(m: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+#: Fixed values of the seeded tie-break: multiplier, seed factor, 32 bits.
 def seeded(ids: np.ndarray, seed: int) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(1103515245) + np.uint64(seed * 12345 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(0xFFFFFFFF)
 
 
 def rolling_order(m: np.ndarray, ids: np.ndarray, artists: list, albums: list, seed: int = 7, diversity: str = "balanced") -> list[int]:
-    """From the medoid on, always the nearest row left, with a penalty for artists and albums of the last three; ties by seed, then id."""
+    """From the medoid on, always the nearest row left, with a penalty for artists and albums of the last three; ties by seed, then id.
+
+    Distances are worked out row by row: memory grows with the rows, not with their square.
+    """
     if len(m) <= 2:
         return list(range(len(m)))
-    d, rank, scale = pairwise(m), seeded(ids, seed), DIVERSITY.get(diversity, 1.0)
+    squares = (m * m).sum(1)
+    far = lambda i: np.sqrt(np.maximum(squares[i] + squares - 2 * m @ m[i], 0))
+    rank, scale = seeded(ids, seed), DIVERSITY.get(diversity, 1.0)
     fold = lambda xs: pd.factorize(pd.Series([x.casefold() if isinstance(x, str) and x else None for x in xs]))[0]
     artist, album = fold(artists), fold(albums)
-    total = d.sum(1)
+    total = np.array([far(i).sum() for i in range(len(m))])
     out = [min(range(len(m)), key=lambda i: (total[i], rank[i], ids[i]))]
     left = np.ones(len(m), bool)
     left[out[0]] = False
     while left.any():
         at = np.flatnonzero(left)
-        near = d[out[-1], at]
+        near = far(out[-1])[at]
         cost = near.copy()
         for back, (x, y) in enumerate(zip(ARTIST_PENALTY, ALBUM_PENALTY)):
             if back < len(out):

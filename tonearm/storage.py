@@ -17,7 +17,9 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="tonearm-checkpoint-")
     if sc.getCheckpointDir() is None:
+        # Spark makes a folder of the application's own under the path; it goes with the application.
         sc.setCheckpointDir(path)
+        drop_at_exit(spark, sc.getCheckpointDir())
     return path
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,12 +48,22 @@ def reclaimable(rows: DataFrame, now, hours: int = 1, max_attempts: int = 3) ->
 def first_in_window(events: DataFrame, seconds: int) -> DataFrame:
     """Events that are not within ``seconds`` of the last kept one of their key: duplicates with a time to live, exactly.
 
-    The kept chain is sequential within a key, so it is folded over the key's sorted array; a key's array is its own events only.
+    The kept chain is sequential within a key: keys are sorted within their partitions and walked once, with the last kept time alone in hand.
     """
-    held = events.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ts", "id"))).alias("xs"))
-    # Only (ts, id) is folded; state is the list of kept entries.
-    kept = F.aggregate("xs", F.array().cast("array<struct<ts:timestamp,id:bigint>>"), lambda acc, x: F.when((F.size(acc) == 0) | (F.unix_micros(x["ts"]) - F.unix_micros(F.element_at(acc, -1)["ts"]) >= seconds * 1_000_000), F.concat(acc, F.array(F.struct(x["ts"].cast("timestamp").alias("ts"), x["id"].alias("id"))))).otherwise(acc))
-    return held.select("key", F.explode(kept).alias("x")).select("key", F.col("x.id").alias("id"))
+    kind = dict(events.dtypes)["key"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, kept = None, None
+        for batch in batches:
+            keys, out = batch.column(0).to_pylist(), []
+            for i, (k, at) in enumerate(zip(keys, batch.column(1).to_pylist())):
+                if kept is None or k != key or at - kept >= seconds * 1_000_000:
+                    key, kept = k, at
+                    out.append(i)
+            yield batch.take(pa.array(out, pa.int64())).select(["key", "id"])
+
+    times = events.select("key", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "id").repartition("key").sortWithinPartitions("key", "at", "id")
+    return times.mapInArrow(run, f"key {kind}, id long")
 
 
 def stable_files(snapshots: DataFrame, needed: int = 10) -> DataFrame:
