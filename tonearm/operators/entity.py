@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,10 @@ from tonearm.storage import materialize
 EQUIVALENT_AT, RELATED_AT, ALBUM_AT, NEAR_TITLE_AT = 0.94, 0.93, 0.98, 0.90
 PER_BUCKET, MOST = 5, 1000
 EQUIVALENT_MS = 10_000
+#: Fixed values of the peer ranking: least similarities and score, weights of the parts, bonus of a free slot, shares of file kinds.
+PEER_TITLE_AT, PEER_ARTIST_AT, PEER_SCORE_AT = 0.45, 0.20, 0.36
+PEER_TAGS, PEER_ALBUM, PEER_DURATION, PEER_KIND, PEER_QUALITY, PEER_QUEUE, PEER_SPEED, PEER_SLOT = 0.58, 0.07, 0.12, 0.07, 0.08, 0.02, 0.02, 0.04
+LOSSLESS_SHARE, MP3_SHARE = 1.0, 0.6
 
 
 def match_by_code(local: DataFrame, tracks: DataFrame) -> DataFrame:
@@ -208,13 +214,24 @@ def rank_peer_files(files: DataFrame, track: dict, most: int = 50) -> tuple[Data
         ("unsupported_extension", ~F.coalesce(F.col("ext").isin(*[f".{s}" for s in X.AUDIO_SUFFIXES]), F.lit(False))),
         ("duration_mismatch", N.severe_mismatch(ms, F.col("found_ms"))),
         ("unrankable_text", wanted["title"].isNull() | wanted["artist"].isNull() | F.col("p_title").isNull() | F.col("p_all").isNull()),
-        ("weak_text_match", (F.col("t_sim") < 0.45) | (F.col("a_sim") < 0.20)),
+        ("weak_text_match", (F.col("t_sim") < PEER_TITLE_AT) | (F.col("a_sim") < PEER_ARTIST_AT)),
     )
     title = F.greatest(S.token_set(wanted["title"], F.col("p_title")), S.token_set(X.title_identity(wanted["title"]), X.title_identity(F.col("p_title"))))
     tag = N.tag_score(title, F.col("a_sim"), S.token_sort(wanted["album"], F.col("p_album")), ms, F.col("found_ms"))
     lossless = F.col("ext").isin(*X.LOSSLESS)
-    score = tag * 0.58 + F.coalesce(S.token_set(wanted["album"], F.col("p_album")), F.lit(0.0)) * 0.07 + N.duration_bonus(ms, F.col("found_ms")) * 0.12 + F.when(lossless, 1.0).when(F.col("ext") == ".mp3", 0.6).otherwise(0.0) * 0.07 + N.quality_bonus(F.col("bit_depth"), F.col("bit_rate"), lossless) * 0.08 + F.when(F.col("free_slot"), 0.04).otherwise(0.0) + N.queue_bonus(F.col("queue")) * 0.02 + N.speed_bonus(F.col("speed")) * 0.02
-    judged = x.withColumn("score", F.least(score, F.lit(1.0))).withColumn("reason", F.coalesce(*[F.when(test, name) for name, test in rules], F.when(F.col("score") < 0.36, "low_score")))
+    kind = F.when(lossless, LOSSLESS_SHARE).when(F.col("ext") == ".mp3", MP3_SHARE).otherwise(0.0)
+    parts = (
+        (tag, PEER_TAGS),
+        (F.coalesce(S.token_set(wanted["album"], F.col("p_album")), F.lit(0.0)), PEER_ALBUM),
+        (N.duration_bonus(ms, F.col("found_ms")), PEER_DURATION),
+        (kind, PEER_KIND),
+        (N.quality_bonus(F.col("bit_depth"), F.col("bit_rate"), lossless), PEER_QUALITY),
+        (F.when(F.col("free_slot"), 1.0).otherwise(0.0), PEER_SLOT),
+        (N.queue_bonus(F.col("queue")), PEER_QUEUE),
+        (N.speed_bonus(F.col("speed")), PEER_SPEED),
+    )
+    score = reduce(lambda s, p: s + p[0] * p[1], parts, F.lit(0.0))
+    judged = x.withColumn("score", F.least(score, F.lit(1.0))).withColumn("reason", F.coalesce(*[F.when(test, name) for name, test in rules], F.when(F.col("score") < PEER_SCORE_AT, "low_score")))
     kept = judged.where("reason IS NULL")
     best = kept.withColumn("k", F.row_number().over(W.partitionBy(F.lower("username"), F.lower("filename")).orderBy(F.desc("score"), "filename"))).where("k = 1")
     ranked = best.orderBy(F.desc("score"), "username", "filename").limit(most).select(*files.columns, "score")

@@ -30,8 +30,8 @@ def titles(t: Tables) -> DataFrame:
     return t.parts.select("id", out.alias("title"), "artist", "album")
 
 
-IDENTITY = r"coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '\s*[\[(][^\])]*(?:ft|feat|featuring|original|extended|radio|club|small)\b[^\])]*[\])]', '', 'g'), '\b(?:ft|feat|featuring|with|original|extended|radio|club|small)\b\.?.*', '', 'g'), '[^\w'']+', ' ', 'g'), '\s+', ' ', 'g')), ''), {x})"
-UNVERSIONED = rf"regexp_replace(regexp_replace(t, '\s*[\[(][^\])]*(?:{WORDS})\b[^\])]*[\])]', '', 'g'), '(?:\s+-\s+|\s+)(?:{WORDS})\b.*$', '', 'g')"
+IDENTITY = r"coalesce(nullif(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({x}, '" + X.NOISE_IN_BRACKETS + "', '', 'g'), '" + X.NOISE_TO_END + r"', '', 'g'), '[^\w'']+', ' ', 'g'), '\s+', ' ', 'g')), ''), {x})"
+UNVERSIONED = rf"regexp_replace(regexp_replace(t, '{X.VERSION_IN_BRACKETS}', '', 'g'), '{X.VERSION_TO_END}', '', 'g')"
 
 
 @query(rf"SELECT id, {IDENTITY.format(x='t')} AS identity, k AS title_key, split_part(k, ' ', 1) AS bucket, array_to_string(list_sort(list_distinct(regexp_extract_all(t, '\b(?:{WORDS})\b'))), ',') AS versions FROM (SELECT id, t, {IDENTITY.format(x='u')} AS k FROM (SELECT id, t, {UNVERSIONED} AS u FROM (SELECT id, lower(title) AS t FROM ({TITLES}))))")
@@ -64,7 +64,7 @@ def file_checks(t: Tables) -> DataFrame:
 
 
 def _clean_sql(x: str) -> str:
-    for pattern in (r"^\s*(?:\d{1,3}|[A-D]\d{1,2})\s*[.\-_]\s*", r"\s*[\[(][^\])]*[\])]\s*$", r"\s*[-\[(]?\d{4}[-\])]?\s*$"):
+    for pattern in (X.TRACK_NUMBER, X.LAST_BRACKET, X.LAST_YEAR):
         x = f"regexp_replace({x}, '{pattern}', '')" if "replace(" in x else f"regexp_replace(replace({x}, '_', ' '), '{pattern}', '')"
     return rf"trim(regexp_replace({x}, '\s+', ' ', 'g'))"
 
