@@ -119,3 +119,13 @@ def test_severity_of_every_text(spark, name):
         above = [1 - 1 / (1 + math.exp(-max(-35.0, min(35.0, t - f)))) for t in model["theta"]]
         assert abs(got[r.doc_id].expected_severity - sum(above)) < 1e-6
         assert got[r.doc_id].predicted == (got[r.doc_id].score >= 0.3)
+
+
+def test_a_sample_is_bounded_in_bytes(spark):
+    """The first rows in the order of the ids' hashes, as many as fit; the bound is one of text."""
+    from tonearm.llm.learning import labelled_sample
+
+    docs = spark.createDataFrame([(i, "word " * 100) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    sizes = [len(labelled_sample(docs, labels, "quality", "doc_id", "text", 5, limit, 10, True, True, most)[0]) for limit, most in ((100, 1 << 20), (7, 1 << 20), (100, 5000), (100, 499), (100, 0))]
+    assert sizes[0] > 30 and sizes[1:] == [7, 10, 0, 0]

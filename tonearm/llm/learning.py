@@ -16,6 +16,8 @@ from tonearm.llm.worker import tidy
 
 #: Texts turned into features at a time.
 CHUNK = 256
+#: Bytes of text that a sample holds at most; the driver holds their features, of about the same size.
+MAX_SAMPLE_BYTES = 128 << 20
 
 
 def held_out(id_col: str, folds: int) -> Column:
@@ -23,14 +25,23 @@ def held_out(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, limit: int, bits: int, with_structure: bool, normal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features and labels of at most ``limit`` labelled rows outside the held-out fold, in an order fixed by the ids.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, folds: int, limit: int, bits: int, with_structure: bool, normal: bool, max_bytes: int = MAX_SAMPLE_BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Features and labels of at most ``limit`` labelled rows outside the held-out fold, the first in an order fixed by the ids, as many as have ``max_bytes`` of text.
 
     Rows with a null label or id are left out; an id labelled twice counts with its smallest label; of documents that share an id one is taken.
     """
     named = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull()).groupBy(id_col).agg(F.min(label).cast("int").alias("__y"))
     picked = named.where(~held_out(id_col, folds)).orderBy(F.xxhash64(id_col), id_col).limit(limit)
-    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), "__y")
+    rows = docs.select(id_col, text_col).join(F.broadcast(picked), id_col)
+    # Sizes by hash, at most ``limit`` of them, say up to which hash the sample goes.
+    sizes = rows.groupBy(F.xxhash64(id_col).alias("h")).agg(F.max(F.octet_length(text_col)).alias("n")).collect()
+    last, total = -(1 << 63), 0
+    for r in sorted(sizes):
+        total += r.n or 0
+        if total > max_bytes:
+            break
+        last = r.h
+    rows = rows.where(F.xxhash64(id_col) <= last).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), "__y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
