@@ -106,3 +106,10 @@ def test_defaults_and_merges(spark):
     rows = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, None)], "id long, k string")
     kept, refs = D.merged_duplicates(rows, "k", {"r": (spark.createDataFrame([(9, 2), (8, 3)], "n long, parent long"), "parent")})
     assert sorted(r.id for r in kept.collect()) == [1, 3, 4] and sorted((r.n, r.parent) for r in refs["r"].collect()) == [(8, 3), (9, 1)]
+
+
+def test_chunks(spark):
+    from tonearm.operators.relational import chunks
+
+    got = list(chunks(spark.range(0, 25, 1, 3), 10))
+    assert [len(x) for x in got] == [10, 10, 5] and sorted(r.id for x in got for r in x) == list(range(25))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -92,11 +93,23 @@ def match_by_tags(local: DataFrame, tracks: DataFrame, rejected: DataFrame | Non
     return ranked.where((F.col("r") <= most) & ((F.col("score") >= strong) | ((F.col("best") < strong) & (F.col("r") <= fallback)))).select("local_id", "track_id", "score")
 
 
-def match_all(local: DataFrame, tracks: DataFrame, rejected: DataFrame) -> DataFrame:
-    """(local_id, track_id, score, method): the code match unless that pair was rejected, else the tag shortlist of the tracks that were not rejected."""
-    kept = match_by_code(local, tracks).join(rejected.select("local_id", "track_id"), ["local_id", "track_id"], "left_anti").withColumn("method", F.lit("isrc"))
-    rest = local.join(kept.select(F.col("local_id").alias("id")).distinct(), "id", "left_anti")
-    return kept.unionByName(match_by_tags(rest, tracks, rejected).withColumn("method", F.lit("tags")))
+def by_code(local: DataFrame, tracks: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The code match, unless that pair was rejected."""
+    return match_by_code(local, tracks).join(rejected.select("local_id", "track_id"), ["local_id", "track_id"], "left_anti")
+
+
+#: Matchers in order: each gets the local tracks that those before it left, all tracks, and the rejected pairs.
+MATCHERS = (("isrc", by_code), ("tags", match_by_tags))
+
+
+def match_all(local: DataFrame, tracks: DataFrame, rejected: DataFrame, matchers: Sequence[tuple[str, Callable[[DataFrame, DataFrame, DataFrame], DataFrame]]] = MATCHERS) -> DataFrame:
+    """(local_id, track_id, score, method): what the first of ``matchers`` that finds anything for a local track finds, by default codes, then tags."""
+    out, rest = None, local
+    for name, find in matchers:
+        found = find(rest, tracks, rejected).select("local_id", "track_id", "score", F.lit(name).alias("method"))
+        rest = rest.join(found.select(F.col("local_id").alias("id")).distinct(), "id", "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def code_star(tracks: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -102,3 +102,26 @@ def unpivot(df: DataFrame, id_col: str) -> DataFrame:
     shown = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss") if kinds[c].startswith("timestamp") else F.col(c).cast("string")
     pairs = F.array(*[F.struct(F.lit(c).alias("key"), shown(c).alias("value")) for c in df.columns if c != id_col])
     return df.select(id_col, F.explode(pairs).alias("x")).select(id_col, "x.key", "x.value")
+
+
+def between_rows(df: DataFrame, order: list[Column], one: Column, other: Column) -> DataFrame:
+    """The rows from ``one`` to ``other`` in ``order``, both included and either first; conditions that each meet one row. None if either row is missing."""
+    from tonearm.operators.ranking import numbered
+
+    rows = numbered(df, order, "__at")
+    ends = rows.where(one | other).agg(F.min("__at").alias("a"), F.max("__at").alias("b"), F.max(one.cast("int")).alias("x"), F.max(other.cast("int")).alias("y")).first()
+    if not (ends.x and ends.y):
+        return df.limit(0)
+    return rows.where(F.col("__at").between(ends.a, ends.b)).drop("__at")
+
+
+def chunks(df: DataFrame, size: int) -> Iterator[list]:
+    """Rows in lists of ``size``, in the table's order of partitions; the driver holds one partition at a time."""
+    held = []
+    for row in df.toLocalIterator(prefetchPartitions=True):
+        held.append(row)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held

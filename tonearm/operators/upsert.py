@@ -60,3 +60,23 @@ def counted_failures(events: DataFrame) -> DataFrame:
     """Per key of (key, id, ts, reason): attempts, first and last time, last reason; ties by id."""
     last = F.struct("ts", "id")
     return events.groupBy("key").agg(F.count("*").alias("attempts"), F.min("ts").alias("first_at"), F.max("ts").alias("last_at"), F.max_by("reason", last).alias("reason"))
+
+
+def versioned(stored: DataFrame, commands: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, outcomes) of commands (id, version, value) on rows with id and version: a row changes only if the command knows its version, which then goes up by one.
+
+    This stands in for row locks: of two writers that read one version the second is told ``conflict``. One command per id.
+    """
+    x = stored.join(commands.select("id", F.col("version").alias("known"), "value"), "id", "left")
+    hit = F.col("known") == F.col("version")
+    changed = {column: F.when(hit, F.col("value")).otherwise(F.col(column)), "version": F.when(hit, F.col("version") + 1).otherwise(F.col("version"))}
+    rows = x.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in stored.columns])
+    outcomes = commands.select("id", "version").join(stored.select("id", F.col("version").alias("now")), "id", "left")
+    return rows, outcomes.select("id", F.when(F.col("now").isNull(), "not_found").when(F.col("now") == F.col("version"), "done").otherwise("conflict").alias("outcome"))
+
+
+def migrated(stored: DataFrame, fields: dict[str, str], renamed: dict[str, str] | None = None) -> DataFrame:
+    """``stored`` under a new schema of name -> type: renamed columns keep their values, new ones are null, others go; values that do not fit are null."""
+    source = {new: old for old, new in (renamed or {}).items()}
+    have = set(stored.columns)
+    return stored.select(*[(F.col(source.get(n, n)).try_cast(kind) if source.get(n, n) in have else F.lit(None).cast(kind)).alias(n) for n, kind in fields.items()])

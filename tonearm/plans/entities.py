@@ -136,6 +136,7 @@ def similar_groups(t: Tables) -> DataFrame:
 
 @query("SELECT a.track_id, CASE WHEN coalesce(g.n, 0) = 1 THEN 'link' WHEN coalesce(g.n, 0) > 1 THEN 'link_failed' ELSE 'skip' END AS action, CASE WHEN g.n = 1 THEN g.local_id END AS local_id FROM (SELECT id AS track_id FROM r_tracks WHERE id % 3 = 1) a LEFT JOIN (SELECT track_id, count(*) AS n, min(local_id) AS local_id FROM r_suggested WHERE score >= 0.99 AND status <> 'rejected' GROUP BY track_id) g ON g.track_id = a.track_id")
 def auto_link_backfill(t: Tables) -> DataFrame:
+    """Every third track stands for a finished download; all stored proposals are read."""
     completed = t.tracks.where("id % 3 = 1").select(F.col("id").alias("track_id"), F.col("id").alias("acquisition"))
     return E.auto_links(completed, t.suggested.where("status <> 'rejected'"), 0.99).select(F.col("acquisition").alias("track_id"), "action", "local_id")
 
@@ -150,7 +151,7 @@ def duplicate_keepers(t: Tables) -> DataFrame:
 
 @query("SELECT p.page_id, coalesce(CASE WHEN p.page_id % 5 = 0 THEN p.page_id END, s.doc_id, b.doc_id) AS owner FROM (SELECT page_id, try_cast(nullif(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1), '') AS BIGINT) AS n FROM pages) p LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 2 = 0) s ON s.doc_id = p.n LEFT JOIN (SELECT source, min(doc_id) AS doc_id FROM documents GROUP BY source) b ON b.source = 'src' || CAST(p.page_id % 30 AS VARCHAR)")
 def attribution_cascade(t: Tables) -> DataFrame:
-    """A marker in the path, then equality with a finished source, then a legacy overlap; the first that answers wins."""
+    """Over all pages and documents, whose remainders stand for what carries a marker, is finished, or overlaps. A marker in the path, then equality with a finished source, then a legacy overlap; the first that answers wins."""
     docs = t.raw("documents").select("doc_id", "source")
     pages = t.raw("pages").select("page_id", F.expr("try_cast(regexp_extract(url, '/[a-z]{2}/([0-9]+)', 1) AS BIGINT)").alias("n"), F.concat(F.lit("src"), (F.col("page_id") % 30).cast("string")).alias("source"))
     done = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("n"), F.col("doc_id").alias("same"))

@@ -261,6 +261,7 @@ def two_tier_shortlist(t: Tables) -> DataFrame:
 
 @query("SELECT local_id, track_id, max(score) AS score FROM (SELECT local_id, track_id, score FROM r_suggested WHERE method = 'tags' UNION ALL SELECT local_id, track_id, 1.0 - score / 10 FROM r_suggested WHERE track_id % 3 = 0) GROUP BY 1, 2 ORDER BY score DESC, local_id, track_id LIMIT 50")
 def ranked_merge(t: Tables) -> DataFrame:
+    """Two lists of proposals, by method and by a remainder that stands for a second source, merged by best score; the 50 best are the report."""
     first = t.suggested.where("method = 'tags'").select("local_id", "track_id", "score")
     second = t.suggested.where("track_id % 3 = 0").select("local_id", "track_id", (F.lit(1.0) - F.col("score") / 10).alias("score"))
     return first.unionByName(second).groupBy("local_id", "track_id").agg(F.max("score").alias("score")).orderBy(F.desc("score"), "local_id", "track_id").limit(50)

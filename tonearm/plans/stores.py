@@ -307,3 +307,60 @@ def rematch_by_code(t: Tables) -> DataFrame:
 def workflow_report(t: Tables) -> DataFrame:
     """How many tracks each stage of the workflow has."""
     return D.staged_report([("tracks", t.tracks.select("id")), ("listed", t.membership.select("track_id").distinct()), ("suggested", t.suggested.select("track_id").distinct()), ("linked", t.final.select("track_id").distinct())])
+
+
+@query(f"WITH c AS (SELECT {CODE} AS code, min(id) AS track_id FROM r_tracks GROUP BY 1), m AS (SELECT l.id AS local_id, c.track_id, 'isrc' AS method FROM (SELECT id, {CODE} AS code FROM r_local) l JOIN c ON c.code = l.code WHERE NOT EXISTS (SELECT 1 FROM r_suggested s WHERE s.status = 'rejected' AND s.local_id = l.id AND s.track_id = c.track_id)) SELECT local_id, track_id, method FROM m UNION ALL SELECT l.id, min(t.id), 'same' FROM r_local l JOIN r_tracks t ON t.artist = l.artist AND t.album = l.album WHERE l.id NOT IN (SELECT local_id FROM m) GROUP BY l.id")
+def injected_matchers(t: Tables) -> DataFrame:
+    """The matching pipeline with a matcher of the caller's own behind the one for codes."""
+
+    def same(local: DataFrame, tracks: DataFrame, rejected: DataFrame) -> DataFrame:
+        both = local.select(F.col("id").alias("local_id"), "artist", "album").join(tracks.select(F.col("id").alias("track_id"), "artist", "album"), ["artist", "album"])
+        return both.groupBy("local_id").agg(F.min("track_id").alias("track_id")).withColumn("score", F.lit(0.5))
+
+    rejected = t.suggested.where("status = 'rejected'")
+    return E.match_all(t.local, t.tracks, rejected, (("isrc", E.by_code), ("same", same))).select("local_id", "track_id", "method")
+
+
+@query("SELECT s.id, s.status, CASE WHEN s.id % 3 = 0 AND s.track_id % 4 = s.local_id % 4 THEN 'seen' ELSE s.method END AS method, s.track_id % 4 + CASE WHEN s.id % 3 = 0 AND s.track_id % 4 = s.local_id % 4 THEN 1 ELSE 0 END AS version FROM r_suggested s")
+def versioned_update(t: Tables) -> DataFrame:
+    """Updates that name the version they have read; those of another version change nothing."""
+    rows = t.suggested.select("id", "status", "method", (F.col("track_id") % 4).alias("version"))
+    asked = t.suggested.where("id % 3 = 0").select("id", (F.col("local_id") % 4).alias("version"), F.lit("seen").alias("value"))
+    return U.versioned(rows, asked, "method")[0]
+
+
+@query("SELECT s.id, CASE WHEN s.track_id % 4 = s.local_id % 4 THEN 'done' ELSE 'conflict' END AS outcome FROM r_suggested s WHERE s.id % 3 = 0 UNION ALL SELECT -id, 'not_found' FROM r_local WHERE id % 50 = 0 AND id > 0")
+def versioned_outcomes(t: Tables) -> DataFrame:
+    rows = t.suggested.select("id", "method", (F.col("track_id") % 4).alias("version"))
+    asked = t.suggested.where("id % 3 = 0").select("id", (F.col("local_id") % 4).alias("version"), F.lit("seen").alias("value"))
+    lost = t.local.where("id % 50 = 0 AND id > 0").select((-F.col("id")).alias("id"), F.lit(0).cast("long").alias("version"), F.lit("seen").alias("value"))
+    return U.versioned(rows, asked.unionByName(lost), "method")[1]
+
+
+@query("SELECT id, title AS name, CAST(duration_ms AS VARCHAR) AS duration_ms, TRY_CAST(substr(isrc, 8) AS INTEGER) AS isrc, CAST(NULL AS VARCHAR) AS note FROM (SELECT id, title, duration_ms, CASE WHEN isrc LIKE 'USABC24%' THEN isrc ELSE 'xxxxxxx' || isrc END AS isrc FROM r_parts)")
+def schema_migration(t: Tables) -> DataFrame:
+    """Rows under a new schema: a column renamed, one of another type, one new, others gone."""
+    old = t.parts.withColumn("isrc", F.when(F.col("isrc").startswith("USABC24"), F.substr("isrc", F.lit(8))).otherwise(F.col("isrc")))
+    return U.migrated(old, {"id": "bigint", "name": "string", "duration_ms": "string", "isrc": "int", "note": "string"}, {"title": "name"})
+
+
+@query("SELECT id, title, link_status FROM (SELECT *, row_number() OVER (ORDER BY title, id) AS n FROM r_library) WHERE n BETWEEN (SELECT least(max(CASE WHEN id = 150 THEN n END), max(CASE WHEN id = 20 THEN n END)) FROM (SELECT id, row_number() OVER (ORDER BY title, id) AS n FROM r_library)) AND (SELECT greatest(max(CASE WHEN id = 150 THEN n END), max(CASE WHEN id = 20 THEN n END)) FROM (SELECT id, row_number() OVER (ORDER BY title, id) AS n FROM r_library))")
+def range_selection(t: Tables) -> DataFrame:
+    """The rows of a sorted view between two that were picked."""
+    view = t.library.select("id", "title", "link_status")
+    return R.between_rows(view, [F.col("title"), F.col("id")], F.col("id") == 150, F.col("id") == 20)
+
+
+@query("SELECT id, json_object('id', id, 'title', title, 'match', json_object('status', link_status, 'known', final_id IS NOT NULL)) AS body FROM r_library")
+def record_bodies(t: Tables) -> DataFrame:
+    """Records as the nested bodies of a response."""
+    body = F.struct("id", "title", F.struct(F.col("link_status").alias("status"), F.col("final_id").isNotNull().alias("known")).alias("match"))
+    return t.library.select("id", F.to_json(body).alias("body"))
+
+
+@query("SELECT state, count(*) AS n, min(id) AS oldest FROM (SELECT key AS id, arg_max(state, (ts, id)) AS state FROM r_events GROUP BY key) GROUP BY state")
+def queue_depth(t: Tables) -> DataFrame:
+    """How many jobs wait in each state, and the first of each."""
+    from tonearm.streaming.folds import latest_state
+
+    return latest_state(t.events).groupBy("state").agg(F.count("*").alias("n"), F.min("key").alias("oldest"))
