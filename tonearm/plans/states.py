@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.operators.upsert import counted_failures
 from tonearm.plans.registry import query
-from tonearm.storage import fresh_path
+from tonearm.storage import drop_at_exit, fresh_path
 from tonearm.streaming import folds, streams
 from tonearm.tables import Tables
 
@@ -45,8 +45,10 @@ def event_stream(t: Tables) -> DataFrame:
 
 
 def _drained(t: Tables, stream: DataFrame, mode: str, keys: list[str], name: str) -> DataFrame:
-    out = fresh_path(t.spark, name)
-    streams.drained(stream, mode, fresh_path(t.spark, f"{name}-log"), streams.keep_latest(out, keys))
+    out, log = fresh_path(t.spark, name), fresh_path(t.spark, f"{name}-log")
+    streams.drained(stream, mode, log, streams.keep_latest(out, keys))
+    for path in (out, log):
+        drop_at_exit(t.spark, path)
     return streams.read_latest(t.spark, out, stream.schema, keys)
 
 

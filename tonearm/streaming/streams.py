@@ -37,27 +37,37 @@ def windowed_counts(events: DataFrame, length: str = "1 day", late: str = "1 hou
     return events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "event_type", "n")
 
 
-def state_machine(events: DataFrame, completion: str = "queued", late: tuple[str, ...] = ("linked",)) -> DataFrame:
+def state_machine(events: DataFrame, completion: str = "queued", late: tuple[str, ...] = ("linked",), idle_ms: int | None = None) -> DataFrame:
     """Per key the state after its events so far, in (ts, id) order within a batch.
 
-    A completion does not set a late state back; an event older than the state's own is counted and otherwise ignored.
+    A completion does not set a late state back; an event older than the state's own is counted and otherwise ignored. With ``idle_ms`` the state of a key without
+    events for that long is dropped; without it every key's five values are kept.
     """
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         status, seen_ts, seen_id, n, was_late = state.get if state.exists else (None, None, -1, 0, False)
         rows = pd.concat(list(batches)).sort_values(["ts", "id"])
-        for r in rows.itertuples(index=False):
-            n += 1
-            if seen_ts is not None and (r.ts, r.id) < (pd.Timestamp(seen_ts), seen_id):
-                continue
-            if not (r.state == completion and was_late):
-                status = r.state
-            was_late = was_late or r.state in late
-            seen_ts, seen_id = r.ts.to_pydatetime(), int(r.id)
+        n += len(rows)
+        if seen_ts is not None:
+            seen = pd.Timestamp(seen_ts)
+            rows = rows[(rows["ts"] > seen) | ((rows["ts"] == seen) & (rows["id"] >= seen_id))]
+        if len(rows):
+            is_late = rows["state"].isin(late)
+            before = is_late.cummax().shift(fill_value=False) | was_late
+            counted = rows["state"][~((rows["state"] == completion) & before)]
+            status = counted.iloc[-1] if len(counted) else status
+            was_late = bool(was_late or is_late.any())
+            seen_ts, seen_id = rows["ts"].iloc[-1].to_pydatetime(), int(rows["id"].iloc[-1])
         state.update((status, seen_ts, seen_id, n, was_late))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame({"key": [key[0]], "state": [status], "last_at": [seen_ts], "n": [n]})
 
-    return events.select("key", "id", "ts", "state").groupBy("key").applyInPandasWithState(step, "key long, state string, last_at timestamp, n long", "status string, seen_ts timestamp, seen_id long, n long, was_late boolean", "update", GroupStateTimeout.NoTimeout)
+    return events.select("key", "id", "ts", "state").groupBy("key").applyInPandasWithState(step, "key long, state string, last_at timestamp, n long", "status string, seen_ts timestamp, seen_id long, n long, was_late boolean", "update", timeout)
 
 
 def drained(stream: DataFrame, mode: str, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
