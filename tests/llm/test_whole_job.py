@@ -35,6 +35,58 @@ def test_keep_one_drops_near_copies(spark):
     assert kept == set(low.values()) and len(kept) < len(rows) // 2
 
 
+@pytest.mark.parametrize("block", [256, 16])
+def test_groups_around_an_original(spark, block):
+    """Copies of one text at all distances from it: most pairs are unlike, and components are those of all pairs, however blocks are cut."""
+    from tonearm.llm.near_copies import groups
+
+    rng = random.Random(3)
+    rows = []
+    for g, size in enumerate((150, 40, 40)):
+        words = [f"g{g}w{rng.randrange(5000)}" for _ in range(150)]
+        for _ in range(size):
+            copy = list(words)
+            for at in rng.sample(range(150), rng.choice([1, 3, 5, 8, 12])):
+                copy[at] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(copy)))
+    sets = {i: plain_set(t) for i, t in rows}
+    low = {i: i for i in sets}
+    links = 0
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                links += 1
+                x, y = sorted((low[a], low[b]))
+                if x != y:
+                    low = {i: x if c == y else c for i, c in low.items()}
+    got = {r.doc_id: r.component_id for r in groups(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text", block=block).collect()}
+    assert got == low and links > 500 and len(set(low.values())) > 20
+
+
+def test_cell_links():
+    """Both ways of comparing find the same components; sets of very many shared shingles are worked off in columns."""
+    import numpy as np
+
+    from tonearm.llm import near_copies
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 60, 30_000)
+    rows = [(k % 2, k, k, np.unique(np.concatenate([rng.choice(base, 25_000 + 40 * k, replace=False), rng.integers(0, 1 << 60, 300)]))) for k in range(24)]
+
+    def components(links):
+        joined = near_copies._Joined()
+        for x, y in links:
+            joined.join(x, y)
+        return [[joined.root(a) == joined.root(b) for b in range(24)] for a in range(24)]
+
+    for least in (0.7, 0.74, 0.76):
+        wide = near_copies.cell_links(rows, 0, 1, least)
+        slow = [(a[1], b[1]) for a in rows[::2] for b in rows[1::2] if len(np.intersect1d(a[3], b[3])) >= least * len(np.union1d(a[3], b[3]))]
+        assert components(wide) == components(slow) and len(wide) < 24
+    same = near_copies.cell_links([(0, *r[1:]) for r in rows[:6]], 0, 0, 0.5)
+    assert len(same) == 5
+
+
 def test_terms_of_an_entity_in_one_text(spark):
     """A rare word discloses an entity of its one text, however far from it; common words do not."""
     from tonearm.llm.pii import personal_data, sanitise
