@@ -61,18 +61,21 @@ def shared_trigram_candidates(local: DataFrame, tracks: DataFrame, rejected: Dat
     asked = local.select(F.col("id").alias("local_id"), X.title_identity(X.match_text(F.col("title"))).alias("a")).where("a IS NOT NULL")
     titles = tracks.select(F.col("id").alias("track_id"), F.col("title").alias("b"))
     grams = lambda d, n: d.select(n).distinct().select(n, F.size(S.trigrams(F.col(n))).alias(f"{n}_n"), F.explode(S.trigrams(F.col(n))).alias("g"))
-    shared = grams(asked, "a").join(grams(titles, "b"), "g").groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("n"))
-    alike = materialize(shared.select("a", "b", (F.col("n") / (F.col("a_n") + F.col("b_n") - F.col("n"))).alias("sim")), "alike-titles")
+
+    def alike(locals_: DataFrame) -> DataFrame:
+        shared = grams(locals_, "a").join(grams(titles, "b"), "g").groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("n"))
+        return shared.select("a", "b", (F.col("n") / (F.col("a_n") + F.col("b_n") - F.col("n"))).alias("sim"))
+
     w = W.partitionBy("local_id").orderBy(F.desc("sim"), "track_id")
 
     def best(locals_: DataFrame, pairs: DataFrame) -> DataFrame:
         spread = locals_.join(pairs, "a").join(titles, "b").select("local_id", "track_id", "sim")
         return spread.join(refused, ["local_id", "track_id"], "left_anti").withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("local_id", "track_id", "k")
 
-    near = materialize(best(asked, alike.where(F.col("sim") >= threshold)), "near-titles")
+    near = materialize(best(asked, alike(asked).where(F.col("sim") >= threshold)), "near-titles")
     have = near.groupBy("local_id").agg(F.count("*").alias("n"))
     none = asked.join(have, "local_id", "left_anti")
-    far = materialize(best(none, alike), "far-titles")
+    far = materialize(best(none, alike(none)), "far-titles")
     found = near.unionByName(far)
     # What is still to fill, out of the smallest ids: so many further that rejected and found ones cannot exhaust them.
     short = asked.select("local_id").join(found.groupBy("local_id").agg(F.count("*").alias("n")), "local_id", "left").join(have.select("local_id", F.lit(True).alias("near")), "local_id", "left").join(refused.groupBy("local_id").agg(F.count("*").alias("gone")), "local_id", "left")
