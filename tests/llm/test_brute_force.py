@@ -685,3 +685,55 @@ def test_pipeline(spark, tmp_path):
     fps = {i: plain_fingerprint(t) for i, t in enumerate(texts)}
     assert len(texts) > 50 and not any("@mail" in t for t in texts)
     assert corpus_pipeline.run(spark, sf).where("piece = 0").count() == len(fps)
+
+
+def test_pipeline_is_its_plain_stages(spark):
+    """run() over the whole smallest table: each document kept, its text, its tokens and its pieces, from plain versions of the stages."""
+    import struct
+
+    import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tonearm.llm.factorisation import quality_scores
+    from tonearm.llm.tiling import words_of
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    good = {r.doc_id for r in quality_scores(docs, labels).collect() if r.score >= 0.3}
+    kept = {r.doc_id: r.text or "" for r in docs.collect() if r.doc_id in good}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for i, t in kept.items()}
+    low = {i: i for i in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((low[a], low[b]))
+                low = {i: x if c == y else c for i, c in low.items()}
+    kept = {i: t for i, t in kept.items() if low[i] == i}
+    items = [words_of(r.text.encode()) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+
+    def leaks(text: str) -> bool:
+        words = words_of(text.encode())
+        seeds = {tuple(words[k : k + 5]) for k in range(len(words) - 4)}
+        near = [x for x in items if x and any(tuple(x[k : k + 5]) in seeds for k in range(max(1, len(x) - 4)))]
+        return any(plain_tiling(words, x) >= 0.8 * len(x) for x in near)
+
+    kept = {i: t for i, t in kept.items() if not leaks(t)}
+    terms, order = plain_terms(kept), ("email", "ip", "card", "phone", "secret", "term")
+    clean = {}
+    for i, text in kept.items():
+        out, at = "", 0
+        for kind, a, b in sorted([*plain_spans(text), *plain_secrets(text), *terms[i]], key=lambda s: (s[1], order.index(s[0]))):
+            if a >= at:
+                out += text[at:a] + f"[{kind.upper()}]"
+            at = max(at, b)
+        clean[i] = out + text[at:]
+    general = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = set()
+    for i, text in clean.items():
+        ids = [*general.encode(text, add_special_tokens=False).ids, 2]
+        first = len(ids) % 1024 or 1024
+        for k, (a, b) in enumerate(zip([0, *range(first, len(ids), 1024)], [*range(first, len(ids), 1024), len(ids)])):
+            want.add((i, k, a, b - a, zlib.crc32(struct.pack(f"<{b - a}I", *ids[a:b]))))
+    rows = corpus_pipeline.run(spark, SF).collect()
+    assert {(r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    assert any(clean[i] != kept[i] for i in clean) and len(good) < docs.count()
