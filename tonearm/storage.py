@@ -39,9 +39,12 @@ def drop_at_exit(spark: SparkSession, path: str) -> None:
     fs.deleteOnExit(target)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, computes once."""
-    path = fresh_path(df.sparkSession, name)
+def materialize(df: DataFrame, name: str, under: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: cuts the lineage, survives lost executors, computes once.
+
+    ``under`` is a folder of the caller's own from :func:`fresh_path`, for tables that it will :func:`remove` together once what comes of them is written.
+    """
+    path = f"{under}/{name}" if under else fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     drop_at_exit(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
