@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tonearm.llm.pii_core import KINDS, ORDER, TERM, base_spans, entity, generalised, joined, places, secrets, signed_hash, terms_of
 from tonearm.llm.worker import tidy
-from tonearm.storage import materialize
+from tonearm.storage import fresh_path, materialize, remove
 
 FOUND = "n_email long, n_ip long, n_card long, n_phone long, base string, base_sha256 string, own string, entities array<long>, terms array<long>, places array<array<int>>"
 #: Different terms that a task counts before it hands them on.
@@ -98,15 +98,19 @@ def with_spans(rows: DataFrame, docs: DataFrame, text_col: str, threshold: float
     holding = rows.where(F.size("entities") > 0)
     if total < 1 or holding.isEmpty():
         return rows.withColumn("spans", own)
+    # The tables of terms go as soon as the telling ones are written.
+    spark = rows.sparkSession
+    own_folder = fresh_path(spark, "pii")
     # Terms travel by their number in their text; their places stay with it.
-    known = materialize(holding.select("rid", F.posexplode("terms").alias("at", "term")).join(term_counts(docs, text_col), "term").select("rid", "at", "term", "n_t"), "pii-terms")
+    known = materialize(holding.select("rid", F.posexplode("terms").alias("at", "term")).join(term_counts(docs, text_col), "term").select("rid", "at", "term", "n_t"), "terms", own_folder)
     tells = lambda n_ct: (F.lit(total) > F.col("n_c")) & (F.log2(F.lit(total) * n_ct / ((F.col("n_c") + added) * (F.col("n_t") + added))) >= threshold * F.log2(F.lit(total) / F.col("n_c")))
-    holders = materialize(_holders(holding), "pii-holders")
+    holders = materialize(_holders(holding), "holders", own_folder)
     by_one = known.join(holders.where("n_c = 1"), "rid").where(tells(F.lit(1))).select("rid", "at")
-    near = materialize(known.join(holders.where("n_c > 1"), "rid").where(tells(F.least("n_c", "n_t"))), "pii-pairs")
+    near = materialize(known.join(holders.where("n_c > 1"), "rid").where(tells(F.least("n_c", "n_t"))), "pairs", own_folder)
     telling = near.groupBy("same", "term", "n_c", "n_t").agg(F.count("*").alias("n_ct")).where(tells(F.col("n_ct"))).select("same", "term")
     by_more = near.join(telling, ["same", "term"], "left_semi").select("rid", "at")
-    found = by_one.union(by_more).groupBy("rid").agg(F.collect_set("at").alias("telling"))
+    found = materialize(by_one.union(by_more).groupBy("rid").agg(F.collect_set("at").alias("telling")), "pii-telling")
+    remove(spark, own_folder)
     pairs = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - 1, F.lit(2)), lambda i: F.struct(F.get(p, i).alias("start"), F.lit(ORDER[TERM]).alias("ord"), F.get(p, i + 1).alias("stop"), F.lit(TERM).alias("kind")))
     extra = F.flatten(F.transform(F.coalesce("telling", F.array().cast("array<int>")), lambda i: pairs(F.get("places", i))))
     return rows.join(found, "rid", "left").withColumn("spans", F.array_sort(F.concat(own, extra))).drop("telling")
