@@ -101,8 +101,8 @@ def with_spans(rows: DataFrame, docs: DataFrame, text_col: str, threshold: float
     # The tables of terms go as soon as the telling ones are written.
     spark = rows.sparkSession
     own_folder = fresh_path(spark, "pii")
-    # Terms travel by their number in their text; their places stay with it.
-    known = materialize(holding.select("rid", F.posexplode("terms").alias("at", "term")).join(term_counts(docs, text_col), "term").select("rid", "at", "term", "n_t"), "terms", own_folder)
+    # Terms travel by their number in their text; their places stay with it. Both sides grow with the corpus, so neither is ever sent to all tasks.
+    known = materialize(holding.select("rid", F.posexplode("terms").alias("at", "term")).hint("merge").join(term_counts(docs, text_col), "term").select("rid", "at", "term", "n_t"), "terms", own_folder)
     tells = lambda n_ct: (F.lit(total) > F.col("n_c")) & (F.log2(F.lit(total) * n_ct / ((F.col("n_c") + added) * (F.col("n_t") + added))) >= threshold * F.log2(F.lit(total) / F.col("n_c")))
     holders = materialize(_holders(holding), "holders", own_folder)
     by_one = known.join(holders.where("n_c = 1"), "rid").where(tells(F.lit(1))).select("rid", "at")
