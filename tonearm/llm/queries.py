@@ -75,6 +75,25 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tonearm.llm.hard_negatives import hard_negatives
+
+    rows = _read(spark, sf_dir, "embeddings")
+    return hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))))
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tonearm.llm.languages import identify
+
+    return identify(_read(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tonearm.llm.whitening import whiten
+
+    return whiten(_read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -85,10 +104,20 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f
 """
 
+OP11_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x, row_number() OVER () AS place
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, a.place AS anchor, v.vec_id, v.label = a.label AS same, CAST(list_inner_product(a.x, v.x) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id % 50 = 0 AND a.place <> v.place),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST) AS k FROM s WHERE same),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, row_number() OVER (PARTITION BY p.anchor, p.k ORDER BY s.score DESC, s.vec_id NULLS LAST) AS r, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score
+      FROM p JOIN s ON s.anchor = p.anchor AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score WHERE p.k <= 5)
+SELECT anchor_id, positive_id, CAST(r AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE r <= 3
+"""
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_quality_classifier, op5_toxicity, op6_personal_data, op7_quality_rules, op8_warc, op9_language_model, op10_decontamination)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_sharding, op4_quality_classifier, op5_toxicity, op6_personal_data, op7_quality_rules, op8_warc, op9_language_model, op10_decontamination, op11_hard_negatives, op12_languages, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_warc": OP8_SQL}
+    return {"op8_warc": OP8_SQL, "op11_hard_negatives": OP11_SQL}
