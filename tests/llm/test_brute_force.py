@@ -124,6 +124,30 @@ def test_encoder_on_long_runs(text):
         assert encoder(f.read())(text) == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("pieces, low, high, per_part, within", [(3000, 150, 600, 40, 1.035), (3000, 260, 500, 30, 1.035), (200_000, 20, 1024, 2000, 1.012)])
+def test_exchange_over_many_partitions(spark, pieces, low, high, per_part, within):
+    """A hundred partitions come close to best-fit decreasing of all pieces in one task, very small ones less so; no gap, no overlap, each number one sequence."""
+    import numpy as np
+
+    from tonearm.llm.packing import best_fit_decreasing, pack
+
+    lengths = np.random.default_rng(per_part).integers(low, high, pieces)
+    df = spark.createDataFrame([(int(n),) for n in lengths], "length int").repartition(8)
+    held: dict = {}
+    out = pack(df, per_part=per_part).collect()
+    for r in out:
+        held.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert sorted(r.length for r in out) == sorted(lengths.tolist())
+    for sequence in held.values():
+        ends = 0
+        for offset, length in sorted(sequence):
+            assert offset == ends
+            ends += length
+        assert ends <= 1024
+    assert len(held) == out[0].all_sequences >= out[0].all_bound
+    assert len(held) <= within * len(best_fit_decreasing(lengths, 1024)[2])
+
+
 def test_packing_bound_and_exchange(spark):
     import numpy as np
 
@@ -345,7 +369,7 @@ def plain_terms(texts: dict, threshold: float = 0.8, added: float = 0.75) -> dic
     for i, text in texts.items():
         spans = plain_spans(text) + plain_secrets(text)
         entities[i] = {(k, text[a:b].lower() if k == "email" else text[a:b] if k == "secret" else re.sub("[^0-9.]" if k == "ip" else "[^0-9]", "", text[a:b])) for k, a, b in spans}
-        words[i] = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+(?:['-][^\W_]+)*", text) if len(m[0]) >= 3]
+        words[i] = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]+(?:['-][^\W_]+)*", text)]
         words[i] = [(w, a, b, any(x < b and y > a for _, x, y in spans)) for w, a, b in words[i]]
     n_c, n_t, n_ct = Counter(), Counter(), Counter()
     for i in texts:
@@ -578,6 +602,24 @@ def plain_tiling(text: list, item: list) -> int:
         total += n
 
 
+@pytest.mark.parametrize("sent", [4 << 20, 0])
+@pytest.mark.parametrize("kind, ids", [("string", ["b-17", "", "7"]), ("decimal(20,2)", None), ("struct<a:int,b:string>", [(1, "x"), (1, "y"), (2, None)])])
+def test_items_of_any_kind_of_id(spark, sent, kind, ids):
+    """Ids of items keep their type, sent or joined."""
+    from decimal import Decimal
+
+    from tonearm.llm.tiling import contaminated, decontaminate
+
+    ids = ids or [Decimal("1.50"), Decimal("-2.00"), Decimal("0.00")]
+    passages = ["one two three four five six", "seven eight nine ten eleven twelve", "never to be found in here at all"]
+    bench = spark.createDataFrame([*zip(ids, passages), (None, passages[0])], f"item_id {kind}, text string")
+    docs = spark.createDataFrame([("a", f"so {passages[0]} and {passages[1]}"), ("b", "nothing"), (None, passages[1])], "doc_id string, text string")
+    out = contaminated(docs, bench, max_broadcast_bytes=sent)
+    assert out.schema["item_id"].dataType == bench.schema["item_id"].dataType
+    assert sorted((r.doc_id or "", str(r.item_id)) for r in out.collect()) == sorted((d, str(r.item_id)) for d, k in (("a", 0), ("a", 1), ("", 1)) for r in bench.where("item_id IS NOT NULL").collect() if r.text == passages[k])
+    assert [r.doc_id for r in decontaminate(docs, bench, max_broadcast_bytes=sent).collect()] == ["b"]
+
+
 def test_tiles_of_repeated_words():
     """Few kinds of words, so that seeds repeat, runs overlap and marks cut them."""
     import random
@@ -669,6 +711,49 @@ def test_ordinal_thresholds_are_shared_and_ordered():
     assert np.corrcoef(expected, k)[0, 1] > 0.9 and (top == k).mean() > 0.8
 
 
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_of_hard_rows(spark, tmp_path, empty):
+    """Nulls, empty and repeated rows, ids that repeat, and columns with clashing names go through all stages; what quality lets pass is packed."""
+    import corpus_pipeline
+
+    good = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(6).collect()]
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(good)] + [(2, good[2], "en", "s", 1), (None, good[3], None, None, None), (7, None, "en", "s", None), (8, "", "en", "s", 0), (None, None, None, None, None)]
+    names = ("rid", "key", "piece", "c0", "own", "spans", "part", "x")
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    (docs.limit(0) if empty else docs).write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    if empty:
+        assert out == []
+        return
+    read = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    kept = corpus_pipeline.quality(spark, read, str(tmp_path))
+    assert kept.columns == docs.columns
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontaminate, corpus_pipeline.personal_data):
+        for table in (read, docs):
+            assert stage(spark, table, str(tmp_path)).columns == docs.columns
+    assert corpus_pipeline.place_of(read) is not None and corpus_pipeline.place_of(docs) is None
+    one = corpus_pipeline.near_duplicates(spark, read, str(tmp_path)).collect()
+    other = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    # Of the rows that share an id and a text either may stay.
+    assert sorted((r.doc_id, r.text or "") for r in one) == sorted((r.doc_id, r.text or "") for r in other) and {r.doc_id for r in one} == {0, 1, 2, 3, 4, 5, 7}
+    same = lambda t: sorted(map(tuple, corpus_pipeline.personal_data(spark, t, str(tmp_path)).collect()), key=repr)
+    assert same(read) == same(docs) and len(same(read)) == len(rows)
+    assert {r.doc_id for r in out if r.piece == 0} == {r.doc_id for r in kept.collect()} & {r.doc_id for r in one}
+
+
+def test_keep_good(spark):
+    """The rows that the scores keep, with all their columns; a document without words is scored like any other."""
+    from tonearm.llm import factorisation
+
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    scores = {r.doc_id: r.score for r in factorisation.quality_scores(docs, labels).collect()}
+    kept = factorisation.keep_good(docs, labels)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= 0.3}
+    assert 0 < kept.count() < len(scores)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

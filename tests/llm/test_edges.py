@@ -26,13 +26,13 @@ ROWS = [
 def operators(spark):
     import public_tokenizers
 
-    from tonearm.llm import factorisation, lm_scoring, ordinal, packing, pii, quality_rules, sharding, simhash, tiling
+    from tonearm.llm import factorisation, lm_scoring, near_copies, ordinal, packing, pii, quality_rules, sharding, simhash, tiling
 
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (None, 1, 1), (6, None, None), (7, 1, 0)], "doc_id long, quality int, toxic int")
     bench = spark.createDataFrame([(1, "good people of the world"), (1, "good people of the"), (None, "x"), (2, None), (3, ""), (4, "ende")], "item_id long, text string")
     return {
         "simhash": lambda d: simhash.near_duplicates(d),
-        "keep_one": lambda d: simhash.keep_one(d),
+        "keep_one": lambda d: near_copies.keep_one(d),
         "packing": lambda d: packing.pack_documents(d, public_tokenizers.path("byte_bpe_50k.json")).where("piece = 0"),
         "sharding": lambda d: sharding.shard_by_bytes(d, 3),
         "quality": lambda d: factorisation.quality_scores(d, labels),

@@ -12,7 +12,7 @@ def plain_set(text: str) -> set:
 
 def test_keep_one_drops_near_copies(spark):
     """Groups are those of all pairs of exact similarity 0.8, among them texts linked only over a third one."""
-    from tonearm.llm.simhash import keep_one
+    from tonearm.llm.near_copies import keep_one
 
     rng = random.Random(7)
     rows = []

@@ -2,8 +2,8 @@
 
 Documents become token pieces of at most one sequence. Pieces are dealt to partitions of bounded size; each is packed by best-fit
 decreasing, and dual-feasible functions give a lower bound on the sequences that it needs. A partition whose
-count equals its bound is certified and keeps all but its half-empty sequences. The others give up all that have room. These pieces are dealt anew among
-fewer partitions and packed again; the exchange is kept when it saves sequences and repeated while it does.
+count equals its bound is certified and keeps all but its half-empty sequences. The others give up sequences that have room. These pieces are dealt anew among
+fewer partitions and packed again; an exchange that costs sequences is undone, and several rounds on end that save none end it.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ BATCH_TOKENS = 2 << 20
 #: The fast encoder's pattern matcher recurses on white space and overflows its stack on runs far longer than this.
 LONG_GAP = 10_000
 _LONG_GAP = re.compile(rf"(?<!\s)\s{{{LONG_GAP}}}")
+#: Shares of the sequences with room that are given up, round by round, the emptiest first.
+RELEASED = (1.0, 0.7, 0.4, 0.2)
 PIECE = "piece int, start long, length int, ids binary"
 
 
@@ -150,51 +152,61 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
 
 
 def _pack_parts(dealt: DataFrame, capacity: int) -> DataFrame:
-    """``dealt`` has pid, length, part; adds bin, offset, the partition's sequences and bound, and released: in a bin that the partition gives up.
-
-    A partition above its bound gives up every bin with room; one that meets it only those at least half empty, which other partitions' may fill.
-    """
+    """``dealt`` has pid, length, part; adds bin, offset, the free room of the bin, and the partition's sequences and bound."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pid", ignore_index=True)
         bins, offsets, free = best_fit_decreasing(rows["length"].to_numpy(), capacity)
         bound = lower_bound(np.bincount(rows["length"], minlength=capacity + 1), capacity)
-        gone = free > 0 if len(free) > bound else free * 2 >= capacity
-        return rows.assign(bin=bins, offset=offsets, part_sequences=len(free), part_bound=bound, released=gone[bins])
+        return rows.assign(bin=bins, offset=offsets, free=free[bins], part_sequences=len(free), part_bound=bound)
+
+    return dealt.groupBy("part").applyInPandas(run, "pid long, length int, part long, bin long, offset long, free long, part_sequences long, part_bound long")
+
 
-    return dealt.groupBy("part").applyInPandas(run, "pid long, length int, part long, bin long, offset long, part_sequences long, part_bound long, released boolean")
+def _dealt(pool: DataFrame, pieces: int, per_part: int, salt: int) -> DataFrame:
+    return pool.select("pid", "length", F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(max(1, -(-pieces // per_part)))).alias("part"))
 
 
-def _bins(placed: DataFrame) -> int:
-    """How many sequences there are: each has one piece at offset 0."""
-    return placed.where("offset = 0").count()
+def _packed(dealt: DataFrame, capacity: int, first: int) -> tuple[DataFrame, int, int]:
+    """(the packed pieces, written, with sequence numbers from ``first`` on; how many sequences they are; the first number after them)."""
+    done = materialize(_pack_parts(dealt, capacity), "pack-round")
+    parts, most, used = done.agg(F.max("part"), F.max("bin"), F.count(F.when(F.col("offset") == 0, True))).first()
+    stride = (most or 0) + 1
+    numbered = done.withColumn("sequence_id", F.lit(first) + F.col("part") * stride + F.col("bin")).drop("part", "bin")
+    return numbered, used, first + ((parts or 0) + 1) * stride
 
 
-def pack(pieces: DataFrame, capacity: int = 1024, per_part: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 1024, per_part: int = 20_000, patience: int = 3) -> DataFrame:
     """``pieces`` (with a column ``length`` of 1 to ``capacity``) with ``sequence_id``, ``offset`` and certificates.
 
     Pieces never overlap and leave no gap within a sequence. ``part_sequences`` and ``part_bound`` are what the piece's partition took when it was
-    packed, and the least it could have; ``all_sequences`` and ``all_bound`` are those of the whole table. The exchange ends when a round saves no sequence or the
-    whole meets its bound. ``per_part`` bounds the pieces in one task. No pieces give no rows.
+    packed, and the least it could have; ``all_sequences`` and ``all_bound`` are those of the whole table. In the exchange, partitions above their bound give up sequences with room:
+    first all of them, then the emptier ones by the shares of ``RELEASED`` in turn; partitions at their bound give up those at least half empty. The exchange ends
+    when ``patience`` rounds on end save no sequence, or the whole meets its bound. ``per_part`` bounds the pieces in one task. No pieces give no rows.
     """
     rows = materialize(pieces.withColumn("pid", F.monotonically_increasing_id()), "pack-pieces")
     counts = np.zeros(capacity + 1, np.int64)
     for r in rows.groupBy("length").count().collect():
         counts[r["length"]] = r["count"]
     small = rows.where(F.col("length") < capacity).select("pid", "length")
-    deal = lambda d, n, salt: d.select("pid", "length", F.pmod(F.xxhash64("pid", F.lit(salt)), F.lit(max(1, -(-n // per_part)))).alias("part"))
-    placed = materialize(_pack_parts(deal(small, int(counts[:capacity].sum()), 0), capacity), "pack-round").withColumn("round", F.lit(0))
-    bound, total, k = lower_bound(counts, capacity), _bins(placed) + int(counts[capacity]), 0
-    while total > bound:
+    placed, total, number = _packed(_dealt(small, int(counts[:capacity].sum()), per_part, 0), capacity, 0)
+    bound, total, unlucky, k = lower_bound(counts, capacity), total + int(counts[capacity]), 0, 0
+    while total > bound and unlucky < patience:
+        share = RELEASED[k % len(RELEASED)]
         k += 1
-        pool = placed.where("released")
-        again = materialize(_pack_parts(deal(pool, pool.count(), k), capacity), "pack-round").withColumn("round", F.lit(k))
-        saved = _bins(pool) - _bins(again)
-        if saved <= 0:
-            break
-        placed, total = placed.where("NOT released").unionByName(again), total - saved
-    number = (F.col("round").cast("long") * F.lit(1 << 56)) + (F.col("part") * F.lit(1 << 28)) + F.col("bin")
-    of_small = placed.select("pid", number.alias("sequence_id"), "offset", "part_sequences", "part_bound")
+        over = F.col("part_sequences") > F.col("part_bound")
+        least = placed.where(over & (F.col("free") > 0) & (F.col("offset") == 0)).agg(F.percentile_approx("free", 1 - share, 1000)).first()[0]
+        gone = F.when(over, F.col("free") >= F.lit(least or 1)).otherwise(F.col("free") * 2 >= capacity)
+        pool = placed.where(gone)
+        in_pool, held = pool.agg(F.count("*"), F.count(F.when(F.col("offset") == 0, True))).first()
+        again, used, after = _packed(_dealt(pool, in_pool, per_part, k), capacity, number)
+        if used > held:
+            unlucky += 1
+            continue
+        # Another arrangement of as many sequences is taken too: it may be the better one to go on from.
+        unlucky = 0 if used < held else unlucky + 1
+        placed, total, number = materialize(placed.where(~gone).unionByName(again), "pack-placed"), total - held + used, after
+    of_small = placed.select("pid", "sequence_id", "offset", "part_sequences", "part_bound")
     one = F.lit(1).cast("long")
     full = rows.where(F.col("length") >= capacity).withColumns({"sequence_id": -F.col("pid") - 1, "offset": F.lit(0).cast("long"), "part_sequences": one, "part_bound": one})
     return rows.where(F.col("length") < capacity).join(of_small, "pid").unionByName(full).drop("pid").withColumns({"all_sequences": F.lit(total).cast("long"), "all_bound": F.lit(bound).cast("long")})

@@ -18,7 +18,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -131,22 +130,29 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return found.select(F.col("__id").alias(id_col), "n_email", "n_ip", "n_card", "n_phone", "base_sha256", text.alias("spans"), F.size("spans").cast("long").alias("n_spans"))
 
 
-def sanitise(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, added: float = 0.75) -> DataFrame:
-    """``docs`` with personal data generalised to its kind in brackets; texts without spans, nulls among them, stay as they are."""
-    plain = docs.select(*[F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)])
-    text = f"__{docs.columns.index(text_col)}"
-    rows = materialize(detect(plain, text, plain.columns).withColumn("rid", F.monotonically_increasing_id()), "pii-rows")
-    found = with_spans(rows, rows, text, threshold, added).select(*plain.columns, F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind"))).alias("spans"))
+def sanitise(docs: DataFrame, text_col: str = "text", threshold: float = 0.8, added: float = 0.75, place: Column | None = None) -> DataFrame:
+    """``docs`` with personal data generalised to its kind in brackets; texts without spans, nulls among them, stay as they are.
+
+    ``place`` is a column that tells the rows of ``docs`` apart and is the same whenever they are read, as a file's name and row are; without it the rows are numbered and written
+    once more. Only ids and places of spans are written beside that. Repeated rows come back repeated; an empty table gives no rows.
+    """
+    plain = [F.col(c).alias(f"__{i}") for i, c in enumerate(docs.columns)]
+    rows = docs.select(*plain, place.alias("rid")) if place is not None else materialize(docs.select(*plain, F.monotonically_increasing_id().alias("rid")), "pii-docs")
     at = docs.columns.index(text_col)
+    marked = materialize(detect(rows.select("rid", f"__{at}"), f"__{at}", ["rid"]).select("rid", "own", "entities", "terms", "places"), "pii-rows")
+    mark = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), s["kind"].alias("kind")))
+    spans = with_spans(marked, rows, f"__{at}", threshold, added).select("rid", mark.alias("spans")).where(F.size("spans") > 0)
+    found = rows.join(materialize(spans, "pii-spans"), "rid", "left").drop("rid")
+    kind = T.StructType(found.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, marks = batch.column(at).to_pylist(), batch.column(batch.num_columns - 1)
-            for i in np.flatnonzero(pa.compute.list_value_length(marks).to_numpy(zero_copy_only=False)).tolist():
+            for i in np.flatnonzero(marks.is_valid().to_numpy(zero_copy_only=False)).tolist():
                 texts[i] = generalised(texts[i], [(m["start"], m["stop"], m["kind"]) for m in marks[i].as_py()])
             columns = batch.columns[:-1]
             columns[at] = pa.array(texts, batch.schema.field(at).type)
             yield pa.record_batch(columns, names=batch.schema.names[:-1])
 
-    clean = found.mapInArrow(tidy(run), plain.schema)
+    clean = found.mapInArrow(tidy(run), kind)
     return clean.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -109,8 +109,8 @@ def entity(kind: str, value: str) -> int:
     return signed_hash(f"{kind}:{value}")
 
 
-def places(text: str, spans: list[tuple[str, int, int]], least: int = 3) -> dict[str, list[int]]:
-    """Term -> its starts and ends in turn: the words of at least ``least`` letters that overlap no span (by start)."""
+def places(text: str, spans: list[tuple[str, int, int]]) -> dict[str, list[int]]:
+    """Term -> its starts and ends in turn: the words, of any length, that overlap no span (by start)."""
     out: dict[str, list[int]] = {}
     k, reach = 0, 0
     for m in _WORD.finditer(text):
@@ -118,11 +118,11 @@ def places(text: str, spans: list[tuple[str, int, int]], least: int = 3) -> dict
         while k < len(spans) and spans[k][1] < y:
             reach = max(reach, spans[k][2])
             k += 1
-        if y - x >= least and reach <= x:
+        if reach <= x:
             out.setdefault(m[0].lower(), []).extend((x, y))
     return out
 
 
-def terms_of(text: str, least: int = 3) -> set[str]:
+def terms_of(text: str) -> set[str]:
     """All terms of a text, spelt as in :func:`places`."""
-    return {w.lower() for w in set(_WORD.findall(text)) if len(w) >= least}
+    return {w.lower() for w in set(_WORD.findall(text))}

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tonearm.llm.near_copies import groups
 from tonearm.llm.simhash_core import fingerprints
 from tonearm.llm.worker import tidy
 from tonearm.operators.components import connected_components
@@ -103,13 +102,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Written first, so the last join is one plain shuffle join, which Spark can split where a fingerprint has very many rows.
     classes = materialize(classes, "simhash-classes")
     return rows.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, least: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each group of texts that share ``least`` of their ``width``-word shingles: that with the smallest id (null ids last, rows with one id by place)."""
-    rows = materialize(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("rid")), "simhash-docs")
-    place, text = f"c{docs.columns.index(id_col)}", f"c{docs.columns.index(text_col)}"
-    keyed = rows.select(F.struct(F.col(place).isNull().alias("none"), F.col(place).alias("id"), "rid").alias("key"), F.col(text).alias("text"))
-    found = groups(keyed, "key", "text", width, least)
-    gone = found.where(F.col("key") != F.col("component_id")).select(F.col("key.rid").alias("rid"))
-    return rows.join(gone, "rid", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tonearm.llm.worker import tidy
 from tonearm.storage import materialize
@@ -26,7 +27,8 @@ BARE = bytes(b if b > 127 else ord(chr(b).lower()) if chr(b).isalnum() else 32 f
 MAX_BROADCAST_BYTES = 4 << 20
 #: Multiplier of the rolling hash, modulo 2**64.
 ROLL = 0x9E3779B97F4A7C15
-PAIR = "item_id long, item_words int, matched int, tiles int, coverage double"
+#: What is said of a pair of text and item.
+PAIR = "item_words int, matched int, tiles int, coverage double"
 
 
 def words_of(text: bytes | None) -> list[bytes]:
@@ -173,50 +175,53 @@ def _pairs(index: Index, rows: Iterator[tuple[int, bytes | None, list[int] | Non
 
 def _items(benchmark: DataFrame, item_col: str, item_text_col: str) -> DataFrame:
     text = F.max(F.struct(F.octet_length(item_text_col).alias("n"), F.col(item_text_col).alias("text")))["text"]
-    return benchmark.where(F.col(item_col).isNotNull()).groupBy(F.col(item_col).cast("long").alias("item_id")).agg(text.alias("text"))
+    return benchmark.where(F.col(item_col).isNotNull()).groupBy(F.col(item_col).alias("item_id")).agg(text.alias("text"))
 
 
 def _bytes(items: DataFrame) -> int:
     return items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
 
 
-def _sent(spark, items: DataFrame):
-    return spark.sparkContext.broadcast([(r.item_id, r.text.encode()) for r in items.where("text IS NOT NULL").collect()])
+def _sent(spark, items: DataFrame) -> tuple:
+    """(ids in their own type, the broadcast list of (number, text)): items are known by their number in the list."""
+    held = items.where("text IS NOT NULL").toArrow()
+    return held.column("item_id").combine_chunks(), spark.sparkContext.broadcast(list(enumerate(t.encode() for t in held.column("text").to_pylist())))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 5, coverage: float = 0.8, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
     """A row per (text, item) with at least ``coverage`` of the item's words under tiles: id, item_id, item_words, matched, tiles, coverage.
 
-    Items of fewer than ``seed`` words must occur whole. Null and empty texts and items match nothing; null item ids are left out; null ids come back null;
+    Items of fewer than ``seed`` words must occur whole. Both ids keep their type. Null and empty texts and items match nothing; null item ids are left out; null ids come back null;
     repeated rows are reported each; an item id given twice counts with its longest text (by bytes, then greatest); empty tables give no
     rows; other columns are not read.
     """
     spark = docs.sparkSession
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     items = _items(benchmark, item_col, item_text_col)
-    kind = dict(own.dtypes)["id"]
-    schema = pa.schema([("item_id", pa.int64()), ("item_words", pa.int32()), ("matched", pa.int32()), ("tiles", pa.int32()), ("coverage", pa.float64())])
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("item_id", items.schema["item_id"].dataType), *T.StructType.fromDDL(PAIR).fields])
 
-    def packed(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*found)) if found else [[]] * 6
-        return pa.record_batch([ids.take(pa.array(columns[0], pa.int64())), *[pa.array(c, f.type) for c, f in zip(columns[1:], schema)]], names=["id", *schema.names])
+    def packed(ids: pa.Array, item_ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+        """``found`` has the numbers of the row and of the item first."""
+        row, item, *figures = list(zip(*found)) if found else [[]] * 6
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.float64())
+        return pa.record_batch([ids.take(pa.array(row, pa.int64())), item_ids.take(pa.array(item, pa.int64())), *[pa.array(c, t) for c, t in zip(figures, kinds)]], names=schema.names)
 
     if _bytes(items) <= max_broadcast_bytes:
-        held = _sent(spark, items)
+        item_ids, held = _sent(spark, items)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Index(held.value, seed)
             for batch in batches:
                 texts = batch.column(1).cast(pa.binary())
-                yield packed(batch.column(0), list(_pairs(index, ((i, x.as_py(), None) for i, x in enumerate(texts)), coverage)))
+                yield packed(batch.column(0), item_ids, list(_pairs(index, ((i, x.as_py(), None) for i, x in enumerate(texts)), coverage)))
 
-        out = own.mapInArrow(tidy(run), f"id {kind}, {PAIR}")
+        out = own.mapInArrow(tidy(run), schema)
     else:
-        out = _joined(own, items, seed, coverage, kind, packed)
+        out = _joined(own, items, seed, coverage, schema, packed)
     return out.withColumnRenamed("id", id_col)
 
 
-def _joined(own: DataFrame, items: DataFrame, seed: int, coverage: float, kind: str, packed) -> DataFrame:
+def _joined(own: DataFrame, items: DataFrame, seed: int, coverage: float, schema: T.StructType, packed) -> DataFrame:
     """The way for benchmarks of any size: seeds of texts and items meet in a join; only pairs that share one bring their texts together."""
 
     def seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,22 +243,22 @@ def _joined(own: DataFrame, items: DataFrame, seed: int, coverage: float, kind:
                 w = min(seed, len(words))
                 found = {xxh64_intdigest(b" ".join(words[k : k + w])) for k in range(len(words) - w + 1)} if w else set()
                 h = np.fromiter(found, np.uint64, len(found)).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(len(h), batch.column(0)[i].as_py(), np.int64)), pa.array(h)], names=["item_id", "h"])
+                yield pa.record_batch([batch.column(0).take(pa.array(np.full(len(h), i))), pa.array(h)], names=["item_id", "h"])
 
     rows = materialize(own.withColumn("rid", F.monotonically_increasing_id()), "tiling-rows")
-    wanted = items.mapInArrow(tidy(item_seeds), "item_id long, h long")
+    wanted = items.mapInArrow(tidy(item_seeds), T.StructType([schema["item_id"], T.StructField("h", T.LongType())]))
     pairs = rows.select("rid", "text").mapInArrow(tidy(seeds), "rid long, h long").join(wanted, "h").select("rid", "item_id").distinct()
     both = pairs.join(rows, "rid").join(items.withColumnRenamed("text", "item"), "item_id").select("id", "text", "item_id", "item")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
-            for i, (text, item, words) in enumerate(zip(batch.column(1).cast(pa.binary()), batch.column(2), batch.column(3).cast(pa.binary()))):
-                index = Index([(item.as_py(), words.as_py())], seed)
+            for i, (text, words) in enumerate(zip(batch.column(1).cast(pa.binary()), batch.column(3).cast(pa.binary()))):
+                index = Index([(i, words.as_py())], seed)
                 found += _pairs(index, [(i, text.as_py(), list(index.items))], coverage)
-            yield packed(batch.column(0), found)
+            yield packed(batch.column(0), batch.column(2), found)
 
-    return both.mapInArrow(tidy(run), f"id {kind}, {PAIR}")
+    return both.mapInArrow(tidy(run), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", seed: int = 5, coverage: float = 0.8, max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
@@ -263,7 +268,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         rows = materialize(docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns)], F.monotonically_increasing_id().alias("rid")), "tiling-docs")
         found = contaminated(rows, benchmark, "rid", f"c{docs.columns.index(text_col)}", item_col, item_text_col, seed, coverage, max_broadcast_bytes)
         return rows.join(found.select("rid").distinct(), "rid", "left_anti").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
-    held, at = _sent(docs.sparkSession, items), docs.columns.index(text_col)
+    (_, held), at = _sent(docs.sparkSession, items), docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(held.value, seed)
