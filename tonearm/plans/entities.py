@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions import text as X
 from tonearm.operators import entity as E
+from tonearm.operators.alignment import similar_sequences
 from tonearm.plans.reading import active_track_ids
 from tonearm.plans.registry import query
 from tonearm.tables import Tables
@@ -123,15 +124,29 @@ def dedupe_groups(t: Tables) -> DataFrame:
     return found.join(decided.select("group_key"), "group_key", "left_anti").select("source", "score", "ids", "group_key")
 
 
-@query("WITH RECURSIVE v AS (SELECT id, tag, CAST(vector AS DOUBLE[]) AS v FROM r_features), p AS (SELECT a.id AS x, b.id AS y, 1 / (1 + list_distance(a.v, b.v)) AS s FROM v a JOIN v b ON a.tag = b.tag AND a.id < b.id WHERE 1 / (1 + list_distance(a.v, b.v)) >= 0.2), e AS (SELECT x, y FROM p UNION SELECT y, x FROM p), walk AS (SELECT x AS node, x AS reached FROM e UNION SELECT w.node, e.y FROM walk w JOIN e ON e.x = w.reached), c AS (SELECT node, min(reached) AS component FROM walk GROUP BY node) SELECT CAST(component AS VARCHAR) AS group_value, round(max(s), 6) AS score, CAST(count(DISTINCT node) AS INTEGER) AS n FROM c JOIN p ON p.x = c.node OR p.y = c.node GROUP BY component")
-def similar_groups(t: Tables) -> DataFrame:
-    """Near vectors of one label as pairs, then components: the similar-fingerprint detector on stand-in features."""
-    from tonearm.functions.numeric import distance
+SEQUENCES = r"""
+WITH RECURSIVE d AS (SELECT sha256(text) AS fingerprint, n_chars * 1000 AS ms, min(doc_id) AS node, list_transform(list_filter(regexp_split_to_array(any_value(text), '[ \t-\r]+'), lambda w: w <> ''), lambda w: CAST('0x' || substr(md5(w), 1, 8) AS BIGINT)) AS frames FROM documents WHERE text IS NOT NULL AND n_chars IS NOT NULL GROUP BY 1, 2),
+f AS MATERIALIZED (SELECT node, unnest(frames) AS code, generate_subscripts(frames, 1) AS at FROM d WHERE len(frames) > 0),
+q AS MATERIALIZED (SELECT a.node AS a, b.node AS b, least(len(a.frames), len(b.frames)) AS n FROM d a JOIN d b ON a.node < b.node AND a.fingerprint <> b.fingerprint AND abs(a.ms - b.ms) <= 10000 AND len(a.frames) > 0 AND len(b.frames) > 0),
+v AS (SELECT q.a, q.b, q.n, x.at - y.at AS off, count(*) AS votes FROM q JOIN f x ON x.node = q.a JOIN f y ON y.node = q.b AND y.at BETWEEN x.at - 120 AND x.at + 120 AND bit_count(xor(x.code, y.code)) <= 2 GROUP BY 1, 2, 3, 4),
+p AS MATERIALIZED (SELECT a, b, max(votes) / n AS score FROM v GROUP BY a, b, n HAVING max(votes) * 10 >= n * 8),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p), r AS (SELECT a AS x, a AS y FROM e UNION SELECT r.x, e.b FROM r JOIN e ON e.a = r.y), c AS MATERIALIZED (SELECT x AS node, min(y) AS component FROM r GROUP BY x),
+s AS (SELECT component, max(score) AS score FROM p JOIN c ON c.node = p.a GROUP BY component)
+SELECT component, doc_id AS id, round(score, 6) AS score FROM documents JOIN d ON d.fingerprint = sha256(text) AND d.ms = n_chars * 1000 JOIN c USING (node) JOIN s USING (component)
+"""
+
+
+def frame_rows(t: Tables) -> DataFrame:
+    """Documents as sequences of frames: a 32-bit code of each word; a character stands for a second."""
+    words = F.filter(F.split("text", r"[ \t-\r]+"), lambda w: w != "")
+    code = lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long")
+    return t.raw("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("fingerprint"), (F.col("n_chars") * 1000).alias("duration_ms"), F.transform(words, code).alias("frames"))
 
-    a = t.features.select(F.col("id").alias("lower_id"), F.col("vector").alias("va"), "tag")
-    b = t.features.select(F.col("id").alias("higher_id"), F.col("vector").alias("vb"), "tag")
-    near = a.join(b, "tag").where("lower_id < higher_id").withColumn("score", 1 / (1 + distance(F.col("va"), F.col("vb")))).where("score >= 0.2")
-    return E.linked_groups(near.select("lower_id", "higher_id", "score"), "fingerprint_similar").select("group_value", F.round("score", 6).alias("score"), F.size("ids").alias("n"))
+
+@query(SEQUENCES)
+def similar_groups(t: Tables) -> DataFrame:
+    """The similar-fingerprint detector over the word sequences of all documents: groups as (component, id), with the best score of each."""
+    return similar_sequences(frame_rows(t)).withColumn("score", F.round("score", 6))
 
 
 @query("SELECT a.track_id, CASE WHEN coalesce(g.n, 0) = 1 THEN 'link' WHEN coalesce(g.n, 0) > 1 THEN 'link_failed' ELSE 'skip' END AS action, CASE WHEN g.n = 1 THEN g.local_id END AS local_id FROM (SELECT id AS track_id FROM r_tracks WHERE id % 3 = 1) a LEFT JOIN (SELECT track_id, count(*) AS n, min(local_id) AS local_id FROM r_suggested WHERE score >= 0.99 AND status <> 'rejected' GROUP BY track_id) g ON g.track_id = a.track_id")
