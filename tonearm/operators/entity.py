@@ -15,6 +15,7 @@ from tonearm.functions import text as X
 from tonearm.operators.components import connected_components
 from tonearm.operators.graph import not_suppressed
 from tonearm.operators.ranking import numbered
+from tonearm.operators.set_join import similar_sets
 from tonearm.storage import materialize
 
 #: Fixed values of the suggestion rules.
@@ -51,36 +52,52 @@ def _prefixed(rows: DataFrame, p: str) -> DataFrame:
     return rows.select(F.col("id").alias(f"{p}_id"), *[X.match_text(F.col(n)).alias(f"{p}_{n}") for n in ("title", "artist", "album")], F.col("duration_ms").alias(f"{p}_ms"))
 
 
+#: Thresholds of the search for a title that is near no other, one after the other until its list is full; the last takes any shared trigram.
+FALLING = (0.15, 0.05, 0.0)
+
+
 def shared_trigram_candidates(local: DataFrame, tracks: DataFrame, rejected: DataFrame | None = None, threshold: float = 0.3, most: int = 100, least: int = 3) -> DataFrame:
     """(local_id, track_id, k): per local track up to ``most`` tracks by trigram similarity of its title's identity with theirs, then id, without ``rejected`` pairs.
 
     A list of under ``least`` tracks is filled up to that with the smallest ids; an empty one takes the ``most`` best of any similarity.
-    Distinct titles are compared, by a join on shared trigrams; the pairs of titles are then spread over their tracks.
+    Distinct titles are joined by similarity, and lists are made for distinct titles, as much longer as their local tracks have rejections; local tracks then take theirs.
     """
-    refused = local.sparkSession.createDataFrame([], "local_id long, track_id long") if rejected is None else rejected.select("local_id", "track_id").distinct()
-    asked = local.select(F.col("id").alias("local_id"), X.title_identity(X.match_text(F.col("title"))).alias("a")).where("a IS NOT NULL")
-    titles = tracks.select(F.col("id").alias("track_id"), F.col("title").alias("b"))
-    grams = lambda d, n: d.select(n).distinct().select(n, F.size(S.trigrams(F.col(n))).alias(f"{n}_n"), F.explode(S.trigrams(F.col(n))).alias("g"))
-
-    def alike(locals_: DataFrame) -> DataFrame:
-        shared = grams(locals_, "a").join(grams(titles, "b"), "g").groupBy("a", "b", "a_n", "b_n").agg(F.count("*").alias("n"))
-        return shared.select("a", "b", (F.col("n") / (F.col("a_n") + F.col("b_n") - F.col("n"))).alias("sim"))
-
-    w = W.partitionBy("local_id").orderBy(F.desc("sim"), "track_id")
-
-    def best(locals_: DataFrame, pairs: DataFrame) -> DataFrame:
-        spread = locals_.join(pairs, "a").join(titles, "b").select("local_id", "track_id", "sim")
-        return spread.join(refused, ["local_id", "track_id"], "left_anti").withColumn("k", F.row_number().over(w)).where(F.col("k") <= most).select("local_id", "track_id", "k")
-
-    near = materialize(best(asked, alike(asked).where(F.col("sim") >= threshold)), "near-titles")
+    spark = local.sparkSession
+    # Written, as all that follows asks for them again.
+    named = materialize(local.select(F.col("id").alias("local_id"), X.title_identity(X.match_text(F.col("title"))).alias("a")).where("a IS NOT NULL"), "asked-titles")
+    refused = spark.createDataFrame([], "local_id long, track_id long") if rejected is None else materialize(rejected.select("local_id", "track_id").join(named, "local_id", "left_semi").distinct(), "asked-rejected")
+    asked = named.join(refused.groupBy("local_id").agg(F.count("*").alias("gone")), "local_id", "left").withColumn("gone", F.coalesce("gone", F.lit(0)))
+    widest = asked.agg(F.max("gone")).first()[0] or 0
+    # Of the tracks of one title no more than the first can be in a list.
+    first = F.row_number().over(W.partitionBy("b").orderBy("track_id"))
+    titles = tracks.select(F.col("id").alias("track_id"), F.col("title").alias("b")).where("b IS NOT NULL").withColumn("place", first).where(F.col("place") <= most + widest)
+    sets = lambda d, n: d.select(n).distinct().withColumn("tokens", S.trigrams(F.col(n)))
+
+    def best(locals_: DataFrame, at: float) -> DataFrame:
+        wanted = locals_.groupBy("a").agg((F.max("gone") + most).alias("wanted"))
+        spread = similar_sets(sets(locals_, "a"), sets(titles, "b"), at).join(wanted, "a").join(titles, "b").where("place <= wanted")
+        order = F.row_number().over(W.partitionBy("a").orderBy(F.desc("sim"), "track_id"))
+        lists = spread.withColumn("r", order).where((F.col("r") <= most + widest) & (F.col("r") <= F.col("wanted"))).select("a", "track_id", "r")
+        free = locals_.join(lists, "a").join(refused, ["local_id", "track_id"], "left_anti")
+        own = F.row_number().over(W.partitionBy("local_id").orderBy("r"))
+        return materialize(free.withColumn("k", own).where(F.col("k") <= most).select("local_id", "track_id", "k"), "near-titles")
+
+    near = best(asked, threshold)
     have = near.groupBy("local_id").agg(F.count("*").alias("n"))
-    none = asked.join(have, "local_id", "left_anti")
-    far = materialize(best(none, alike(none)), "far-titles")
-    found = near.unionByName(far)
-    # What is still to fill, out of the smallest ids: so many further that rejected and found ones cannot exhaust them.
-    short = asked.select("local_id").join(found.groupBy("local_id").agg(F.count("*").alias("n")), "local_id", "left").join(have.select("local_id", F.lit(True).alias("near")), "local_id", "left").join(refused.groupBy("local_id").agg(F.count("*").alias("gone")), "local_id", "left")
-    short = short.select("local_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("near"), least).otherwise(most).alias("upto"), F.coalesce("gone", F.lit(0)).alias("gone")).where("n < upto")
-    by_id = numbered(tracks.select(F.col("id").alias("track_id")), [F.col("track_id").asc()])
+    if asked.join(have.where(F.col("n") >= least), "local_id", "left_anti").isEmpty():
+        return near
+    found, rest = near, asked.join(have, "local_id", "left_anti")
+    for at in FALLING:
+        if rest.isEmpty():
+            break
+        far = best(rest, at)
+        full = far.groupBy("local_id").agg(F.count("*").alias("n")).where(F.col("n") >= most).select("local_id")
+        found = found.unionByName(far.join(full, "local_id", "left_semi") if at else far)
+        rest = rest.join(full, "local_id", "left_anti")
+    # What is still to fill, out of the smallest ids: so many that rejected and found ones cannot exhaust them.
+    short = asked.select("local_id", "gone").join(found.groupBy("local_id").agg(F.count("*").alias("n")), "local_id", "left").join(have.select("local_id", F.lit(True).alias("near")), "local_id", "left")
+    short = short.select("local_id", F.coalesce("n", F.lit(0)).alias("n"), F.when(F.col("near"), least).otherwise(most).alias("upto"), "gone").where("n < upto")
+    by_id = numbered(tracks.select(F.col("id").alias("track_id")).orderBy("track_id").limit(most + widest), [F.col("track_id").asc()])
     tried = short.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("upto") + F.col("gone"))).alias("number")).join(by_id, "number")
     tried = tried.join(refused, ["local_id", "track_id"], "left_anti").join(found.select("local_id", "track_id"), ["local_id", "track_id"], "left_anti")
     filled = tried.withColumn("k", (F.col("n") + F.row_number().over(W.partitionBy("local_id").orderBy("track_id"))).cast("int")).where("k <= upto").select("local_id", "track_id", "k")
