@@ -72,3 +72,37 @@ def stable_files(snapshots: DataFrame, needed: int = 10) -> DataFrame:
     last = snapshots.withColumn("k", F.row_number().over(w)).where(F.col("k") <= needed)
     g = last.groupBy("key").agg(F.count("*").alias("n"), F.min("size").alias("low"), F.max("size").alias("high"), F.countDistinct("mtime").alias("times"), F.min("ts").alias("since"))
     return g.where((F.col("n") == needed) & (F.col("low") == F.col("high")) & (F.col("low") > 0) & (F.col("times") == 1)).select("key", "since")
+
+
+def stable_runs(looks: DataFrame, needed: int = 10) -> DataFrame:
+    """(key, since, ready, size): runs of ``needed`` equal looks in a row of a size above zero, with their first and their ``needed``-th look; a longer run is one."""
+    w = W.partitionBy("key").orderBy("ts", "id")
+    changed = F.coalesce((F.col("size") != F.lag("size").over(w)) | (F.col("mtime") != F.lag("mtime").over(w)), F.lit(True)) | (F.col("size") <= 0)
+    runs = looks.withColumn("run", F.sum(changed.cast("int")).over(w))
+    at = W.partitionBy("key", "run").orderBy("ts", "id")
+    numbered = runs.withColumn("k", F.row_number().over(at)).withColumn("since", F.first("ts").over(at))
+    return numbered.where((F.col("k") == needed) & (F.col("size") > 0)).select("key", "since", F.col("ts").alias("ready"), "size")
+
+
+def decided_sightings(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (key, id, ts, size, mtime, failed) with their decision, and the failure known after each of them (after_size, after_mtime, after_id; null: none).
+
+    A file that looks as it did when it failed is skipped; one that has changed is retried and its failure forgotten; one without a failure is enqueued. A failure
+    without a look takes that of the next sighting, which is skipped. ``known`` has the failures from before (key, f_size, f_mtime, f_id), one a key.
+    """
+    w = W.partitionBy("key").orderBy("ts", "id")
+    island = rows.withColumn("island", F.sum(F.col("failed").cast("int")).over(w)).join(known, "key", "left")
+    inside = W.partitionBy("key", "island").orderBy("ts", "id")
+    # The first row of an island after the first one is its failure.
+    failure = lambda own, before: F.when(F.col("island") > 0, F.first(F.when(F.col("failed"), F.col(own)), ignorenulls=True).over(inside)).otherwise(F.col(before))
+    x = island.select("key", "id", "ts", "size", "mtime", "failed", "island", failure("id", "f_id").alias("of"), failure("size", "f_size").alias("of_size"), failure("mtime", "f_mtime").alias("of_mtime"))
+    seen = ~F.col("failed") & F.col("size").isNotNull() & F.col("mtime").isNotNull()
+    blind = F.col("of_size").isNull() | F.col("of_mtime").isNull()
+    adopted = lambda c: F.when(blind, F.first(F.when(seen, F.col(c)), ignorenulls=True).over(inside)).otherwise(F.col(f"of_{c}"))
+    x = x.withColumn("l_size", adopted("size")).withColumn("l_mtime", adopted("mtime"))
+    differs = seen & F.col("of").isNotNull() & ((F.col("size") != F.col("l_size")) | (F.col("mtime") != F.col("l_mtime")))
+    x = x.withColumn("differs", F.coalesce(differs, F.lit(False)).cast("int")).withColumn("changes", F.sum("differs").over(inside))
+    decision = F.when(F.col("of").isNull() | ~seen, "enqueue").when(F.col("changes") == 0, "skip").when((F.col("changes") == 1) & (F.col("differs") == 1), "retry").otherwise("enqueue")
+    known_after = F.col("of").isNotNull() & (F.col("changes") == 0)
+    after = lambda c: F.when(known_after, F.col(c))
+    return x.select("key", "id", "ts", "failed", F.when(~F.col("failed"), decision).alias("decision"), after("l_size").alias("after_size"), after("l_mtime").alias("after_mtime"), after("of").alias("after_id"))
