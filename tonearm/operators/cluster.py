@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions import numeric as N
-from tonearm.operators.ranking import numbered
+from tonearm.operators.order_statistics import order_statistics
 
 #: Fixed values of the split search.
 WEAK_SILHOUETTE, WEAK_SEPARATION, FORCE_RATIO = 0.08, 1.0, 2.5
@@ -26,16 +26,9 @@ SIBLING_LABELS = (("tempo", "Slowest", "Slower", "Faster", "Fastest", 8.0, 0), (
 
 
 def robust_limits(x: DataFrame) -> DataFrame:
-    """(pos, centre, scale) of (pos, x): median, and nearest-rank inter-quartile range, or half the range, or one.
-
-    Values are ranked over the whole table, so a position's values are in no task all at once.
-    """
-    ranked = numbered(x.select("pos", "x").where("x IS NOT NULL"), [F.col("pos"), F.col("x")], "k")
-    of = ranked.groupBy("pos").agg(F.min("k").alias("first"), F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-    at = lambda r: F.max(F.when(F.col("k") - F.col("first") == r, F.col("x")))
-    rank = lambda p: F.bround((F.col("n") - 1) * F.lit(p)).cast("long")
-    middle = (F.col("n") - 1) / 2
-    v = ranked.join(of, "pos").groupBy("pos", "low", "high").agg(at(rank(0.25)).alias("q1"), at(rank(0.75)).alias("q3"), at(F.floor(middle)).alias("a"), at(F.ceil(middle)).alias("b"))
+    """(pos, centre, scale) of (pos, x): median, and nearest-rank inter-quartile range, or half the range, or one. A position's values are in no task all at once, and none is written."""
+    share = lambda p: lambda n: F.bround((n - 1) * F.lit(p))
+    v = order_statistics(x, {"q1": share(0.25), "q3": share(0.75), "a": lambda n: F.floor((n - 1) / 2), "b": lambda n: F.ceil((n - 1) / 2)})
     iqr, half = F.col("q3") - F.col("q1"), (F.col("high") - F.col("low")) / 2
     return v.select("pos", (0.5 * F.col("a") + 0.5 * F.col("b")).alias("centre"), F.when(iqr > 1e-9, iqr).when(half > 1e-9, half).otherwise(1.0).alias("scale"))
 

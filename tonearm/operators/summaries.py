@@ -156,3 +156,21 @@ def named(summaries: DataFrame, by: str = "path", fallback: str = "Sonic Set") -
         options.append([*[" / ".join(p) for p in parts if all(p)], fallback])
     schema = f"{by} string, name string"
     return summaries.sparkSession.createDataFrame([(r[by], n) for r, n in zip(rows, unique_names(options))], schema)
+
+
+#: Share of a cluster's rows that a common tag occurs in, and how many are shown.
+COMMON_SHARE, COMMON_MOST = 0.2, 5
+
+
+def common_tags(rows: DataFrame, share: float = COMMON_SHARE, most: int = COMMON_MOST) -> DataFrame:
+    """(tag, value, n): the most frequent tag values of each cluster, of those that occur at least ``share`` times its number of rows, and once.
+
+    ``rows`` has tag (the cluster), id and tags, a list of texts that semicolons and commas part. Values are told apart without case and shown as the first of them by id and place is spelt; equally
+    frequent ones go by their folded form. Null lists and empty values count as none.
+    """
+    sizes = rows.groupBy("tag").agg(F.count("*").alias("size"))
+    texts = rows.select("tag", "id", F.posexplode("tags").alias("i", "text"))
+    parts = texts.select("tag", "id", "i", F.posexplode(F.split("text", "[;,]")).alias("j", "part")).withColumn("part", F.regexp_replace("part", r"(?U)^\s+|\s+$", "")).where("part <> ''")
+    n = parts.groupBy("tag", F.replace(F.lower("part"), F.lit("ß"), F.lit("ss")).alias("folded")).agg(F.count("*").alias("n"), F.min_by("part", F.struct("id", "i", "j")).alias("value"))
+    often = n.join(sizes, "tag").where(F.col("n") >= F.greatest(F.lit(1), F.ceil(F.col("size") * F.lit(share))))
+    return often.withColumn("k", F.row_number().over(W.partitionBy("tag").orderBy(F.desc("n"), "folded"))).where(F.col("k") <= most).select("tag", "value", "n")

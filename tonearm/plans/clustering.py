@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tonearm.functions.numeric import distance
 from tonearm.operators import cluster as C
+from tonearm.operators import summaries
 from tonearm.plans.registry import query
 from tonearm.tables import Tables
 
@@ -139,11 +140,20 @@ def playlist_names(t: Tables) -> DataFrame:
     return named(cluster_summaries(described(t).withColumn("path", F.concat(F.lit("tag-"), F.col("tag").cast("string")))))
 
 
-@query("SELECT tag, value, n FROM (SELECT *, row_number() OVER (PARTITION BY tag ORDER BY n DESC, value) AS k FROM (SELECT label AS tag, p_name AS value, CAST(count(*) AS BIGINT) AS n, max(size) AS size FROM (SELECT *, count(*) OVER (PARTITION BY label) AS size FROM embeddings JOIN part ON p_partkey = vec_id) GROUP BY label, p_name) WHERE n >= greatest(1, ceil(size * 0.02))) WHERE k <= 5")
-def common_tags(t: Tables) -> DataFrame:
-    """Tags that a share of a cluster's rows have, the five most frequent."""
-    from pyspark.sql import Window as W
+COMMON = """
+WITH t AS (SELECT label AS tag, vec_id AS id, [p_type || ' ; ' || split_part(p_name, ' ', 1) || ',' || CASE WHEN vec_id % 2 = 0 THEN upper(split_part(p_name, ' ', 2)) ELSE split_part(p_name, ' ', 2) END, CASE p_size % 3 WHEN 0 THEN 'Even' WHEN 1 THEN 'EVEN;;odd ' END, CASE WHEN p_size % 4 = 0 THEN ' Deep , ' || lower(p_type) END] AS tags FROM embeddings JOIN part ON p_partkey = vec_id),
+x AS (SELECT tag, id, unnest(tags) AS v, generate_subscripts(tags, 1) AS i FROM t), p AS (SELECT tag, id, i, unnest(string_split_regex(v, '[;,]')) AS part, generate_subscripts(string_split_regex(v, '[;,]'), 1) AS j FROM x WHERE v IS NOT NULL),
+n AS (SELECT tag, lower(trim(part)) AS folded, CAST(count(*) AS BIGINT) AS n, arg_min(trim(part), (id, i, j)) AS value FROM p WHERE trim(part) <> '' GROUP BY 1, 2),
+k AS (SELECT n.*, row_number() OVER (PARTITION BY tag ORDER BY n DESC, folded) AS k FROM n JOIN (SELECT tag, count(*) AS size FROM t GROUP BY tag) USING (tag) WHERE n >= greatest(1, ceil(size * CAST(0.2 AS DOUBLE))))
+SELECT tag, value, n FROM k WHERE k <= 5
+"""
 
-    x = t.features.join(t.parts.select("id", F.col("title").alias("value")), "id").withColumn("size", F.count("*").over(W.partitionBy("tag")))
-    n = x.groupBy("tag", "value").agg(F.count("*").alias("n"), F.max("size").alias("size")).where(F.col("n") >= F.greatest(F.lit(1), F.ceil(F.col("size") * 0.02)))
-    return n.withColumn("k", F.row_number().over(W.partitionBy("tag").orderBy(F.desc("n"), "value"))).where("k <= 5").select("tag", "value", "n")
+
+@query(COMMON)
+def common_tags(t: Tables) -> DataFrame:
+    """The tag values that a fifth of a cluster's rows have; lists are built out of the part table, with both separators and in both cases."""
+    size, word = F.col("p_size"), lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    second = F.when(F.col("p_partkey") % 2 == 0, F.upper(word(2))).otherwise(word(2))
+    tags = F.array(F.concat("p_type", F.lit(" ; "), word(1), F.lit(","), second), F.when(size % 3 == 0, "Even").when(size % 3 == 1, "EVEN;;odd "), F.when(size % 4 == 0, F.concat(F.lit(" Deep , "), F.lower("p_type"))))
+    rows = t.features.select("id", "tag").join(t.raw("part").select(F.col("p_partkey").alias("id"), tags.alias("tags")), "id")
+    return summaries.common_tags(rows)

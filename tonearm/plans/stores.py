@@ -79,12 +79,17 @@ def best_thumbnails(t: Tables) -> DataFrame:
     return t.tracks.select("id", C.best_thumbnail(F.array(shot("a", i % 7, i % 5), shot("b", i % 5, i % 7), shot("c", F.lit(3), F.lit(None)), shot("d", i % 4, F.lit(6)))).alias("url"))
 
 
-@query("SELECT id, CASE WHEN id % 4 <> 0 THEN isrc END AS isrc FROM r_tracks")
+@query("SELECT id, CASE id % 6 WHEN 0 THEN NULL WHEN 4 THEN 'A\"B\\C ' || isrc WHEN 5 THEN 'é' || title ELSE isrc END AS isrc FROM r_tracks")
 def nested_codes(t: Tables) -> DataFrame:
-    """A code found at any depth of a payload, under either of its names."""
-    i = F.col("id")
-    inner = F.when(i % 4 == 0, F.to_json(F.struct("title"))).when(i % 2 == 0, F.to_json(F.struct(F.struct(F.array(F.struct(F.col("isrc").alias("ISRC"))).alias("list")).alias("deep")))).otherwise(F.to_json(F.struct(F.lit(1).alias("n"), F.col("isrc").alias("internationalStandardRecordingCode"))))
-    return t.tracks.select("id", C.recursive_code(inner).alias("isrc"))
+    """A code found at any depth of a payload, under either of its names: behind other values, with escapes, after a value that is no text, and given twice."""
+    i, code = F.col("id"), F.col("isrc")
+    deep = F.to_json(F.struct(F.struct(F.array(F.struct(F.lit("").alias("isrc"), code.alias("ISRC"))).alias("list")).alias("deep"), F.lit("late").alias("isrc")))
+    escaped = F.to_json(F.struct(F.lit(7).alias("isrc"), F.struct(F.concat(F.lit('A"B\\C '), code).alias("Isrc")).alias("z")))
+    coded = F.concat(F.lit('{"\\u0069src": "\\u00e9'), "title", F.lit('", "isrc2": "x"}'))
+    twice = F.concat(F.lit('{"isrc": "first", "a": {"isrc": "between"}, "isrc": "'), code, F.lit('"}'))
+    plain = F.to_json(F.struct(F.lit(1).alias("n"), code.alias("internationalStandardRecordingCode")))
+    payload = F.when(i % 6 == 0, F.to_json(F.struct("title"))).when(i % 6 == 2, deep).when(i % 6 == 3, twice).when(i % 6 == 4, escaped).when(i % 6 == 5, coded).otherwise(plain)
+    return t.tracks.select("id", C.recursive_code(payload).alias("isrc"))
 
 
 # Snapshot writes.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -88,6 +89,37 @@ def listing(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length", "modificationTime")
 
 
+#: The names, in lower case, that a code goes by in payloads.
+CODE_NAMES = ("isrc", "internationalstandardrecordingcode")
+
+
+def nested_code(payload: str | None) -> str | None:
+    """The first non-empty text under a code's name, in any case and at any depth, in the order of the document: a name's own value comes before what is nested in it.
+
+    Escapes are read as JSON has them; of a name given twice the last value counts, at the first one's place. A text that is no JSON, or nested deeper than the parser goes, has no code.
+    """
+    try:
+        waiting = [json.loads(payload)] if payload else []
+    except (ValueError, RecursionError):
+        return None
+    while waiting:
+        held = waiting.pop()
+        if isinstance(held, tuple):
+            name, held = held
+            if name.lower() in CODE_NAMES and isinstance(held, str) and held:
+                return held
+        if isinstance(held, dict):
+            waiting.extend(reversed(held.items()))
+        elif isinstance(held, list):
+            waiting.extend(reversed(held))
+    return None
+
+
 def recursive_code(x: Column) -> Column:
-    """The first code in a JSON text, at any depth, under isrc or internationalStandardRecordingCode."""
-    return F.nullif(F.regexp_extract(x, r'(?i)"(?:isrc|internationalstandardrecordingcode)"\s*:\s*"([^"]+)"', 1), F.lit(""))
+    """:func:`nested_code` of each JSON text, in Arrow batches: no SQL function keeps the order of a document's names."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(nested_code, na_action="ignore")
+
+    return run(x)
