@@ -21,7 +21,7 @@ def columns():
         0: [rng.gauss(0, 1) for _ in range(700)],
         1: [5.0] * 600,
         2: [1.0] * 400 + [2.0] * 300 + [rng.random() for _ in range(50)],
-        3: [10.0 ** rng.randrange(-300, 300) * rng.choice([-1, 1]) for _ in range(500)],
+        3: [10.0 ** rng.randrange(-40, 40) * rng.choice([-1, 1]) for _ in range(500)],
         4: [rng.random() for _ in range(300)] + [1e300, -1e300],
         5: [3.0],
         6: [-0.0, 0.0, 1.0],
@@ -93,3 +93,17 @@ def test_common_tags(spark):
         often = [(t, c) for t, c in sorted(n.items(), key=lambda x: (-x[1], x[0])) if c >= max(1, math.ceil(len(own) * 0.2))][:5]
         want |= {(g, shown[t], c) for t, c in often}
     assert got == want and any(v == "House" or v == "HOUSE" for _, v, _ in want)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_names_by_rounds_are_those_of_taking_turns(spark, seed):
+    """Lists that overlap in any case, equal lists, and options that look like numbered ones."""
+    from tonearm.operators.cluster import unique_names
+
+    rng = random.Random(seed)
+    pool = ["Deep", "deep", "Deep 2", "DEEP 3", "Peak", "Peak / Low", "Set", "set 2", "Set 4"]
+    lists = [rng.sample(pool, rng.randrange(1, 4)) for _ in range(12)] + [["Set"]] * (20 * seed) + [["Peak", "Set"]] * 8
+    rng.shuffle(lists)
+    rows = [(f"{k:04d}", options) for k, options in enumerate(lists)]
+    got = {r.path: r.name for r in summaries.unique_by_rounds(spark.createDataFrame(rows, "path string, options array<string>")).collect()}
+    assert [got[k] for k, _ in rows] == unique_names([o for _, o in rows])

@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.functions import numeric as N
-from tonearm.operators.cluster import robust_limits, unique_names
+from tonearm.operators.cluster import robust_limits
+from tonearm.storage import materialize
 
 #: Descriptor keys in vector order.
 SCALARS = ("tempo_bpm", "onset_strength_mean", "onset_strength_std", "rms_mean", "rms_std", "spectral_centroid_mean", "spectral_centroid_std", "spectral_bandwidth_mean", "spectral_rolloff_mean", "spectral_flatness_mean", "zero_crossing_rate_mean")
@@ -146,16 +147,35 @@ def cluster_summaries(rows: DataFrame, by: str = "path") -> DataFrame:
     return x.select(by, "n", "bpm", label.alias("tempo"), F.bround("score", 3).alias("score"), "band", "traits", role(F.col("bpm"), F.col("score"), F.lit(None).cast("double"), F.col("traits"), F.col("band")).alias("role"))
 
 
+def unique_by_rounds(rows: DataFrame, by: str = "path") -> DataFrame:
+    """(by, name) of rows (by, options): in order of ``by`` each takes its first option that none before it took, blind to case; without one its last with the smallest free number from 2 on.
+
+    In rounds: each row proposes, the smallest ``by`` holds the name, all others go on in their lists, which the numbers continue. Since every name prefers the same rows, the outcome is that of
+    taking turns. Of rows with one list that lose together each later one goes a place further, as those before it take the places between; so equal lists need
+    no more rounds than different ones. Rows travel, none through the driver.
+    """
+    fallback = F.element_at("options", -1)
+    name = F.when(F.col("at") < F.size("options"), F.get("options", F.col("at"))).otherwise(F.concat(fallback, F.lit(" "), (F.col("at") - F.size("options") + 2).cast("string")))
+    state = rows.select(by, "options", F.lit(0).alias("at"))
+    while True:
+        asked = state.withColumn("name", name).withColumn("key", F.replace(F.lower("name"), F.lit("ß"), F.lit("ss")))
+        first = W.partitionBy("key").orderBy(by)
+        alike = W.partitionBy("key", "options").orderBy(by)
+        ranked = asked.withColumn("first", F.first("options").over(first)).withColumn("r", F.row_number().over(first)).withColumn("k", F.row_number().over(alike))
+        further = F.when(F.col("r") == 1, 0).when(F.col("first") == F.col("options"), F.col("k") - 1).otherwise(F.col("k"))
+        judged = materialize(ranked.select(by, "options", "name", F.col("at"), further.cast("int").alias("further")), "names")
+        if judged.where("further > 0").isEmpty():
+            return judged.select(by, "name")
+        state = judged.select(by, "options", (F.col("at") + F.col("further")).alias("at"))
+
+
 def named(summaries: DataFrame, by: str = "path", fallback: str = "Sonic Set") -> DataFrame:
-    """(by, name): names unique in the whole tree, blind to case. Uniqueness is sequential; there is one small row per playlist, not per track."""
-    rows = sorted(summaries.collect(), key=lambda r: r[by])
-    options = []
-    for r in rows:
-        traits = " ".join(r.traits[:2]) if r.traits else None
-        parts = [(r.role, traits), (r.role, r.tempo), (r.tempo, r.band), (r.role, r.tempo, traits), (r.tempo,), (r.band,)]
-        options.append([*[" / ".join(p) for p in parts if all(p)], fallback])
-    schema = f"{by} string, name string"
-    return summaries.sparkSession.createDataFrame([(r[by], n) for r, n in zip(rows, unique_names(options))], schema)
+    """(by, name): names unique in the whole tree, blind to case, out of each cluster's role, tempo, traits and band."""
+    traits = F.nullif(F.array_join(F.slice("traits", 1, 2), " "), F.lit(""))
+    parts = [("role", traits), ("role", "tempo"), ("tempo", "band"), ("role", "tempo", traits), ("tempo",), ("band",)]
+    column = lambda p: F.col(p) if isinstance(p, str) else p
+    options = [F.when(reduce(lambda a, b: a & b, [column(p).isNotNull() & (column(p) != "") for p in each]), F.concat_ws(" / ", *map(column, each))) for each in parts]
+    return unique_by_rounds(summaries.select(by, F.filter(F.array(*options, F.lit(fallback)), lambda o: o.isNotNull()).alias("options")), by)
 
 
 #: Share of a cluster's rows that a common tag occurs in, and how many are shown.

@@ -29,7 +29,7 @@ def representatives(t: Tables) -> DataFrame:
 def separation_ratio(t: Tables) -> DataFrame:
     """Least gap between centroids over the mean distance to them; pairs of centroids only, a few dozen rows."""
     c = C.centroids(t.features, "tag")
-    inner = t.features.join(F.broadcast(c), "tag").groupBy("tag").agg(F.avg(distance(F.col("vector"), F.col("centroid"))).alias("d")).agg(F.avg("d").alias("intra"))
+    inner = t.features.join(c, "tag").groupBy("tag").agg(F.avg(distance(F.col("vector"), F.col("centroid"))).alias("d")).agg(F.avg("d").alias("intra"))
     other = c.select(F.col("tag").alias("other"), F.col("centroid").alias("oc"))
     gap = c.join(other, F.col("tag") < F.col("other")).agg(F.min(distance(F.col("centroid"), F.col("oc"))).alias("gap"))
     return inner.join(gap, F.lit(True)).select(F.round(F.col("gap") / F.greatest("intra", F.lit(1e-9)), 6).alias("separation"))

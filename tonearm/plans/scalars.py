@@ -138,7 +138,7 @@ def distance_to_centroid(t: Tables) -> DataFrame:
     from tonearm.operators.cluster import centroids
 
     c = centroids(t.features, "tag")
-    return t.features.join(F.broadcast(c), "tag").select("id", "tag", F.round(N.distance(F.col("vector"), F.col("centroid")), 6).alias("distance"))
+    return t.features.join(c, "tag").select("id", "tag", F.round(N.distance(F.col("vector"), F.col("centroid")), 6).alias("distance"))
 
 
 @query("SELECT id, CAST((CAST(id AS HUGEINT) * 1103515245 + 7 * 12345) % 4294967296 AS BIGINT) AS rank FROM r_tracks")
