@@ -82,14 +82,15 @@ def test_provider_json(spark):
     assert one(spark, '{"a":{"ISRC":"US1"}}', K.recursive_code) == "US1" and one(spark, "{}", K.recursive_code) is None
 
 
-def test_failing_lookups_are_absent(spark):
+def test_failing_lookups_are_rows_of_their_own(spark):
     def lookup(i):
         if i == "bad":
             raise OSError("down")
         return {"a": "X"}.get(i)
 
     ids = spark.createDataFrame([("a",), ("a",), ("bad",), ("none",)], "id string")
-    assert [tuple(r) for r in K.looked_up(ids, lookup).collect()] == [("a", "X")]
+    found = {r.id: (r.isrc, r.error) for r in K.looked_up(ids, lookup).collect()}
+    assert found.pop("a") == ("X", None) and all(value is None and error for value, error in found.values())
 
 
 ENTRIES = "playlist_id long, position long, path string, artist string, title string, duration_ms long"

@@ -113,3 +113,20 @@ def test_chunks(spark):
 
     got = list(chunks(spark.range(0, 25, 1, 3), 10))
     assert [len(x) for x in got] == [10, 10, 5] and sorted(r.id for x in got for r in x) == list(range(25))
+
+
+def test_stages_stop_at_the_first_failure(spark):
+    from pyspark.sql import functions as F
+
+    from tonearm.operators.reducers import staged_outcomes, staged_report
+
+    rows = spark.createDataFrame([(1, True, True, True), (2, True, False, True), (3, False, None, True), (4, None, False, None)], "id long, a boolean, b boolean, c boolean")
+    yes = F.lit(True)
+    stages = [("one", yes, F.col("a")), ("two", F.col("b").isNotNull(), F.col("b")), ("three", F.col("b"), F.col("c"))]
+    got = {i: [] for i in range(1, 5)}
+    for r in sorted(staged_outcomes(rows, stages).collect(), key=lambda r: (r.id, r.place)):
+        got[r.id].append(r.status)
+    assert got == {1: ["succeeded"] * 3, 2: ["succeeded", "failed", "skipped"], 3: ["failed", "skipped", "skipped"], 4: ["failed", "skipped", "skipped"]}
+    none = staged_outcomes(rows.where("id = 1").withColumn("b", F.lit(None).cast("boolean")), stages)
+    assert [r.status for r in sorted(none.collect(), key=lambda r: r.place)] == ["succeeded", "not_applicable", "not_applicable"]
+    assert {(r.stage, r.status): r.n for r in staged_report(rows, stages).collect()}[("one", "failed")] == 2

@@ -153,3 +153,34 @@ def test_suppression_comes_before_the_caps(spark):
     assert sum(method == "tags" and a < 30 for a, _, _, method in got) == 5 and not {(1, 2), (1, 5), (2, 5), (1, 6), (3, 4)} & {x[:2] for x in got}
     assert (20, 22, "equivalent", "isrc") in got and (21, 22, "equivalent", "tags") not in got and (30, 31) not in {x[:2] for x in got}
     assert (30, 32, "related", "tags") in got
+
+
+def test_fuzzy_pairs(spark):
+    """Every pair of a block of the whole table that is near, with its score and what speaks against it."""
+    t = Tables(spark, SF)
+    f = {i: x for i, x in facts(t.tracks).items() if x.title and x.artist}
+    blocks = defaultdict(list)
+    for i, x in sorted(f.items()):
+        blocks[x.artist, x.key.split(" ")[0]].append(i)
+    wanted = [(a, b) for ids in blocks.values() for a, b in itertools.combinations(ids, 2) if not (f[a].code and f[a].code == f[b].code) and (f[a].key == f[b].key or S.token_sort_ratio(f[a].key, f[b].key) >= 90)]
+    score = scores(t.tracks, t.tracks, wanted)
+    want = set()
+    for a, b in wanted:
+        x, y = f[a], f[b]
+        late = x.duration_ms is not None and y.duration_ms is not None and abs(x.duration_ms - y.duration_ms) > 10_000
+        album = x.album is not None and y.album is not None and S.token_sort_ratio(x.album, y.album) < 98
+        want.add((a, b, round(score[a, b], 9), x.versions != y.versions, late, album))
+    got = {(r.lower_id, r.higher_id, round(r.score, 9), r.version_conflict, r.duration_conflict, r.album_conflict) for r in entities.fuzzy_pairs(t).collect()}
+    assert got == want and got
+
+
+def test_near_titles_of_all_lengths(spark):
+    """Keys around the limit of the ratio, of one block: the length bound drops none that the ratio keeps."""
+    import random
+
+    rng = random.Random(2)
+    titles = ["night " + "".join(rng.choice("abc") for _ in range(rng.choice([8, 9, 10, 11, 20]))) for _ in range(60)] + ["night abcabcabca", "night abcabcabcab", "night abcabcabcabc", "night"]
+    rows = spark.createDataFrame([(i, x, "June", None, None, None) for i, x in enumerate(titles)], TRACK)
+    f = facts(rows)
+    want = {(a, b) for a, b in itertools.combinations(sorted(f), 2) if f[a].key == f[b].key or S.token_sort_ratio(f[a].key, f[b].key) >= 90}
+    assert {(r.lower_id, r.higher_id) for r in E.near_titles(rows).collect()} == want and len(want) > 5

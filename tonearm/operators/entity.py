@@ -147,6 +147,9 @@ def near_titles(tracks: DataFrame) -> DataFrame:
     rows = rows.withColumn("key", X.title_key(F.col("title"))).withColumn("block", F.split_part("key", F.lit(" "), F.lit(1)))
     keys = rows.select("artist", "block", "key").distinct()
     near = keys.withColumnRenamed("key", "a_key").join(keys.withColumnRenamed("key", "b_key"), ["artist", "block"]).where("a_key <= b_key")
+    # A common part is no longer than the shorter key, so keys of too unlike lengths need no look; the ratio itself is Python's.
+    size = lambda k: F.length(F.array_join(F.filter(F.split(F.col(k), r"\s+"), lambda w: w != ""), " "))
+    near = near.where((F.col("a_key") == F.col("b_key")) | (2 * F.least(size("a_key"), size("b_key")) >= (size("a_key") + size("b_key")) * (NEAR_TITLE_AT - 1e-9)))
     near = near.where((F.col("a_key") == F.col("b_key")) | (S.token_sort(F.col("a_key"), F.col("b_key")) >= NEAR_TITLE_AT))
     side = lambda p: rows.select("artist", F.col("key").alias(f"{p}_key"), F.col("id").alias(p), F.col("code").alias(f"{p}_code"))
     pairs = near.join(side("a"), ["artist", "a_key"]).join(side("b"), ["artist", "b_key"]).where((F.col("a_key") < F.col("b_key")) | (F.col("a") < F.col("b")))

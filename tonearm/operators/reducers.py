@@ -5,7 +5,7 @@ Commands of one batch are applied in order of their number; where two touch one
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -153,10 +153,20 @@ def rematched(suggested: DataFrame, found: DataFrame) -> DataFrame:
     return kept.select("local_id", "track_id", "status").unionByName(found.select("local_id", "track_id", F.lit("pending").alias("status")))
 
 
-def staged_report(stages: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(stage, n): how many rows each named stage has, in one pass each."""
-    counts = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, d in stages]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.unionByName(c)
-    return out
+def staged_outcomes(rows: DataFrame, stages: list[tuple[str, Column, Column]], key: str = "id") -> DataFrame:
+    """(key, place, stage, status) of each row and each of ``stages`` (name, whether it applies, whether it succeeds), in order.
+
+    A stage succeeded, failed, or was not_applicable; after the first one that failed all others are skipped. A test that is null does not hold.
+    """
+    sure = lambda c: F.coalesce(c, F.lit(False))
+    failed, cells = F.lit(False), []
+    for place, (name, applies, succeeds) in enumerate(stages):
+        status = F.when(failed, "skipped").when(~sure(applies), "not_applicable").when(sure(succeeds), "succeeded").otherwise("failed")
+        cells.append(F.struct(F.lit(place).alias("place"), F.lit(name).alias("stage"), status.alias("status")))
+        failed = failed | (sure(applies) & ~sure(succeeds))
+    return rows.select(key, F.explode(F.array(*cells)).alias("s")).select(key, "s.*")
+
+
+def staged_report(rows: DataFrame, stages: list[tuple[str, Column, Column]], key: str = "id") -> DataFrame:
+    """(place, stage, status, n): how many rows each stage left in each status, in one pass."""
+    return staged_outcomes(rows, stages, key).groupBy("place", "stage", "status").agg(F.count("*").alias("n"))

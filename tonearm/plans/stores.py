@@ -60,7 +60,7 @@ def listed_tracks(t: Tables) -> DataFrame:
     return C.provider_tracks(held.select("playlist_id", F.to_json(F.struct("tracks")).alias("payload")))
 
 
-@query("SELECT CAST(id AS VARCHAR) AS id, 'USX' || CAST(id AS VARCHAR) AS isrc FROM r_tracks WHERE id % 3 = 2")
+@query("SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 3 = 2 THEN 'USX' || CAST(id AS VARCHAR) END AS isrc, CASE WHEN id % 3 = 0 THEN 'OSError: unreachable' END AS error FROM r_tracks WHERE id % 3 <> 1")
 def enriched_codes(t: Tables) -> DataFrame:
     """One call per track, of which a third fail and a third answer nothing."""
 
@@ -308,10 +308,23 @@ def rematch_by_code(t: Tables) -> DataFrame:
     return D.rematched(t.suggested.select("local_id", "track_id", "status"), found)
 
 
-@query("SELECT 'tracks' AS stage, count(*) AS n FROM r_tracks UNION ALL SELECT 'listed', count(DISTINCT track_id) FROM r_membership UNION ALL SELECT 'suggested', count(DISTINCT track_id) FROM r_suggested UNION ALL SELECT 'linked', count(DISTINCT track_id) FROM r_final")
+STAGED = f"""
+WITH x AS (SELECT t.id, {CODE} IS NOT NULL AS coded, EXISTS (SELECT 1 FROM r_membership m WHERE m.track_id = t.id) AS listed, EXISTS (SELECT 1 FROM r_suggested s WHERE s.track_id = t.id) AS suggested, EXISTS (SELECT 1 FROM r_suggested s WHERE s.track_id = t.id AND s.status <> 'rejected') AS alive, EXISTS (SELECT 1 FROM r_final f WHERE f.track_id = t.id) AS linked FROM r_tracks t),
+s AS (SELECT *, CASE WHEN coded THEN 'succeeded' ELSE 'failed' END AS a FROM x), u AS (SELECT *, CASE WHEN a = 'failed' THEN 'skipped' WHEN listed THEN 'succeeded' ELSE 'failed' END AS b FROM s),
+v AS (SELECT *, CASE WHEN b IN ('failed', 'skipped') THEN 'skipped' WHEN NOT suggested THEN 'not_applicable' WHEN alive THEN 'succeeded' ELSE 'failed' END AS c FROM u),
+w AS (SELECT *, CASE WHEN c IN ('failed', 'skipped') THEN 'skipped' WHEN NOT alive THEN 'not_applicable' WHEN linked THEN 'succeeded' ELSE 'failed' END AS d FROM v)
+SELECT place, stage, status, CAST(count(*) AS BIGINT) AS n FROM (SELECT 0 AS place, 'code' AS stage, a AS status FROM w UNION ALL SELECT 1, 'listing', b FROM w UNION ALL SELECT 2, 'suggestion', c FROM w UNION ALL SELECT 3, 'link', d FROM w) GROUP BY 1, 2, 3
+"""
+
+
+@query(STAGED)
 def workflow_report(t: Tables) -> DataFrame:
-    """How many tracks each stage of the workflow has."""
-    return D.staged_report([("tracks", t.tracks.select("id")), ("listed", t.membership.select("track_id").distinct()), ("suggested", t.suggested.select("track_id").distinct()), ("linked", t.final.select("track_id").distinct())])
+    """Each track through four stages: a valid code, a place on a playlist, a suggestion that was not rejected where there is any, a link where one is alive; it stops at its first failure."""
+    mark = lambda rows, name: rows.select(F.col("track_id").alias("id")).distinct().withColumn(name, F.lit(True))
+    found = t.suggested.groupBy(F.col("track_id").alias("id")).agg(F.lit(True).alias("suggested"), F.max((F.col("status") != "rejected").cast("int")).alias("alive"))
+    x = t.tracks.select("id", X.valid_isrc(F.col("isrc")).isNotNull().alias("coded")).join(mark(t.membership, "listed"), "id", "left").join(found, "id", "left").join(mark(t.final, "linked"), "id", "left")
+    alive, yes = F.col("alive") == 1, F.lit(True)
+    return D.staged_report(x, [("code", yes, F.col("coded")), ("listing", yes, F.col("listed")), ("suggestion", F.col("suggested"), alive), ("link", alive, F.col("linked"))])
 
 
 @query(f"WITH c AS (SELECT {CODE} AS code, min(id) AS track_id FROM r_tracks GROUP BY 1), m AS (SELECT l.id AS local_id, c.track_id, 'isrc' AS method FROM (SELECT id, {CODE} AS code FROM r_local) l JOIN c ON c.code = l.code WHERE NOT EXISTS (SELECT 1 FROM r_suggested s WHERE s.status = 'rejected' AND s.local_id = l.id AND s.track_id = c.track_id)) SELECT local_id, track_id, method FROM m UNION ALL SELECT l.id, min(t.id), 'same' FROM r_local l JOIN r_tracks t ON t.artist = l.artist AND t.album = l.album WHERE l.id NOT IN (SELECT local_id FROM m) GROUP BY l.id")

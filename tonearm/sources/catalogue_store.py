@@ -67,21 +67,22 @@ def best_thumbnail(x: Column) -> Column:
 
 
 def looked_up(ids: DataFrame, lookup: Callable[[str], str | None], out: str = "isrc") -> DataFrame:
-    """(id, out) of one call per distinct id; an id whose call fails or answers nothing is absent."""
+    """(id, out, error) of one call per distinct id: an answer, or what the call that failed said; an id without an answer is absent. One failing id fails no other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for i in pdf["id"]:
+                value, error = None, None
                 try:
                     value = lookup(i)
-                except Exception:  # noqa: BLE001  one failing key must not fail the listing
-                    value = None
-                if value:
-                    rows.append((i, value))
-            yield pd.DataFrame(rows, columns=["id", out])
+                except Exception as e:  # noqa: BLE001  whatever a source raises becomes a row
+                    error = f"{type(e).__name__}: {e}"
+                if value or error:
+                    rows.append((i, value or None, error))
+            yield pd.DataFrame(rows, columns=["id", out, "error"])
 
-    return ids.select("id").distinct().mapInPandas(run, f"id string, {out} string")
+    return ids.select("id").distinct().mapInPandas(run, f"id string, {out} string, error string")
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:
