@@ -184,3 +184,40 @@ def test_near_titles_of_all_lengths(spark):
     f = facts(rows)
     want = {(a, b) for a, b in itertools.combinations(sorted(f), 2) if f[a].key == f[b].key or S.token_sort_ratio(f[a].key, f[b].key) >= 90}
     assert {(r.lower_id, r.higher_id) for r in E.near_titles(rows).collect()} == want and len(want) > 5
+
+
+def test_query_variants(spark):
+    """The searches of every track of the whole table, built one after the other."""
+    import re
+
+    from tonearm.plans import scalars
+
+    def plain(text):
+        return re.sub(r"\s+", " ", re.sub(r"[^\w\s']+", " ", text)).strip()
+
+    def distinct(texts):
+        seen, out = set(), []
+        for x in texts:
+            if x and x.lower() not in seen:
+                seen.add(x.lower())
+                out.append(x)
+        return out
+
+    def searches(artist, title, album):
+        artists = distinct([*map(plain, re.split(rf"\s*(?:{X.ARTIST_JOINTS})\s*", artist, flags=re.I)), plain(artist)])
+        without = re.sub(X.FEATURE_TO_END, "", re.sub(X.FEATURE_IN_BRACKETS, "", title, flags=re.I), flags=re.I)
+        bare = re.sub(X.QUERY_TO_END, "", re.sub(X.QUERY_IN_BRACKETS, "", without, flags=re.I), flags=re.I)
+        names = distinct([plain(title), plain(without), plain(bare)])
+        both = [plain(f"{a} {n}") for a in artists for n in names]
+        albums = [plain(f"{a} {album}") if album and plain(album) else "" for a in artists]
+        alone = [n for n in names if len(n) >= 4 and n.lower() not in X.GENERIC_TITLES]
+        return distinct([*both, *albums, *alone])[:12]
+
+    t = Tables(spark, SF)
+    got = {r.id: r.queries for r in scalars.query_variants(t).collect()}
+    want = {r.id: searches(r.artist, r.title, r.album) for r in scalars.titles(t).collect()}
+    assert got == want and max(map(len, want.values())) > 3
+    hard = [(1, "Intro", "A & B feat. C, D / E", None), (2, "It's (with X) [Remix] - Radio Edit", "Mixx and Match", ""), (3, "Ab", "x", "!!"), (4, "Song - feat. Y", "Y vs. Z", "Album")]
+    df = spark.createDataFrame(hard, "id long, title string, artist string, album string")
+    rows = {r.id: r.q for r in df.select("id", X.query_variants(df.artist, df.title, df.album).alias("q")).collect()}
+    assert rows == {i: searches(a, t_, al) for i, t_, a, al in hard}
