@@ -171,3 +171,25 @@ def test_sizes_and_shape():
     shape = C.projected_shape(96, 24, 8, 4, 2)
     assert shape == {"per_depth": {0: 1, 1: 4}, "min": 24, "median": 24.0, "max": 24}
     assert C.unique_names([["Fast", "Fast Bright"], ["fast", "Fast Bright"], ["FAST", "fast bright"]]) == ["Fast", "Fast Bright", "fast bright 2"]
+
+
+def test_equal_rows_are_numbered_in_several_ranges(spark):
+    """All rows tie in the order: numbers are still gapless, and no range holds most rows."""
+    from pyspark.sql import functions as F
+
+    from tonearm.operators import ranking
+
+    seen = []
+    keep = ranking.materialize
+
+    def counted(df, name):
+        out = keep(df, name)
+        seen.extend(r["count"] for r in out.groupBy("__range").count().collect())
+        return out
+
+    ranking.materialize = counted
+    try:
+        rows = ranking.numbered(spark.range(4000).withColumn("same", F.lit(1)), [F.col("same")], parts=4).collect()
+    finally:
+        ranking.materialize = keep
+    assert sorted(r.number for r in rows) == list(range(1, 4001)) and max(seen) < 2000

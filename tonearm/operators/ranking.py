@@ -17,10 +17,12 @@ def numbered(df: DataFrame, order: list[Column], name: str = "number", parts: in
     """
     spark = df.sparkSession
     n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = materialize(df.repartitionByRange(n, *order).withColumn("__range", F.spark_partition_id()), "numbered")
+    # Rows that are equal in the order are told apart by a hash of all they hold, so very many of them fill several ranges.
+    tie = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and kind != "variant"])
+    ranged = materialize(df.repartitionByRange(n, *order, tie).withColumn("__range", F.spark_partition_id()), "numbered")
     before, at = {}, 0
     for r in sorted(ranged.groupBy("__range").agg(F.count("*").alias("n")).collect()):
         before[r["__range"]], at = at, at + r.n
     offset = F.array(*[F.lit(before.get(k, 0)).cast("long") for k in range(max(before, default=0) + 1)])
-    own = F.row_number().over(W.partitionBy("__range").orderBy(*order))
+    own = F.row_number().over(W.partitionBy("__range").orderBy(*order, tie))
     return ranged.withColumn(name, own + F.get(offset, F.col("__range"))).drop("__range")
