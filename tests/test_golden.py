@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from tonearm.operators import cluster as C
+from tonearm.operators import cluster_features as CF
 from tonearm.operators import entity as E
 from tonearm.operators import graph as G
 from tonearm.operators import reducers as D
@@ -143,9 +144,9 @@ def test_tree_membership_and_order(spark):
     rows = [(i, [90.0 + i, (i % 5) / 10]) for i in range(32)]
     d = spark.createDataFrame(rows, "id long, vector array<double>")
     for method in ("ward", "kmeans"):
-        tree = C.playlist_tree(d, target=6, least=3, most_children=4, max_depth=2, method=method).collect()
+        tree = CF.playlist_tree(d, target=6, least=3, most_children=4, max_depth=2, method=method).collect()
         assert sorted(r.id for r in tree) == list(range(32)) and len({r.path for r in tree}) > 1
-    large = C.playlist_tree(d, target=6, least=3, most_children=4, max_depth=2, max_local=10).collect()
+    large = CF.playlist_tree(d, target=6, least=3, most_children=4, max_depth=2, max_leaves=10).collect()
     assert sorted(r.id for r in large) == list(range(32))
 
 

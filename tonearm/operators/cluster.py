@@ -1,7 +1,7 @@
 """Vector scaling, clustering, ordering and naming of playlist trees.
 
-Scaling and summaries are DataFrame aggregates. Splitting, ordering and the split search need all rows of one cluster at once and run
-per cluster in ``applyInPandas``, level by level, so clusters of a level work side by side.
+Scaling and summaries are DataFrame aggregates. The split search works on the rows of one cluster, or on what stands for them
+(``operators/cluster_features.py``, which grows the trees); orders need all rows of one cluster at once and run per cluster in ``applyInPandas``.
 """
 
 from __future__ import annotations
@@ -44,12 +44,16 @@ def pairwise(m: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s[:, None] + s[None] - 2 * m @ m.T, 0))
 
 
-def ward_labels(m: np.ndarray, k: int) -> np.ndarray:
-    """Agglomerative clustering by least growth of within-cluster variance, by nearest-neighbour chains; labels in order of first member."""
+def ward_merges(m: np.ndarray, weights: np.ndarray | None = None) -> list[tuple[float, int, int]]:
+    """(height, a, b) of agglomerative clustering by least growth of within-cluster variance, lowest first, by nearest-neighbour chains.
+
+    Row i stands for ``weights[i]`` rows (one, if none are given) at its place; a height is twice the growth of the sum of squares.
+    """
     n = len(m)
-    d = pairwise(m) ** 2
+    size = np.ones(n) if weights is None else weights.astype(float)
+    d = pairwise(m) ** 2 * (2 * size[:, None] * size[None] / (size[:, None] + size[None]))
     np.fill_diagonal(d, np.inf)
-    size, alive, merges, chain = np.ones(n), np.ones(n, bool), [], []
+    alive, merges, chain = np.ones(n, bool), [], []
     for _ in range(n - 1):
         if not chain:
             chain = [int(np.flatnonzero(alive)[0])]
@@ -62,30 +66,42 @@ def ward_labels(m: np.ndarray, k: int) -> np.ndarray:
                 break
             chain.append(best)
         a, b = chain.pop(), chain.pop()
-        merges.append((d[a, b], a, b))
+        merges.append((float(d[a, b]), a, b))
         total = size[a] + size[b] + size
         d[a] = ((size[a] + size) * d[a] + (size[b] + size) * d[b] - size * d[a, b]) / total
         d[:, a], d[a, a] = d[a], np.inf
         size[a] += size[b]
         alive[b] = False
+    return sorted(merges, key=lambda x: x[0])
+
+
+def cut(merges: list[tuple[float, int, int]], k: int) -> np.ndarray:
+    """Labels of the ``k`` clusters that all but the last merges leave, in order of first member."""
+    n = len(merges) + 1
     parent = list(range(n))
 
     def root(x: int) -> int:
         while parent[x] != x:
+            parent[x] = parent[parent[x]]
             x = parent[x]
         return x
 
-    for _, a, b in sorted(merges, key=lambda x: x[0])[: n - k]:
+    for _, a, b in merges[: n - k]:
         parent[root(b)] = root(a)
     return pd.factorize(np.array([root(i) for i in range(n)]))[0]
 
 
-def kmeans_labels(m: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndarray:
-    """Lloyd's rounds from a spread-out seeding."""
+def ward_labels(m: np.ndarray, k: int) -> np.ndarray:
+    return cut(ward_merges(m), k)
+
+
+def kmeans_labels(m: np.ndarray, k: int, seed: int, rounds: int = 50, weights: np.ndarray | None = None) -> np.ndarray:
+    """Lloyd's rounds from a spread-out seeding; row i stands for ``weights[i]`` rows."""
     rng = np.random.default_rng(seed)
+    w = np.ones(len(m)) if weights is None else weights.astype(float)
     picked = [int(rng.integers(len(m)))]
     for _ in range(1, k):
-        d = ((m[:, None] - m[picked][None]) ** 2).sum(2).min(1)
+        d = w * ((m[:, None] - m[picked][None]) ** 2).sum(2).min(1)
         picked.append(int(rng.choice(len(m), p=d / d.sum())) if d.sum() > 0 else int(rng.integers(len(m))))
     c = m[picked].copy()
     labels = np.zeros(len(m), int)
@@ -96,17 +112,21 @@ def kmeans_labels(m: np.ndarray, k: int, seed: int, rounds: int = 50) -> np.ndar
         labels = new
         for j in range(k):
             if (labels == j).any():
-                c[j] = m[labels == j].mean(0)
+                c[j] = np.average(m[labels == j], axis=0, weights=w[labels == j])
     return pd.factorize(labels)[0]
 
 
-def silhouette(m: np.ndarray, labels: np.ndarray) -> float:
+def silhouette(m: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, spread: np.ndarray | None = None) -> float:
+    """Mean silhouette. Where rows stand for several (``weights``) around them (``spread``, their mean squared distance), distances are root mean squares."""
     kinds = np.unique(labels)
-    if not 1 < len(kinds) < len(labels):
+    w = np.ones(len(m)) if weights is None else weights.astype(float)
+    if not 1 < len(kinds) < w.sum():
         return 0.0
-    d = pairwise(m)
-    sums = np.stack([d[:, labels == j].sum(1) for j in kinds], 1)
-    sizes = np.array([(labels == j).sum() for j in kinds])
+    v = np.zeros(len(m)) if spread is None else spread
+    d = np.sqrt(pairwise(m) ** 2 + v[:, None] + v[None])
+    np.fill_diagonal(d, np.sqrt(2 * v * w / np.maximum(w - 1, 1)) * (w - 1) / w)
+    sums = np.stack([(d * w)[:, labels == j].sum(1) for j in kinds], 1)
+    sizes = np.array([w[labels == j].sum() for j in kinds])
     own = np.searchsorted(kinds, labels)
     at = np.arange(len(m))
     inner = sums[at, own] / np.maximum(sizes[own] - 1, 1)
@@ -114,15 +134,17 @@ def silhouette(m: np.ndarray, labels: np.ndarray) -> float:
     other[at, own] = np.inf
     outer = other.min(1)
     s = np.where(sizes[own] > 1, (outer - inner) / np.maximum(np.maximum(inner, outer), 1e-12), 0)
-    return float(s.mean())
+    return float(np.average(s, weights=w))
 
 
-def separation(m: np.ndarray, labels: np.ndarray) -> float:
+def separation(m: np.ndarray, labels: np.ndarray, weights: np.ndarray | None = None, spread: np.ndarray | None = None) -> float:
     kinds = np.unique(labels)
     if len(kinds) < 2:
         return 0.0
-    c = np.stack([m[labels == j].mean(0) for j in kinds])
-    inner = np.mean([np.sqrt(((m[labels == j] - c[k]) ** 2).sum(1)).mean() for k, j in enumerate(kinds)])
+    w = np.ones(len(m)) if weights is None else weights.astype(float)
+    v = np.zeros(len(m)) if spread is None else spread
+    c = np.stack([np.average(m[labels == j], axis=0, weights=w[labels == j]) for j in kinds])
+    inner = np.mean([np.average(np.sqrt(((m[labels == j] - c[k]) ** 2).sum(1) + v[labels == j]), weights=w[labels == j]) for k, j in enumerate(kinds)])
     gaps = pairwise(c)[np.triu_indices(len(kinds), 1)]
     return 0.0 if gaps.min() <= 1e-9 else float(gaps.min() / max(inner, 1e-9))
 
@@ -131,19 +153,22 @@ def target_fit(sizes, target: int) -> float:
     return float(np.mean([max(0.0, 1 - abs(s - target) / target) for s in sizes])) if target > 0 and len(sizes) else 0.0
 
 
-def best_split(m: np.ndarray, target: int, least: int, most_children: int) -> np.ndarray | None:
+def best_split(m: np.ndarray, target: int, least: int, most_children: int, weights: np.ndarray | None = None, spread: np.ndarray | None = None) -> np.ndarray | None:
     """Labels of the best Ward split in 2 to ``most_children`` parts of at least ``least`` rows, or None if all are weak."""
     best = None
-    for k in range(2, min(most_children, len(m) // max(least, 1)) + 1):
-        labels = ward_labels(m, k)
-        sizes = np.bincount(labels)
+    w = np.ones(len(m)) if weights is None else weights.astype(float)
+    most = min(most_children, int(w.sum()) // max(least, 1), len(m))
+    merges = ward_merges(m, w) if most > 1 else []
+    for k in range(2, most + 1):
+        labels = cut(merges, k)
+        sizes = np.bincount(labels, weights=w)
         if len(sizes) != k or sizes.min() < least:
             continue
-        sil, sep = silhouette(m, labels), separation(m, labels)
+        sil, sep = silhouette(m, labels, w, spread), separation(m, labels, w, spread)
         score = max(0.0, (sil + 1) / 2) * 0.45 + (sep / (sep + 1) if sep > 0 else 0) * 0.2 + sizes.min() / sizes.max() * 0.15 + target_fit(sizes, target) * 0.2
         if best is None or score > best[0]:
             best = (score, sil, sep, labels)
-    if best is None or (best[1] < WEAK_SILHOUETTE and best[2] < WEAK_SEPARATION and len(m) < target * FORCE_RATIO):
+    if best is None or (best[1] < WEAK_SILHOUETTE and best[2] < WEAK_SEPARATION and w.sum() < target * FORCE_RATIO):
         return None
     return best[3]
 
@@ -196,58 +221,6 @@ def centre_out(rows: DataFrame, key: str) -> DataFrame:
     return far.withColumn("position", F.row_number().over(W.partitionBy(key).orderBy("distance", "id"))).drop("centroid")
 
 
-def _split_large(level: DataFrame, max_local: int, children: int, seed: int) -> DataFrame:
-    """Open clusters of more than ``max_local`` rows, split by distributed k-means; there are at most n / max_local of them."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    large = [r.path for r in level.where("open").groupBy("path").count().where(F.col("count") > max_local).select("path").collect()]
-    for path in large:
-        own = level.where(F.col("path") == path).withColumn("features", array_to_vector("vector"))
-        found = KMeans(k=children, seed=seed).fit(own).transform(own)
-        moved = found.select("id", "vector", F.concat("path", F.lit("-"), (F.col("prediction") + 1).cast("string")).alias("path"), (F.col("depth") + 1).alias("depth"), F.lit(True).alias("open"))
-        level = level.where(F.col("path") != path).unionByName(moved)
-    return level.checkpoint() if large else level
-
-
-def playlist_tree(rows: DataFrame, target: int = 24, least: int = 8, most_children: int = 4, max_depth: int = 3, seed: int = 7, method: str = "ward", max_local: int = 4000) -> DataFrame:
-    """(id, path, depth): the leaf of each row of (id, vector); ``path`` names the branch at each level.
-
-    A cluster over ``target`` and at least twice ``least`` is split while the tree is shallower than ``max_depth``; levels are checkpointed. Clusters of up
-    to ``max_local`` rows are split side by side, each in one task; larger ones by distributed k-means in levels of their own on top, which
-    do not count against ``max_depth``, so no task ever holds more than ``max_local`` rows or a distance matrix of them.
-    """
-    from tonearm.storage import shared_dir
-
-    shared_dir(rows.sparkSession)
-    schema = "id long, vector array<double>, path string, depth int, open boolean"
-    level = rows.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), F.lit("root").alias("path"), F.lit(0).alias("depth"), F.lit(True).alias("open"))
-    while True:
-        parts = level.select("path").distinct().count()
-        level = _split_large(level, max_local, most_children, seed)
-        if level.select("path").distinct().count() == parts:
-            break
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id", ignore_index=True)
-        m = np.stack(pdf["vector"].to_numpy())
-        labels = None
-        if target < len(pdf) <= max_local and len(pdf) >= 2 * least:
-            if method == "ward":
-                labels = best_split(m, target, least, most_children)
-            else:
-                k = max(2, min(most_children, round(len(pdf) / target), len(pdf) // least))
-                labels = kmeans_labels(m, k, seed)
-        if labels is None:
-            return pdf.assign(open=False)
-        return pdf.assign(path=pdf["path"] + [f"-{x + 1}" for x in labels], depth=pdf["depth"] + 1)
-
-    for _ in range(max_depth - 1):
-        moved = level.where("open").groupBy("path").applyInPandas(split, schema)
-        level = level.where("NOT open").unionByName(moved).checkpoint()
-    return level.select("id", "path", "depth")
-
-
 def ordered_leaves(rows: DataFrame, seed: int = 7, diversity: str = "balanced") -> DataFrame:
     """(path, id, position) of (path, id, vector, artist, album), each leaf in rolling order."""
 

@@ -70,7 +70,9 @@ def kmeans_clusters(t: Tables) -> DataFrame:
 @query()
 def playlist_tree(t: Tables) -> DataFrame:
     """Recursive Ward splits of all features."""
-    return C.playlist_tree(t.features.select("id", "vector"), target=24, least=8, most_children=4, max_depth=3)
+    from tonearm.operators.cluster_features import playlist_tree as grown
+
+    return grown(t.features.select("id", "vector"), target=24, least=8, most_children=4, max_depth=3)
 
 
 @query()
