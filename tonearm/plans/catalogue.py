@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tonearm.plans import clustering, commands, entities, graphs, reading, scalars, states, stores, views  # noqa: F401
+from tonearm.plans import clustering, commands, entities, graphs, providers, reading, scalars, states, stores, views  # noqa: F401
 from tonearm.plans.registry import QUERIES, SQL
 from tonearm.tables import Tables
 
