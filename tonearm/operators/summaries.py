@@ -148,25 +148,26 @@ def cluster_summaries(rows: DataFrame, by: str = "path") -> DataFrame:
 
 
 def unique_by_rounds(rows: DataFrame, by: str = "path") -> DataFrame:
-    """(by, name) of rows (by, options): in order of ``by`` each takes its first option that none before it took, blind to case; without one its last with the smallest free number from 2 on.
+    """(by, name) of rows (by, options): in order of ``by`` each takes its first option that none before it took, blind to case; without one ``base``, if there is such a column, or its last with the smallest free number from 2 on.
 
     In rounds: each row proposes, the smallest ``by`` holds the name, all others go on in their lists, which the numbers continue. Since every name prefers the same rows, the outcome is that of
     taking turns. Of rows with one list that lose together each later one goes a place further, as those before it take the places between; so equal lists need
     no more rounds than different ones. Rows travel, none through the driver.
     """
-    fallback = F.element_at("options", -1)
-    name = F.when(F.col("at") < F.size("options"), F.get("options", F.col("at"))).otherwise(F.concat(fallback, F.lit(" "), (F.col("at") - F.size("options") + 2).cast("string")))
-    state = rows.select(by, "options", F.lit(0).alias("at"))
+    base = "base" if "base" in rows.columns else F.element_at("options", -1).alias("base")
+    name = F.when(F.col("at") < F.size("options"), F.get("options", F.col("at"))).otherwise(F.concat("base", F.lit(" "), (F.col("at") - F.size("options") + 2).cast("string")))
+    state = rows.select(by, "options", base, F.lit(0).alias("at"))
     while True:
         asked = state.withColumn("name", name).withColumn("key", F.replace(F.lower("name"), F.lit("ß"), F.lit("ss")))
         first = W.partitionBy("key").orderBy(by)
-        alike = W.partitionBy("key", "options").orderBy(by)
-        ranked = asked.withColumn("first", F.first("options").over(first)).withColumn("r", F.row_number().over(first)).withColumn("k", F.row_number().over(alike))
-        further = F.when(F.col("r") == 1, 0).when(F.col("first") == F.col("options"), F.col("k") - 1).otherwise(F.col("k"))
-        judged = materialize(ranked.select(by, "options", "name", F.col("at"), further.cast("int").alias("further")), "names")
+        alike = W.partitionBy("key", "options", "base").orderBy(by)
+        lists = F.struct("options", "base")
+        ranked = asked.withColumn("first", F.first(lists).over(first)).withColumn("r", F.row_number().over(first)).withColumn("k", F.row_number().over(alike))
+        further = F.when(F.col("r") == 1, 0).when(F.col("first") == lists, F.col("k") - 1).otherwise(F.col("k"))
+        judged = materialize(ranked.select(by, "options", "base", "name", F.col("at"), further.cast("int").alias("further")), "names")
         if judged.where("further > 0").isEmpty():
             return judged.select(by, "name")
-        state = judged.select(by, "options", (F.col("at") + F.col("further")).alias("at"))
+        state = judged.select(by, "options", "base", (F.col("at") + F.col("further")).alias("at"))
 
 
 def named(summaries: DataFrame, by: str = "path", fallback: str = "Sonic Set") -> DataFrame:

@@ -142,6 +142,26 @@ def playlist_names(t: Tables) -> DataFrame:
     return named(cluster_summaries(described(t).withColumn("path", F.concat(F.lit("tag-"), F.col("tag").cast("string")))))
 
 
+@query()
+def utility_names(t: Tables) -> DataFrame:
+    """Names of a tree of two levels, labels and thirds of them, out of what tells siblings apart, tempo, energy, traits, style and role."""
+    from pyspark.sql import Window as W
+
+    from tonearm.operators.naming import strategy_names
+
+    rows = described(t).withColumn("root", F.concat(F.lit("tag-"), F.col("tag").cast("string")))
+    both = rows.select("id", "descriptors", F.explode(F.array(F.col("root"), F.concat("root", F.lit("-"), (F.col("id") % 3).cast("string")))).alias("path"))
+    s = summaries.cluster_summaries(both)
+    parent = F.when(F.col("path").rlike("^tag-[^-]+-"), F.regexp_extract("path", "^(tag-[^-]+)-", 1))
+    tree = s.withColumn("parent", parent).withColumn("depth", F.col("parent").isNotNull().cast("int"))
+    values = F.create_map(F.lit("tempo"), F.col("bpm").cast("double"), F.lit("energy"), F.col("score").cast("double"))
+    told = C.sibling_labels(tree.select(F.coalesce("parent", F.lit("")).alias("parent"), F.col("path").alias("child"), F.explode(values).alias("metric", "value")))
+    told = told.groupBy(F.col("child").alias("path")).agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "metric", "label"))), lambda x: x["label"]).alias("differentiators"))
+    styles = both.join(t.parts.select("id", F.initcap(F.get(F.split("album", " "), F.lit(0))).alias("style")), "id").groupBy("path", "style").count()
+    style = styles.withColumn("k", F.row_number().over(W.partitionBy("path").orderBy(F.desc("count"), "style"))).where("k = 1").select("path", "style")
+    return strategy_names(tree.join(told, "path", "left").join(style, "path", "left"))
+
+
 COMMON = """
 WITH t AS (SELECT label AS tag, vec_id AS id, [p_type || ' ; ' || split_part(p_name, ' ', 1) || ',' || CASE WHEN vec_id % 2 = 0 THEN upper(split_part(p_name, ' ', 2)) ELSE split_part(p_name, ' ', 2) END, CASE p_size % 3 WHEN 0 THEN 'Even' WHEN 1 THEN 'EVEN;;odd ' END, CASE WHEN p_size % 4 = 0 THEN ' Deep , ' || lower(p_type) END] AS tags FROM embeddings JOIN part ON p_partkey = vec_id),
 x AS (SELECT tag, id, unnest(tags) AS v, generate_subscripts(tags, 1) AS i FROM t), p AS (SELECT tag, id, i, unnest(string_split_regex(v, '[;,]')) AS part, generate_subscripts(string_split_regex(v, '[;,]'), 1) AS j FROM x WHERE v IS NOT NULL),
