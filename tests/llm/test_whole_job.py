@@ -139,3 +139,29 @@ def test_damaged_archives(spark, tmp_path, sent):
             assert record.endswith(block + b"\r\n\r\n") and {b"warc-record-id", b"warc-date", b"warc-type", b"content-length"} <= set(named)
             kinds.append(named[b"warc-type"])
     assert kinds.count(b"warcinfo") == len(files) and kinds.count(b"metadata") == 1
+
+
+def test_near_fingerprints_propose_pairs_without_bands(spark, monkeypatch):
+    """With no band in common, texts whose fingerprints are within three bits are still found, and those beyond are the bands' part."""
+    import random
+
+    import numpy as np
+
+    from tonearm.llm import near_copies
+
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for _ in range(12):
+        base = words(400)
+        texts += [" ".join(base), " ".join(base[:-1] + ["other"]), " ".join(words(400))]
+    sets = [near_copies.shingle_set(t.encode()) for t in texts]
+    prints = np.array([near_copies.fingerprint(s) for s in sets])
+    assert [int(p) for p in prints[:2]] == [int(sum(1 << k for k in range(64) if sum(int(h) >> k & 1 for h in s) * 2 > len(s)) + (1 << 63)) % (1 << 64) - (1 << 63) for s in sets[:2]]
+    nodes = spark.createDataFrame([(i, len(s), int(p)) for i, (s, p) in enumerate(zip(sets, prints))], "sig long, n int, fp long")
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if int(np.bitwise_count((prints[i] ^ prints[j]).view(np.uint64))) <= near_copies.RADIUS}
+    assert {tuple(r) for r in near_copies.near_fingerprints(nodes).collect()} == want and len(want) >= 8
+    monkeypatch.setattr(near_copies, "bands", lambda hashes: np.empty(0, np.int64))
+    made = near_copies.groups(spark.createDataFrame(list(enumerate(texts)), "id long, text string"), "id", "text")
+    got = {r.id: r.component_id for r in made.collect()}
+    assert all(got[i] == got[j] for i, j in want)

@@ -1,6 +1,6 @@
-"""Near copies by their five-word shingles: MinHash bands propose pairs, exact Jaccard similarity decides.
+"""Near copies by their five-word shingles: SimHash fingerprints under multi-index hashing and MinHash bands propose pairs, exact Jaccard similarity decides.
 
-A pair of similarity 0.8 shares one of the 24 bands of five minima with a chance above 0.9999 (a SimHash radius that holds such pairs, 11 of 64 bits,
+Fingerprints of 64 bits that differ in at most RADIUS bits are found whole, through segments and Hamming balls, with their full distance checked. Bands add the pairs beyond: one of similarity 0.8 shares one of the 24 bands of five minima with a chance above 0.9999 (a SimHash radius that holds such pairs, 11 of 64 bits,
 would make every segment value common and the candidates quadratic). Texts of equal shingle sets are one node. Each bucket first
 meets its most central node only, the one whose buckets are the fullest, so a group around a common original costs linear work. What this leaves apart in a bucket
 is compared in cells: blocks of the nodes outside the bucket's largest component against blocks of all its nodes, each pair of blocks within a task, which returns no more
@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tonearm.llm.simhash import hamming_links
 from tonearm.llm.simhash_core import shingles
 from tonearm.llm.worker import tidy
 from tonearm.operators.components import connected_components
 from tonearm.storage import fresh_path, materialize, remove
 
 WIDTH, BANDS, ROWS = 5, 24, 5
+#: Bits that fingerprints may differ in, and segments that they are looked up by.
+RADIUS, SEGMENTS = 3, 2
 #: Nodes of a block, and shingles that a task compares at a time.
 BLOCK, COLUMNS = 256, 8192
 _rng = np.random.default_rng(42)
@@ -47,23 +50,42 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(r.tobytes()) for r in rows], np.uint64).view(np.int64)
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The signed SimHash of a shingle set: a bit is one if it is one in over half the hashes; no shingles give zero."""
+    sums = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), COLUMNS):
+        sums += np.unpackbits(hashes[start : start + COLUMNS].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * sums > len(hashes), bitorder="little").view(np.int64)[0])
+
+
 def _with_bands(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(id, sig, n, bands): ``sig`` stands for the whole shingle set, ``n`` is its size."""
+    """(id, sig, n, fp, bands): ``sig`` stands for the whole shingle set, ``n`` is its size, ``fp`` its fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sig, n, keys = [], [], []
+            sig, n, fp, keys = [], [], [], []
             for cell in batch.column(1).cast(pa.binary()):
                 found = shingle_set(cell.as_py(), width)
                 sig.append(xxhash.xxh64_intdigest(found.tobytes()))
                 n.append(len(found))
+                fp.append(fingerprint(found))
                 keys.append(bands(found))
-            yield pa.record_batch([batch.column(0), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "sig", "n", "bands"])
+            yield pa.record_batch([batch.column(0), pa.array(np.array(sig, np.uint64).view(np.int64)), pa.array(n, pa.int32()), pa.array(fp, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "sig", "n", "fp", "bands"])
 
-    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("sig long, n int, bands array<long>").fields])
+    kind = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *T.StructType.fromDDL("sig long, n int, fp long, bands array<long>").fields])
     return docs.select(id_col, text_col).mapInArrow(tidy(run), kind)
 
 
+def near_fingerprints(nodes: DataFrame) -> DataFrame:
+    """(a, b), ``a < b``: ``nodes`` (sig, n, fp) whose fingerprints differ in at most RADIUS bits, by the smallest sig of each fingerprint; those of one fingerprint meet that one. Nodes without shingles are left out."""
+    held = nodes.where("n > 0").select("sig", "fp")
+    first = materialize(held.groupBy("fp").agg(F.min("sig").alias("one")), "copies-fingerprints")
+    same = held.join(first, "fp").select("one", F.col("sig").alias("other"))
+    found = materialize(hamming_links(first.select("fp"), RADIUS, SEGMENTS), "copies-near")
+    near = found.join(first.select(F.col("fp").alias("a"), "one"), "a").join(first.select(F.col("fp").alias("b"), F.col("one").alias("other")), "b").select("one", "other")
+    return same.union(near).where("one <> other").select(F.least("one", "other").alias("a"), F.greatest("one", "other").alias("b"))
+
+
 def _sets(texts: DataFrame, width: int) -> DataFrame:
     """(sig, held) from (sig, text)."""
 
@@ -188,7 +210,7 @@ def groups(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, leas
     spark = docs.sparkSession
     own_folder = fresh_path(spark, "copies")
     kept = lambda df, name: materialize(df, name, own_folder)
-    nodes = kept(rows.groupBy("sig").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("bands").alias("bands")), "nodes")
+    nodes = kept(rows.groupBy("sig").agg(F.min("id").alias("low"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes")
     places = nodes.select("sig", "n", F.explode("bands").alias("key"))
     sizes = places.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     placed = kept(places.join(sizes, "key"), "places")
@@ -196,9 +218,11 @@ def groups(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, leas
     pivots = placed.join(weights, "sig").groupBy("key").agg(F.max_by(F.struct("sig", "n"), F.struct("weight", "sig")).alias("pivot"))
     # Sets whose sizes alone keep them under the similarity need no look.
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y)
-    stars = placed.join(pivots, "key").where((F.col("sig") != F.col("pivot.sig")) & fits(F.col("n"), F.col("pivot.n"))).select(F.col("pivot.sig").alias("a"), F.col("sig").alias("b")).distinct()
-    stars = kept(stars, "stars")
-    needed = placed.select("sig").distinct().join(nodes.select("sig", F.col("low").alias("own")), "sig")
+    stars = placed.join(pivots, "key").where((F.col("sig") != F.col("pivot.sig")) & fits(F.col("n"), F.col("pivot.n"))).select(F.col("pivot.sig").alias("a"), F.col("sig").alias("b"))
+    size = lambda c: nodes.select(F.col("sig").alias(c), F.col("n").alias(f"n{c}"))
+    alike = near_fingerprints(nodes).join(size("a"), "a").join(size("b"), "b").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
+    stars = kept(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(alike).distinct(), "stars")
+    needed = placed.select("sig").union(stars.select("a")).union(stars.select("b")).distinct().join(nodes.select("sig", F.col("low").alias("own")), "sig")
     texts = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"))
     sets = kept(_sets(needed.join(texts, "own"), width), "sets")
     links = kept(_verified(stars, sets, least), "links")
