@@ -139,3 +139,12 @@ def test_audio_arrival(spark, tmp_path):
     found = []
     streams.drained(streams.arriving_audio(spark, str(tmp_path)), "append", str(tmp_path.parent / "audio-log"), lambda b, i: found.extend(r.path.rsplit("/", 1)[1] for r in b.collect()))
     assert sorted(found) == ["a.mp3", "c.FLAC"]
+
+
+def test_query_variants_work_out_each_part_once(spark):
+    """The artist's spellings are split once a row, not once for each comparison of spellings."""
+    from pyspark.sql import functions as F
+
+    d = spark.range(1).selectExpr("'a' AS a", "'t' AS t", "'l' AS l").repartition(1)
+    plan = d.select(X.query_variants(F.col("a"), F.col("t"), F.col("l")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("split(") == 1

@@ -83,7 +83,13 @@ def path_context(t: Tables) -> DataFrame:
 
 @query()
 def query_variants(t: Tables) -> DataFrame:
-    return titles(t).select("id", X.query_variants(F.col("artist"), F.col("title"), F.col("album")).alias("queries"))
+    """Searches are built for distinct texts, dealt by their number: they are few bytes and much work."""
+    rows, texts = titles(t), ["artist", "title", "album"]
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    known = rows.select(*[F.col(c).alias(f"_{c}") for c in texts]).distinct().repartition(parts, *[f"_{c}" for c in texts])
+    known = known.withColumn("queries", X.query_variants(F.col("_artist"), F.col("_title"), F.col("_album")))
+    same = F.col("artist").eqNullSafe(F.col("_artist")) & F.col("title").eqNullSafe(F.col("_title")) & F.col("album").eqNullSafe(F.col("_album"))
+    return rows.join(known, same).select("id", "queries")
 
 
 @query("SELECT title, 'isrc:' || substr(sha256('isrc|' || title || '|' || ids), 1, 24) AS group_key FROM (SELECT title, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM r_parts GROUP BY title)")
