@@ -146,5 +146,5 @@ def test_query_variants_work_out_each_part_once(spark):
     from pyspark.sql import functions as F
 
     d = spark.range(1).selectExpr("'a' AS a", "'t' AS t", "'l' AS l").repartition(1)
-    plan = d.select(X.query_variants(F.col("a"), F.col("t"), F.col("l")))._jdf.queryExecution().analyzed().toString()
+    plan = d.select(X.query_variants(F.col("a"), F.col("t"), F.col("l")).alias("q"))._jdf.queryExecution().analyzed().toString()
     assert plan.count("split(") == 1
