@@ -40,20 +40,33 @@ def merge_conflicts(pairs: DataFrame, components: DataFrame, links: DataFrame) -
     return both.withColumn("locals", union).where(F.size("locals") > 1).select("lower_id", "higher_id", "first", "second", F.size("locals").cast("long").alias("n_locals"), F.array_join(F.transform("locals", lambda x: x.cast("string")), ",").alias("locals"))
 
 
-def not_suppressed(pairs: DataFrame, components: DataFrame, edges: DataFrame, decided: DataFrame | None = None) -> DataFrame:
-    """Candidate pairs (lower_id, higher_id) that are not already an edge, nor within one component, nor joined by an edge between their components.
-
-    ``decided`` (lower_id, higher_id, status) are stored suggestions: pairs ``accepted`` or ``rejected`` before are left out, and so are those between the components of a rejected pair.
-    """
+def _between(pairs: DataFrame, components: DataFrame) -> DataFrame:
+    """``pairs`` with the components ``x`` and ``y`` of their ends, and in order as ``a`` and ``b``."""
     comp = lambda d, end, name: d.join(components.select(F.col("track_id").alias(end), F.col("component").alias(name)), end, "left").withColumn(name, F.coalesce(name, end))
-    between = lambda d: comp(comp(d, "lower_id", "x"), "higher_id", "y").withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y"))
+    return comp(comp(pairs, "lower_id", "x"), "higher_id", "y").withColumn("a", F.least("x", "y")).withColumn("b", F.greatest("x", "y"))
+
+
+def suppressing(components: DataFrame, edges: DataFrame, decided: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """What :func:`not_suppressed` leaves out: pairs of components (a, b), a <= b, and single pairs (lower_id, higher_id)."""
     own = edges.select("lower_id", "higher_id")
     final, barring = own, own
     if decided is not None:
         final = own.union(decided.where(F.col("status").isin("accepted", "rejected")).select("lower_id", "higher_id"))
         barring = own.union(decided.where("status = 'rejected'").select("lower_id", "higher_id"))
-    known = between(barring).select("a", "b").distinct()
-    return between(pairs).where("x <> y").join(final, ["lower_id", "higher_id"], "left_anti").join(known, ["a", "b"], "left_anti").select(*pairs.columns)
+    return _between(barring, components).select("a", "b").distinct(), final
+
+
+def outside(pairs: DataFrame, components: DataFrame, known: DataFrame, final: DataFrame) -> DataFrame:
+    """``pairs`` without those within one component, between components of ``known``, or in ``final``."""
+    return _between(pairs, components).where("x <> y").join(final, ["lower_id", "higher_id"], "left_anti").join(known, ["a", "b"], "left_anti").select(*pairs.columns)
+
+
+def not_suppressed(pairs: DataFrame, components: DataFrame, edges: DataFrame, decided: DataFrame | None = None) -> DataFrame:
+    """Candidate pairs (lower_id, higher_id) that are not already an edge, nor within one component, nor joined by an edge between their components.
+
+    ``decided`` (lower_id, higher_id, status) are stored suggestions: pairs ``accepted`` or ``rejected`` before are left out, and so are those between the components of a rejected pair.
+    """
+    return outside(pairs, components, *suppressing(components, edges, decided))
 
 
 def impacted_playlists(changed: DataFrame, components: DataFrame, membership: DataFrame, playlists: DataFrame) -> DataFrame:
