@@ -100,6 +100,18 @@ def test_a_released_claim_is_free_at_once(spark, tmp_path):
     assert {r.id: r.answer for r in spark.read.parquet(str(tmp_path / "out" / "batch=*")).collect()} == {1: "accepted", 2: "in_flight", 4: "recent", 5: "accepted"}
 
 
+@pytest.mark.parametrize("buckets", [1, 7])
+def test_claims_of_keys_that_share_a_bucket(spark, tmp_path, buckets):
+    """Keys of one bucket keep to themselves, the null key and very large ones too, and those that expired make room."""
+    rng = random.Random(10)
+    keys = [None, 2**60 + 1, 2**60 + 2, 3, 4]
+    rows = [(rng.choice(keys), k, at(10 * k), rng.random() < 0.2) for k in range(200)]
+    arrived(spark, tmp_path, rows, "key long, id long, ts timestamp, ends boolean", [40, 90], lambda s: stateful.claimed(s, 120, 30, buckets=buckets), beside(tmp_path / "out"))
+    got = [(r.key, r.id, r.answer) for r in spark.read.schema("key long, id long, answer string").parquet(str(tmp_path / "out" / "batch=*")).collect()]
+    want = plain_answers(rows, 120, 30)
+    assert sorted(got, key=lambda x: x[1]) == [(k, i, want[i]) for k, i, _, ends in rows if not ends]
+
+
 def plain_decisions(rows):
     out, failure = {}, {}
     for key, i, _, size, mtime, failed in rows:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -50,45 +51,57 @@ def debounced(looks: DataFrame, needed: int = 10, idle_ms: int = 30 * 86_400_000
     return found.select("key", F.timestamp_micros("since_at").alias("since"), F.timestamp_micros("ready_at").alias("ready"), "size")
 
 
-def claimed(events: DataFrame, ttl_seconds: int = 21_600, rest_seconds: int = 30, late: str = "0 seconds") -> DataFrame:
+def claimed(events: DataFrame, ttl_seconds: int = 21_600, rest_seconds: int = 30, late: str = "0 seconds", buckets: int = 1024) -> DataFrame:
     """(key, id, answer) of each streamed request: accepted, in_flight or recent. ``events`` has key, id, ts and ends.
 
     A key is in flight from an accepted request to its end, which releases it early, or for ``ttl_seconds`` at most; for ``rest_seconds`` after its end it was handled just now.
-    What has expired by event time is dropped at a time-out; answers compare times themselves, so they do not hang on when time-outs run.
+    What has expired by event time is dropped; answers compare times themselves, so they do not hang on when that happens. The state holds the keys of a bucket
+    together, as a call for each key and batch costs far more than its few rows; ``buckets`` changes no answer, but must stay as it is for a stream's life.
     """
     kind = events.schema["key"].dataType.simpleString()
     ttl, rest = ttl_seconds * 1_000_000, rest_seconds * 1_000_000
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        known = {k: (held, ended) for k, held, ended in zip(*state.get)} if state.exists else {}
+        keys, ids, answers = [], [], []
+        if not state.hasTimedOut:
+            rows = pd.concat(list(batches), ignore_index=True)
+            rows = rows.iloc[np.lexsort((rows["id"], rows["at"]))]
+            for k, i, at, ends in zip(rows["key"].tolist(), rows["id"].tolist(), rows["at"].tolist(), rows["ends"].tolist()):
+                held, ended = known.get(k, (None, None))
+                if ends:
+                    # Only a claim still in force can end.
+                    known[k] = None, at if held is not None and at < held + ttl else ended
+                    continue
+                if held is not None and at < held + ttl:
+                    answer = "in_flight"
+                elif ended is not None and at <= ended + rest:
+                    answer = "recent"
+                else:
+                    answer = "accepted"
+                    known[k] = at, ended
+                keys.append(k)
+                ids.append(i)
+                answers.append(answer)
+        now, alive, first = state.getCurrentWatermarkMs(), [], None
+        for k, (held, ended) in known.items():
+            ends_at = [since + length for since, length in ((held, ttl), (ended, rest)) if since is not None]
+            # Before the first watermark nothing has expired.
+            if ends_at and (now <= 0 or max(ends_at) // 1000 + 1 > now):
+                alive.append((k, held, ended))
+                until = max(ends_at) // 1000 + 1
+                first = until if first is None else min(first, until)
+        if alive:
+            state.update(tuple(list(c) for c in zip(*alive)))
+            state.setTimeoutTimestamp(max(first, now + 1))
+        elif state.exists:
             state.remove()
-            return
-        held, ended = state.get if state.exists else (None, None)
-        out = []
-        for r in pd.concat(list(batches)).sort_values(["at", "id"]).itertuples():
-            at = int(r.at)
-            if r.ends:
-                # Only a claim still in force can end.
-                held, ended = None, at if held is not None and at < held + ttl else ended
-                continue
-            if held is not None and at < held + ttl:
-                answer = "in_flight"
-            elif ended is not None and at <= ended + rest:
-                answer = "recent"
-            else:
-                answer, held = "accepted", at
-            out.append((key[0], int(r.id), answer))
-        until = max((since + length for since, length in ((held, ttl), (ended, rest)) if since is not None), default=None)
-        if until is None:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((held, ended))
-            state.setTimeoutTimestamp(max(until // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "id", "answer"])
-
-    rows = events.withWatermark("ts", late).select("key", "id", "ts", F.unix_micros("ts").alias("at"), "ends")
-    return rows.groupBy("key").applyInPandasWithState(step, f"key {kind}, id long, answer string", "held long, ended long", "append", GroupStateTimeout.EventTimeTimeout)
+        yield pd.DataFrame({"key": pd.Series(keys, dtype=object), "id": pd.Series(ids, dtype="int64"), "answer": pd.Series(answers, dtype=object)})
+
+    # Keys travel as text, so that a null among numbers rounds none of them.
+    rows = events.withWatermark("ts", late).select(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"), F.col("key").cast("string").alias("key"), "id", "ts", F.unix_micros("ts").alias("at"), "ends")
+    found = rows.groupBy("bucket").applyInPandasWithState(step, "key string, id long, answer string", "keys array<string>, held array<long>, ended array<long>", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("key").cast(kind).alias("key"), "id", "answer")
 
 
 def attempt_outcomes(attempts: DataFrame, results: DataFrame, lease: str = "1 hour", late: str = "0 seconds") -> DataFrame:
