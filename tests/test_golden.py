@@ -194,3 +194,45 @@ def test_equal_rows_are_numbered_in_several_ranges(spark):
     finally:
         ranking.materialize = keep
     assert sorted(r.number for r in rows) == list(range(1, 4001)) and max(seen) < 2000
+
+
+def plain_order(m, ids, artists, albums, scale=1.0):
+    """Every row left is sorted anew at each step."""
+    squares = (m * m).sum(1)
+    far = lambda i: np.sqrt(np.maximum(squares[i] + squares - 2 * m @ m[i], 0))
+    rank, key = C.seeded(ids, 7), lambda x: x.casefold() if x else None
+    total = [far(i).sum() for i in range(len(m))]
+    out = [min(range(len(m)), key=lambda i: (total[i], rank[i], ids[i]))]
+    while len(out) < len(m):
+        near, back = far(out[-1]), out[:-4:-1]
+        costs = {}
+        for i in set(range(len(m))) - set(out):
+            c = near[i]
+            for p, x, y in zip(back, C.ARTIST_PENALTY, C.ALBUM_PENALTY):
+                c += scale * (x * (key(artists[i]) is not None and key(artists[i]) == key(artists[p])) + y * (key(albums[i]) is not None and key(albums[i]) == key(albums[p])))
+            costs[i] = c
+        out.append(min(costs, key=lambda i: (costs[i], near[i], rank[i], ids[i])))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_orders_with_copies(seed):
+    rng = np.random.default_rng(seed)
+    n = 60 + seed
+    m = rng.normal(size=(20, 8))[rng.integers(20, size=n)]
+    ids, artists, albums = rng.permutation(1000)[:n], [rng.choice(["a", "B", "b", None, ""]) for _ in range(n)], [rng.choice(["x", "X", "y", None]) for _ in range(n)]
+    assert C.rolling_order(m, ids, artists, albums) == plain_order(m, ids, artists, albums)
+
+
+def test_an_order_sorts_ties_only(monkeypatch):
+    """Each step sorted all rows left: 2,000 rows were two million sorted."""
+    rng, held, sort = np.random.default_rng(1), [], np.lexsort
+    monkeypatch.setattr(C.np, "lexsort", lambda keys: held.append(len(keys[0])) or sort(keys))
+    order = C.rolling_order(rng.normal(size=(2000, 4)), np.arange(2000), ["a", "b"] * 1000, ["x"] * 2000)
+    assert sorted(order) == list(range(2000)) and sum(held) < 4000
+
+
+def test_an_order_of_broken_vectors_is_whole():
+    m = np.arange(12.0).reshape(6, 2)
+    m[3, 0] = np.nan
+    assert sorted(C.rolling_order(m, np.arange(6), ["a"] * 6, [None] * 6)) == list(range(6))

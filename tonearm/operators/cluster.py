@@ -185,10 +185,27 @@ def seeded(ids: np.ndarray, seed: int) -> np.ndarray:
     return (ids.astype(np.uint64) * np.uint64(1103515245) + np.uint64(seed * 12345 & 0xFFFFFFFFFFFFFFFF)) & np.uint64(0xFFFFFFFF)
 
 
+def medoid(m: np.ndarray, far, rank: np.ndarray, ids: np.ndarray, cells: int = 4_000_000) -> int:
+    """The row of the least sum of distances, ties by rank, then id. Sums are first taken in blocks, whose rounding differs; those near the least are then taken row by row, once for equal rows."""
+    squares = (m * m).sum(1)
+    if not np.isfinite(squares).all():
+        # No sum is a number then.
+        return 0
+    rough, chunk = np.empty(len(m)), max(1, cells // len(m))
+    for lo in range(0, len(m), chunk):
+        square = squares[lo : lo + chunk, None] + squares - 2 * (m[lo : lo + chunk] @ m.T)
+        rough[lo : lo + chunk] = np.sqrt(np.maximum(square, 0, out=square), out=square).sum(1)
+    # A square is off by some 1e-14 of the greatest one, so a distance by 1e-7 of its root at most.
+    close = np.flatnonzero(rough <= rough.min() + 1e-6 * len(m) * np.sqrt(squares.max()))
+    first, same = np.unique(m[close], axis=0, return_index=True, return_inverse=True)[1:]
+    total = np.array([far(i).sum() for i in close[first]])[same.ravel()]
+    return int(close[np.lexsort((ids[close], rank[close], total))[0]])
+
+
 def rolling_order(m: np.ndarray, ids: np.ndarray, artists: list, albums: list, seed: int = 7, diversity: str = "balanced") -> list[int]:
     """From the medoid on, always the nearest row left, with a penalty for artists and albums of the last three; ties by seed, then id.
 
-    Distances are worked out row by row: memory grows with the rows, not with their square.
+    Distances are worked out row by row: memory grows with the rows, not with their square. A step reads each row once and sorts ties only.
     """
     if len(m) <= 2:
         return list(range(len(m)))
@@ -196,22 +213,31 @@ def rolling_order(m: np.ndarray, ids: np.ndarray, artists: list, albums: list, s
     far = lambda i: np.sqrt(np.maximum(squares[i] + squares - 2 * m @ m[i], 0))
     rank, scale = seeded(ids, seed), DIVERSITY.get(diversity, 1.0)
     fold = lambda xs: pd.factorize(pd.Series([x.casefold() if isinstance(x, str) and x else None for x in xs]))[0]
+    members = lambda codes: dict(pd.Series(np.arange(len(codes))).groupby(codes).indices)
     artist, album = fold(artists), fold(albums)
-    total = np.array([far(i).sum() for i in range(len(m))])
-    out = [min(range(len(m)), key=lambda i: (total[i], rank[i], ids[i]))]
-    left = np.ones(len(m), bool)
-    left[out[0]] = False
-    while left.any():
-        at = np.flatnonzero(left)
-        near = far(out[-1])[at]
-        cost = near.copy()
-        for back, (x, y) in enumerate(zip(ARTIST_PENALTY, ALBUM_PENALTY)):
-            if back < len(out):
-                p = out[-1 - back]
-                cost += scale * (x * ((artist[at] == artist[p]) & (artist[p] >= 0)) + y * ((album[at] == album[p]) & (album[p] >= 0)))
-        pick = at[np.lexsort((ids[at], rank[at], near, cost))[0]]
-        out.append(int(pick))
-        left[pick] = False
+    by_artist, by_album = members(artist), members(album)
+    out = [medoid(m, far, rank, ids)]
+    gone, none = np.zeros(len(m)), np.empty(0, int)
+    gone[out[0]] = np.inf
+    double = 2 * m
+    while len(out) < len(m):
+        near = double @ m[out[-1]]
+        np.subtract(squares[out[-1]] + squares, near, out=near)
+        np.sqrt(np.maximum(near, 0, out=near), out=near)
+        cost = near + gone
+        for p, x, y in zip(out[:-4:-1], ARTIST_PENALTY, ALBUM_PENALTY):
+            one = by_artist[artist[p]] if artist[p] >= 0 else none
+            other = by_album[album[p]] if album[p] >= 0 else none
+            both = np.intersect1d(one, other, assume_unique=True)
+            before = cost[both]
+            cost[one] += scale * x
+            cost[other] += scale * y
+            cost[both] = before + scale * (x + y)
+        least = cost.min()
+        ties = np.flatnonzero(cost == least) if np.isfinite(least) else np.flatnonzero(gone == 0)
+        pick = int(ties[np.lexsort((ids[ties], rank[ties], near[ties], cost[ties]))[0]])
+        out.append(pick)
+        gone[pick] = np.inf
     return out
 
 
