@@ -54,6 +54,10 @@ def with_roles(sql: str) -> str:
     return f"WITH {', '.join(heads)} {body}" if heads else body
 
 
+#: Stored rows for each task of a shuffle of a large table, and the least number of such tasks. They change no result.
+TASK_ROWS, LEAST_TASKS = 1_000_000, 8
+
+
 class Tables:
     """Lazy role DataFrames over one folder of Parquet tables."""
 
@@ -63,6 +67,14 @@ class Tables:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    def dealt(self, rows: DataFrame, name: str, *keys: str) -> DataFrame:
+        """``rows`` of the stored table ``name`` by ``keys`` in as many tasks as its rows ask for; those of a small table as they are.
+
+        Spark merges shuffled partitions by their compressed bytes, which few-valued columns keep small, so a task's hash tables would grow large.
+        """
+        n = -(-self.raw(name).count() // TASK_ROWS)
+        return rows.repartition(n, *keys) if n > LEAST_TASKS else rows
+
     @cached_property
     def playlists(self) -> DataFrame:
         mode = F.when(F.col("o_orderstatus") == "F", "full").when(F.col("o_orderstatus") == "P", "match_only").otherwise("off")
@@ -94,7 +106,8 @@ class Tables:
 
     @cached_property
     def suggested(self) -> DataFrame:
-        pairs = self.raw("lineitem").where("l_partkey % 5 <> 0").groupBy((F.col("l_suppkey") * 5).alias("local_id"), F.col("l_partkey").alias("track_id")).agg(F.max("l_discount").alias("d"), F.max("l_returnflag").alias("f"))
+        rows = self.raw("lineitem").where("l_partkey % 5 <> 0").select((F.col("l_suppkey") * 5).alias("local_id"), F.col("l_partkey").alias("track_id"), "l_discount", "l_returnflag")
+        pairs = self.dealt(rows, "lineitem", "local_id", "track_id").groupBy("local_id", "track_id").agg(F.max("l_discount").alias("d"), F.max("l_returnflag").alias("f"))
         status = F.when(F.col("f") == "A", "approved").when(F.col("f") == "N", "pending").otherwise("rejected")
         return pairs.select((F.col("local_id") * 1_000_000_000 + F.col("track_id")).alias("id"), "local_id", "track_id", F.round(1 - F.col("d"), 6).alias("score"), status.alias("status"), F.when(F.col("track_id") % 2 == 0, "tags").otherwise("isrc").alias("method"))
 
