@@ -11,3 +11,12 @@ def test_proposals_are_dealt_by_rows(spark, monkeypatch):
     monkeypatch.setattr(tables, "TASK_ROWS", 300)
     dealt = Tables(spark, SF).suggested
     assert sorted(map(tuple, dealt.collect())) == before and dealt.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 300)
+
+
+def test_coverage_is_dealt_by_rows(spark, monkeypatch):
+    from tonearm.plans.reading import playlist_coverage
+
+    before = sorted(map(tuple, playlist_coverage(Tables(spark, SF)).collect()))
+    monkeypatch.setattr(tables, "TASK_ROWS", 300)
+    dealt = playlist_coverage(Tables(spark, SF))
+    assert sorted(map(tuple, dealt.collect())) == before and dealt.rdd.getNumPartitions() == -(-spark.read.parquet(f"{SF}/lineitem.parquet").count() // 300)

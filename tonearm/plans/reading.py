@@ -19,7 +19,7 @@ def playlist_coverage(t: Tables) -> DataFrame:
     """Linked, pending and unlinked rows per playlist: track states are settled once per track, then counted."""
     pending = t.suggested.where("status = 'pending'").select("track_id", F.lit(1).alias("p")).distinct()
     state = t.resolved.join(pending, "track_id", "left").select("track_id", F.when(F.col("local_id").isNotNull(), "linked").when(F.col("p").isNotNull(), "pending").otherwise("unlinked").alias("s"))
-    rows = t.membership.join(state, "track_id", "left")
+    rows = t.dealt(t.dealt(t.membership, "lineitem", "track_id").join(state, "track_id", "left"), "lineitem", "playlist_id")
     of = lambda s: F.count_if(F.coalesce("s", F.lit("unlinked")) == s)
     return rows.groupBy("playlist_id").agg(F.count("*").alias("n_tracks"), F.countDistinct("track_id").alias("n_distinct"), of("linked").alias("linked"), of("pending").alias("pending"), of("unlinked").alias("unlinked"))
 
