@@ -45,3 +45,35 @@ def test_fuzzy_pairs_of_one_title_are_spread(spark):
     tracks = spark.range(3000).selectExpr("id", "'Same' AS title", "'One Artist' AS artist", "CAST(NULL AS STRING) AS album", "CAST(1000 AS BIGINT) AS duration_ms", "CAST(NULL AS STRING) AS isrc")
     shares = [r["count"] for r in E.fuzzy_pairs(tracks).groupBy(F.spark_partition_id()).count().collect()]
     assert sum(shares) == 3000 * 2999 // 2 and max(shares) < sum(shares) / 2
+
+
+def _joined(plan) -> int:
+    """Rows that the joins of a plan that has run made."""
+    name = plan.nodeName()
+    if name == "AdaptiveSparkPlan":
+        return _joined(plan.executedPlan())
+    if "QueryStage" in name:
+        return _joined(plan.plan())
+    below = plan.children()
+    return (plan.metrics().apply("numOutputRows").value() if "Join" in name else 0) + sum(_joined(below.apply(i)) for i in range(below.size()))
+
+
+def test_pairs_within_classes(spark):
+    from tonearm.operators.dealt_join import pairs_within
+
+    rows = [(i, "hot", i % 2) for i in range(120)] + [(200 + i, "cold", 0) for i in range(3)] + [(300, "alone", 0), (301, None, 0), (302, None, 0), (None, "hot", 0)]
+    df = spark.createDataFrame(rows, "id long, k string, b int")
+    got = sorted(map(tuple, pairs_within(df, ["k", "b"], cell=7, pairs=500).collect()))
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if None not in (a[0], b[0], a[1]) and a[0] < b[0] and a[1:] == b[1:])
+    assert pairs_within(df.where("id > 299"), ["k", "b"]).count() == 0
+
+
+def test_blocked_pairs_joins_make_no_pairs(spark):
+    """Joins match rows with cells; their rows grow with the rows times the cells, not with the pairs."""
+
+    class Rows:
+        tracks = spark.createDataFrame([(i, "Same", "One Artist") for i in range(2500)], "id long, title string, artist string")
+
+    run = entities.blocked_pairs(Rows())._jdf.queryExecution()
+    assert run.toRdd().count() == 2500 * 2499 // 2
+    assert _joined(run.executedPlan()) < 2500 * 10
