@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tonearm.storage import shared_dir
+from tonearm.storage import joinable, shared_dir
 
 
 #: Tasks that the nodes of one label are spread over.
@@ -22,8 +22,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
     """
     shared_dir(edges.sparkSession)
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL AND x <> y")
-    both = pairs.union(pairs.select("y", "x")).distinct().checkpoint()
+    both = joinable(pairs.union(pairs.select("y", "x")).distinct().checkpoint())
     labels = both.groupBy("x").agg(F.min("y").alias("m")).select(F.col("x").alias("node"), F.least("x", "m").alias("component")).checkpoint()
+    nodes = labels.count()
+    labels = joinable(labels, nodes)
     for _ in range(max_rounds):
         near = both.join(labels.withColumnRenamed("node", "y"), "y").groupBy("x").agg(F.min("component").alias("m"))
         hooked = labels.join(near.withColumnRenamed("x", "node"), "node").select("node", "component", F.least("component", "m").alias("low"))
@@ -38,7 +40,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", max_round
         same = (asked["key"] == roots["key"]) & (asked["low"] >= roots["label"]) & (asked["low"] <= roots["label"])
         after = asked.join(roots, same, "left").select("node", "before", F.least("low", F.coalesce("root", "low")).alias("component")).checkpoint()
         moved = after.where("component <> before").limit(1).count()
-        labels = after.select("node", "component")
+        labels = joinable(after.select("node", "component"), nodes)
         if not moved:
             return labels
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tonearm.operators.dealt_join import dealt_join
-from tonearm.storage import materialize
+from tonearm.storage import joinable, materialize
 
 #: Members of each class that a first look takes, which finds where a bucket's list ends at the latest. It changes no result.
 GLANCE = 3
@@ -41,7 +41,7 @@ def _needed(members: DataFrame, known: DataFrame, final: DataFrame, k: int) -> D
     reach = k + F.col("decided") + of_code + of_component * (1 + F.col("barred"))
     furthest = k + most_decided + of_code + of_component * (1 + most_barred)
     x = x.withColumn("place", place()).where(F.col("place") <= furthest)
-    return materialize(x.select("class", "id", "code", "component", "place", reach.alias("reach")), "pair-needed")
+    return joinable(materialize(x.select("class", "id", "code", "component", "place", reach.alias("reach")), "pair-needed"))
 
 
 def first_pairs(members: DataFrame, classes: DataFrame, known: DataFrame, final: DataFrame, k: int) -> DataFrame:

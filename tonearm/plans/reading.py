@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tonearm.operators import relational as R
 from tonearm.operators.ranking import numbered
 from tonearm.plans.registry import query
+from tonearm.storage import joinable
 from tonearm.tables import Tables
 
 ACTIVE = ("full", "match_only")
@@ -100,7 +101,8 @@ def playlist_summary(t: Tables) -> DataFrame:
 
 
 def active_track_ids(t: Tables) -> DataFrame:
-    return t.membership.join(t.playlists.where(F.col("sync_mode").isin(*ACTIVE)).select(F.col("id").alias("playlist_id")), "playlist_id", "left_semi").select("track_id").distinct()
+    active = joinable(t.playlists, t.raw("orders").count()).where(F.col("sync_mode").isin(*ACTIVE)).select(F.col("id").alias("playlist_id"))
+    return t.membership.join(active, "playlist_id", "left_semi").select("track_id").distinct()
 
 
 @query("SELECT id, title, artist FROM r_tracks t WHERE EXISTS (SELECT 1 FROM r_membership m JOIN r_playlists p ON p.id = m.playlist_id WHERE m.track_id = t.id AND p.sync_mode IN ('full', 'match_only'))")
